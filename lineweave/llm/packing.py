@@ -8,10 +8,11 @@ nothing is gathered; at its end the few windows that are still open are filled u
 
 from __future__ import annotations
 
+import base64
 import zlib
 from array import array
 from collections.abc import Iterator
-import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,10 @@ WINDOW = 2048
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pre-tokenised units remembered by a worker; then it starts anew.
-UNITS = 200_000
+UNITS = 400_000
+MARKS = ".,;:!?"
+# Fixed value: where the tokenizer's pattern sets borders.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
@@ -32,36 +36,68 @@ class Encoder:
 
     A byte-level BPE never merges over the borders that its pattern sets. A single white-space character between two
     others is such a border, so a text where white space never stands in runs is the sum of its units: the first
-    word, and each later word with the space or line end before it. Units are looked up, new ones tokenised. Texts
-    with runs of white space, or with a special token's string, are tokenised whole.
+    word, and each later word with the space or line end before it. Units are looked up, new ones tokenised from the
+    same vocabulary as ranks. Texts with runs of white space, or with a special token's string, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer_path: str, ranks_path: str):
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ordinary = Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
         self.units: dict[str, bytes] = {}
-        self.runs = re.compile(r"\s\s|^\s|\s\Z|[\x1c-\x1f]")
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        self.marks = {c: self.ids(c) for c in MARKS}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def unit(self, word: str) -> bytes | None:
+        """Ids of a word that follows a space, or begins with a line end; None if it isn't a unit."""
+        at = word[:1] == "\n"
+        if not word or word[at : at + 1].isspace() or word[-1].isspace():
+            return None
+        core, sign = word[:-1], word[-1]
+        if sign in self.marks and core[at:].isalpha():  # a run of letters ends before a mark
+            ids = self.units.get(core)
+            if ids is None:
+                self.units[core] = ids = self.ids(core if at else " " + core)
+            return ids + self.marks[sign]
+        return self.ids(word if at else " " + word)
+
+    def ids(self, text: str) -> bytes:
+        return array("I", self.ordinary(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.runs.search(text) or any(s in text for s in self.special):
-            return self.whole([text])[0]
-        words = text.replace("\n", " \n").split(" ")
-        first, rest = words[0], words[1:]
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        if not first or first[0].isspace() or first[-1].isspace():
+            return self.whole(text)
         known = self.units
-        if new := list({w for w in rest if w not in known}):
-            if len(known) + len(new) > UNITS:
-                known.clear()
-                new = list(set(rest))
-            known.update(zip(new, self.whole([w if w[0] == "\n" else f" {w}" for w in new]), strict=True))
-        return self.whole([first])[0] + b"".join(map(known.__getitem__, rest))
+        if len(known) > UNITS:
+            known.clear()
+        ids = list(map(known.get, rest))
+        if None in ids:
+            for k, got in enumerate(ids):
+                if got is None:
+                    word = rest[k]
+                    got = known.get(word) or self.unit(word)
+                    if got is None:
+                        return self.whole(text)
+                    known[word] = ids[k] = got
+        return self.ids(first) + b"".join(ids)
+
+
+@lru_cache(maxsize=1)
+def encoder(tokenizer_path: str, ranks_path: str) -> Encoder:
+    """One for each worker process, kept from task to task."""
+    return Encoder(tokenizer_path, ranks_path)
 
 
 class Packer:
@@ -133,7 +169,7 @@ class Packer:
             self.close(source)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece of a document.
 
     Null and empty texts give the end id alone. Every id lies in exactly one piece; repeated rows are packed as often
@@ -143,7 +179,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(tokenizer_path), Packer(window, TaskContext.get().partitionId() << 36)
+        encode, packer = encoder(tokenizer_path, ranks_path), Packer(window, TaskContext.get().partitionId() << 36)
 
         def out() -> pa.RecordBatch:
             rows, packer.done = packer.done, []

@@ -43,7 +43,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
+    return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER, RANKS)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
