@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lineweave.llm import decontamination, languages, packing, quality, simhash
 from lineweave.llm.common import read
-from lineweave.llm.queries import TOKENIZER
+from lineweave.llm.queries import RANKS, TOKENIZER
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(docs, TOKENIZER, RANKS)
 
 
 STAGES = [("language_id", language), ("quality", good), ("near_dedup", single), ("decontamination", clean), ("packing", packed)]
