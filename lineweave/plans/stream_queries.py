@@ -50,8 +50,8 @@ def t03(t: Tables) -> DataFrame:
 
 @query("t04_sticky_model", f"""
 with e as (select event_id as id, ts, epoch_us(ts) as us, {TOOL} as tool, case when event_id % 3 = 0 then concat('m', cast(event_id % 7 as varchar)) end as model from events),
-l as (select *, last_value(model ignore nulls) over w as m, last_value(case when model is not null then us end ignore nulls) over w as at from e window w as (partition by tool order by us, id rows between unbounded preceding and current row))
-select id, case when us - at <= 1800000000 then m end as model from l""")
+l as (select *, last_value(model ignore nulls) over w as m, last_value(case when model is not null then us end ignore nulls) over w as since_us from e window w as (partition by tool order by us, id rows between unbounded preceding and current row))
+select id, case when us - since_us <= 1800000000 then m end as model from l""")
 def t04(t: Tables) -> DataFrame:
     edits = events(t).select("id", "tool", NANOS.alias("ts_ns"), F.expr("case when id % 3 = 0 then concat('m', id % 7) else '' end").alias("model"))
     return streams.appended(t.spark, streams.sticky_model(edits), "sticky")

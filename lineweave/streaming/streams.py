@@ -91,13 +91,10 @@ def marked(edits: DataFrame, markers: DataFrame, width: int = MINUTE, late: str
 def sticky_model(edits: DataFrame, width: int = 30 * MINUTE) -> DataFrame:
     """id, model: the edit's own model, else the tool's last one within the last half hour. edits: id, tool, ts_ns, model.
 
-    State for each tool is one model and its time; it goes when no edit comes for an hour.
+    State for each tool is one model and its time, so it stays as small as there are tools.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         model, at = state.get if state.exists else ("", 0)
         rows = pd.concat(list(batches)).sort_values(["ts_ns", "id"], kind="stable")
         out = []
@@ -106,11 +103,10 @@ def sticky_model(edits: DataFrame, width: int = 30 * MINUTE) -> DataFrame:
                 model, at = r.model, r.ts_ns
             out.append((r.id, model if model and r.ts_ns - at <= width else None))
         state.update((model, int(at)))
-        state.setTimeoutDuration(3_600_000)
         yield pd.DataFrame(out, columns=["id", "model"])
 
     rows = edits.select("id", "tool", "ts_ns", "model")
-    return rows.groupBy("tool").applyInPandasWithState(run, "id long, model string", "model string, at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("tool").applyInPandasWithState(run, "id long, model string", "model string, at long", "append", GroupStateTimeout.NoTimeout)
 
 
 LOG = "line_no int, author_type string, tool string, overrode string"
