@@ -278,7 +278,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.select("doc_id", (crc_of_id(F.col("doc_id")) % 4 == 2).alias("held_out"), found("text").alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score", "found.n_words")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents whose language is told with a mean posterior of ``least``; ``und`` goes. All columns stay."""
     found = language_of(train(docs))("text")
     return docs.where((found["lang_pred"] != "und") & (found["score"] >= least))

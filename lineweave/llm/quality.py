@@ -58,7 +58,7 @@ def statistics(text: str | None) -> list[float]:
         float(root(max(0, len(data) - sum(map(len, words))) / n)),
         float(root(has["foreign"] / n)),
         float(np.log(many / max(1, len(lines)))),
-        float(root(1 - len(set(lines)) / max(1, len(lines)))),
+        float(root((len(lines) - len(set(lines))) / (len(lines) + 5))),  # a repeat in a few lines says little
         float(np.log(many / max(1, len(distinct))) / max(1.0, np.log1p(many))),
         float(root(has["stops"] / many)),
         float(root(bare / many)),
