@@ -201,16 +201,18 @@ def j20(t: Tables) -> DataFrame:
 
 
 @query("j21_live_overrides", f"""
-with b as (select repo_path, max(ts_ns) as base_ns, max_by(sha, ts_ns) as sha from commits_v group by repo_path), w as (select b.sha, e.* from edits_v e join (select * from windows_v) b on e.repo_path = b.repo_path and e.ts_ns > b.ts_ns - 86400000000000),
+with b as (select repo_path, min(ts_ns) as base_ns, arg_min(sha, ts_ns) as sha from commits_v group by repo_path), w as (select b.sha, e.* from edits_v e join b on e.repo_path = b.repo_path and e.ts_ns > b.base_ns),
 p as (select *, case when tool = 'copypaste' then 1 else 2 end as pass from w e where tool = 'copypaste' or ({ELIGIBLE})), v as (select p.sha, p.file_path, l.content_sha, count(*) filter (pass = 1) as n1, count(*) filter (pass = 2) as n2 from p join edit_lines_v l on l.edit_id = p.id group by all),
 a as (select *, row_number() over (partition by sha, file_path, content_sha order by line_no) as k from added_v where line_no % 2 = 1)
 select a.sha, a.file_path, cast(a.line_no as int) as line_no, case when k <= n1 then 'paste' else 'ai' end as rule from a join v on a.sha = v.sha and a.file_path = v.file_path and a.content_sha = v.content_sha where k <= n1 + n2""")
 def j21(t: Tables) -> DataFrame:
-    open_ended = t.windows_v.select("repo_path", "sha", (c("ts_ns") - joins.DAY).alias("prev_ns"), F.lit(1_800_000_000 * joins.SECOND).alias("ts_ns"))
-    edits = t.edits_v.join(open_ended.select("repo_path", "sha", "prev_ns"), "repo_path").where(c("ts_ns") > c("prev_ns"))
+    """Each repository has one live base; its changed lines may match any edit since."""
+    base = t.commits_v.groupBy("repo_path").agg(F.min("ts_ns").alias("base_ns"), F.min_by("sha", "ts_ns").alias("sha"))
+    edits = t.edits_v.join(base, "repo_path").where(c("ts_ns") > c("base_ns"))
     lines = t.edit_lines_v.select("edit_id", "content_sha", "content_sha_norm")
+    changed = added(t).where("line_no % 2 = 1").join(base.select("sha"), "sha", "left_semi")
     passes = [(n, match.units_of(edits, lines, FILE, e)) for n, e in (("paste", rules.paste_eligible(c("tool"))), ("ai", rules.ai_eligible(c("tool"), c("raw_meta"))))]
-    return match.by_precedence(added(t).where("line_no % 2 = 1"), passes, FILE).select("sha", "file_path", "line_no", "rule")
+    return match.by_precedence(changed, passes, FILE).select("sha", "file_path", "line_no", "rule")
 
 
 @query("j22_confirmed_chat_sessions", """

@@ -12,16 +12,12 @@ from lineweave.plans.registry import Tables, query
 from lineweave.streaming import readers, streams
 
 c = F.col
-MODE = F.expr("case event_type when 'click' then 'claude' when 'view' then 'cursor' when 'purchase' then 'codex' when 'signup' then 'copilot' else '' end")
+TOOL = "case event_type when 'click' then 'claude' when 'view' then 'cursor' when 'purchase' then 'codex' when 'signup' then 'copilot' else '' end"
 
 
 def events(t: Tables) -> DataFrame:
     stream = streams.source(t.spark, f"{t.sf_dir}/events.parquet")
-    return stream.select(c("event_id").alias("id"), c("user_id"), c("ts").cast("timestamp").alias("ts"), MODE.alias("tool"), "value")
-
-
-TOOL = "case event_type when 'click' then 'claude' when 'view' then 'cursor' when 'purchase' then 'codex' when 'signup' then 'copilot' else '' end"
-NANOS = F.unix_micros("ts") * 1000
+    return stream.select(c("event_id").alias("id"), c("user_id"), c("ts").cast("timestamp").alias("ts"), F.expr(TOOL).alias("tool"), "value")
 
 
 @query("t01_incremental_log_tail", "select event_id as id from events")
@@ -53,7 +49,7 @@ with e as (select event_id as id, ts, epoch_us(ts) as us, {TOOL} as tool, case w
 l as (select *, last_value(model ignore nulls) over w as m, last_value(case when model is not null then us end ignore nulls) over w as since_us from e window w as (partition by tool order by us, id rows between unbounded preceding and current row))
 select id, case when us - since_us <= 1800000000 then m end as model from l""")
 def t04(t: Tables) -> DataFrame:
-    edits = events(t).select("id", "tool", NANOS.alias("ts_ns"), F.expr("case when id % 3 = 0 then concat('m', id % 7) else '' end").alias("model"))
+    edits = events(t).select("id", "tool", (F.unix_micros("ts") * 1000).alias("ts_ns"), F.expr("case when id % 3 = 0 then concat('m', id % 7) else '' end").alias("model"))
     return streams.appended(t.spark, streams.sticky_model(edits), "sticky")
 
 
