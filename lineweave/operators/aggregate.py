@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions.rules import GEN_TYPES, author_type, confidence_rank
 from lineweave.functions.text import share
-from lineweave.operators.joins import SECOND
+from lineweave.operators.joins import SECOND, bucket_of
 
 HOUR = 3600 * SECOND
 TOOL_ORDER = ("claude", "cursor", "codex", "copilot", "gemini", "human")
@@ -114,8 +114,8 @@ def coding_time(commits: DataFrame, edits: DataFrame, look_back: int = 8 * HOUR)
 
     Edits are summed up by bucket of the look-back, so a commit meets two buckets' edits. commits: sha, repo_path, ts_ns, prev_ns.
     """
-    c = commits.withColumn("_lo", F.greatest(F.col("prev_ns"), F.col("ts_ns") - look_back)).withColumn("_b", F.explode(F.array(F.floor(F.col("ts_ns") / look_back) - 1, F.floor(F.col("ts_ns") / look_back))))
-    e = edits.where(F.coalesce(F.col("file_path"), F.lit("")) != "").select("repo_path", F.col("ts_ns").alias("_ts"), F.floor(F.col("ts_ns") / look_back).alias("_b"))
+    c = commits.withColumn("_lo", F.greatest(F.col("prev_ns"), F.col("ts_ns") - look_back)).withColumn("_b", F.explode(F.array(bucket_of(F.col("ts_ns"), look_back) - 1, bucket_of(F.col("ts_ns"), look_back))))
+    e = edits.where(F.coalesce(F.col("file_path"), F.lit("")) != "").select("repo_path", F.col("ts_ns").alias("_ts"), bucket_of(F.col("ts_ns"), look_back).alias("_b"))
     got = c.join(e, ["repo_path", "_b"]).where((F.col("_ts") > F.col("_lo")) & (F.col("_ts") <= F.col("ts_ns")))
     first = got.groupBy("sha").agg((F.max("ts_ns") - F.min("_ts")).alias("coding_ns"))
     return commits.select("sha").join(first, "sha", "left").na.fill(0, ["coding_ns"])

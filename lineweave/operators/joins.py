@@ -15,6 +15,11 @@ MINUTE = 60 * SECOND
 DAY = 86_400 * SECOND
 
 
+def bucket_of(ns: Column, width: int) -> Column:
+    """Which stretch of ``width`` nanoseconds a time lies in. Whole numbers throughout: times are beyond exact doubles."""
+    return ((ns - F.pmod(ns, F.lit(width))) / width).cast("long")
+
+
 def hydrate(edits: DataFrame, lines: DataFrame, removed: DataFrame) -> DataFrame:
     """Edits with their lines in order and their removed hashes; empty arrays where there are none."""
     a = lines.groupBy(F.col("edit_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("line_no", "content_sha", "content_sha_norm"))).alias("lines"))
@@ -36,11 +41,11 @@ def in_window(edits: DataFrame, windows: DataFrame, on: list[str], lower: str =
     that spreads even when one repository holds most rows.
     """
     w = windows.select(*on, "sha", F.col(lower).alias("_lo"), (F.col(upper) + slack).alias("_hi"))
-    first, last = F.floor(F.col("_lo") / bucket), F.floor(F.col("_hi") / bucket)
+    first, last = bucket_of(F.col("_lo"), bucket), bucket_of(F.col("_hi"), bucket)
     # windows without a commit before them are open to the past: one bucket for each edit's day would be endless
-    low = edits.agg(F.floor(F.min("ts_ns") / bucket).alias("_least"))
+    low = edits.agg(bucket_of(F.min("ts_ns"), bucket).alias("_least"))
     w = w.crossJoin(F.broadcast(low)).withColumn("_bucket", F.explode(F.sequence(F.greatest(first, F.least("_least", last)), last)))
-    e = edits.withColumn("_bucket", F.floor(F.col("ts_ns") / bucket))
+    e = edits.withColumn("_bucket", bucket_of(F.col("ts_ns"), bucket))
     got = e.join(w.drop("_least"), [*on, "_bucket"])
     return got.where((F.col("ts_ns") > F.col("_lo")) & (F.col("ts_ns") <= F.col("_hi"))).drop("_bucket", "_lo", "_hi")
 
@@ -59,8 +64,8 @@ def widened(windows: DataFrame) -> DataFrame:
 def near(edits: DataFrame, markers: DataFrame, on: list[str], width: int) -> DataFrame:
     """Pairs of edits and markers within ``width`` of each other; both sides fall into buckets of that width and an edit
     looks into three. markers: on, marker_ts and what is wanted of them."""
-    e = edits.withColumn("_bucket", F.explode(F.array(*[F.floor(F.col("ts_ns") / width) + k for k in (-1, 0, 1)])))
-    m = markers.withColumn("_bucket", F.floor(F.col("marker_ts") / width))
+    e = edits.withColumn("_bucket", F.explode(F.array(*[bucket_of(F.col("ts_ns"), width) + k for k in (-1, 0, 1)])))
+    m = markers.withColumn("_bucket", bucket_of(F.col("marker_ts"), width))
     return e.join(m, [*on, "_bucket"]).where(F.abs(F.col("ts_ns") - F.col("marker_ts")) <= width).drop("_bucket")
 
 
