@@ -4,7 +4,8 @@ Documents of equal text form a group. A group is the item to place; one that is
 (copies may hold a third of all rows) is cut into pieces by its rows' ids. Each item is a vector (bytes, tokens,
 rows) in shares of a shard's capacity and goes where the dot product with the residual capacity is highest, among
 the shards that still have room for its bytes. Items are dealt to bins of bounded size by hash, each bin has an equal
-share of every shard's capacity and is packed in a task of its own, largest items first.
+share of what is free in every shard and is packed in a task of its own, largest items first. Items that are large for
+such a share are few; they are placed before, in fewer bins or a single one.
 """
 
 from __future__ import annotations
@@ -23,13 +24,18 @@ PIECE = 1 / 64
 WEIGHTS = (3.0, 1.0, 1.0)
 #: Items packed by one task, and rows numbered by one task.
 ITEMS = 20_000
+#: An item over this part of a bin's share of a shard is placed before the bins.
+HEAVY = 1 / 4
 
 
-def place(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item; sizes has a row (bytes, tokens, rows) for each item, largest first."""
+def place(sizes: np.ndarray, shards: int, free: np.ndarray | None = None, start: int = 0) -> np.ndarray:
+    """The shard of each item; sizes has a row (bytes, tokens, rows) for each item, largest first.
+
+    free: a row for each shard, what of it is free; None if that is equal. Among equal shards ``start`` comes first.
+    """
     capacity = np.maximum(sizes.sum(axis=0) / shards, 1e-9)
     share = sizes / capacity
-    left = np.ones((shards, sizes.shape[1]))
+    left = np.ones((shards, sizes.shape[1])) if free is None else np.roll(free / np.maximum(free.mean(axis=0), 1e-9), -start, axis=0)
     at = np.empty(len(sizes), np.int32)
     for k, item in enumerate(share):
         value = left @ (item * WEIGHTS)
@@ -37,7 +43,7 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
         best = np.where(room, value, -np.inf).argmax() if room.any() else left[:, 0].argmax()
         left[best] -= item
         at[k] = best
-    return at
+    return (at + start) % shards
 
 
 def shards(docs: DataFrame, n_shards: int = SHARDS, items: int = ITEMS) -> DataFrame:
@@ -57,7 +63,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, items: int = ITEMS) -> DataF
             F.unhex(F.md5(text.cast("binary"))).alias("group"),
         )
     )
-    total = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
+    total = rows.agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     if not total["n"]:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     most_bytes, most_rows = max(1.0, total["b"] / n_shards * PIECE), max(1.0, total["n"] / n_shards * PIECE)
@@ -65,20 +71,46 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, items: int = ITEMS) -> DataF
     parts = F.ceil(F.greatest(F.col("b") / most_bytes, F.col("n") / most_rows)).cast("int")
     large = groups.where((F.col("n") > 1) & (parts > 1)).select("group", parts.alias("parts"))  # 2 * shards / PIECE at most
     pieces = rows.join(F.broadcast(large), "group", "left").withColumn("piece", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")).drop("parts")
-    units = pieces.groupBy("group", "piece").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
-    bins = -(-total["n"] // items)
-    units = units.withColumn("bin", F.pmod(F.xxhash64("group", "piece"), F.lit(bins)).cast("int"))
-
-    def pack(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["b", "group", "piece"], ascending=[False, True, True], kind="stable")
-        batch["shard"] = place(batch[["b", "t", "n"]].to_numpy(float), n_shards)
-        return batch[["group", "piece", "shard"]]
-
-    placed = units.groupBy("bin").applyInPandas(pack, "group binary, piece int, shard int")
+    units = cut(pieces.groupBy("group", "piece").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")))
+    placed = placed_units(units, np.array([total["b"], total["t"], total["n"]], float), n_shards, items)
     rows = cut(pieces.join(placed, ["group", "piece"]).select("doc_id", "size", "text_crc32", "shard"))
     return numbered(rows, total["n"], n_shards, items)
 
 
+def placed_units(units: DataFrame, total: np.ndarray, n_shards: int, items: int) -> DataFrame:
+    """group, piece, shard. units: group, piece, b, t, n; total: their sums."""
+
+    def heavy(bins: int):
+        return (F.col("b") > float(total[0] / n_shards / bins * HEAVY)) | (F.col("n") > float(total[2] / n_shards / bins * HEAVY))
+
+    levels = [int(-(-total[2] // items))]  # bins of each level; what is heavy in one goes to the next
+    while levels[-1] > 1 and (many := units.where(heavy(levels[-1])).count()):  # 2 * n_shards * bins / HEAVY at most
+        levels.append(max(1, min(-(-many // items), levels[-1] // 2)))
+    level = F.lit(0)
+    for bins in levels[:-1]:
+        level = level + heavy(bins).cast("int")
+
+    def pack(free: np.ndarray | None):
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
+            batch = batch.sort_values(["b", "group", "piece"], ascending=[False, True, True], kind="stable")
+            batch["shard"] = place(batch[["b", "t", "n"]].to_numpy(float), n_shards, free, int(batch["bin"].iloc[0]) % n_shards)
+            return batch[["group", "piece", "shard", "b", "t", "n"]]
+
+        return run
+
+    out, free = None, None
+    for k in reversed(range(len(levels))):
+        dealt = units.where(level == k).withColumn("bin", F.pmod(F.xxhash64("group", "piece"), F.lit(levels[k])).cast("int"))
+        placed = dealt.groupBy("bin").applyInPandas(pack(free), "group binary, piece int, shard int, b long, t long, n long")
+        if k:
+            placed = cut(placed)
+            free = np.tile(total / n_shards, (n_shards, 1)) if free is None else free.copy()
+            for r in placed.groupBy("shard").agg(F.sum("b"), F.sum("t"), F.sum("n")).collect():  # n_shards rows at most
+                free[r[0]] -= [float(x) for x in r[1:]]
+        out = placed if out is None else out.unionByName(placed)
+    return out.select("group", "piece", "shard")
+
+
 def numbered(rows: DataFrame, n: int, n_shards: int, most: int) -> DataFrame:
     """Slots from 0 in each shard: rows are numbered within strips of a shard, then strips are laid end to end."""
     strips = max(1, -(-n // (n_shards * most)))

@@ -119,6 +119,17 @@ def test_sharding(spark, docs, none):
     assert len(sums) == 24 and max(sums) <= 1.01 * min(sums)
 
 
+def test_sharding_with_many_bins_and_a_hot_text(spark):
+    """Of 75 and 150 bins each, a third of the bytes in copies of one text, and texts over a bin's share of a shard."""
+    for n in (37_500, 75_000):
+        text = F.when(F.col("id") % 3 == 0, F.repeat(F.lit("w "), 25)).when(F.col("id") < 30, F.repeat(F.concat(F.lit("v"), F.col("id")), 2000))
+        many = spark.range(n).select(F.col("id").alias("doc_id"), text.otherwise(F.concat(F.col("id"), F.repeat(F.lit(" x"), (F.col("id") % 47).cast("int")))).alias("text"))
+        got = sharding.shards(many, 24, items=500).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+        sums = [r["b"] for r in got]
+        assert len(sums) == 24 and sum(r["n"] for r in got) == n
+        assert max(sums) <= 1.01 * sum(sums) / 24, max(sums) * 24 / sum(sums)
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
