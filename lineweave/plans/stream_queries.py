@@ -50,7 +50,7 @@ l as (select *, last_value(model ignore nulls) over w as m, last_value(case when
 select id, case when us - since_us <= 1800000000 then m end as model from l""")
 def t04(t: Tables) -> DataFrame:
     edits = events(t).select("id", "tool", (F.unix_micros("ts") * 1000).alias("ts_ns"), F.expr("case when id % 3 = 0 then concat('m', id % 7) else '' end").alias("model"))
-    return streams.appended(t.spark, streams.sticky_model(edits), "sticky")
+    return streams.sticky_model(t.spark, edits, "sticky")
 
 
 def file_edits(t: Tables) -> DataFrame:

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -88,25 +88,44 @@ def marked(edits: DataFrame, markers: DataFrame, width: int = MINUTE, late: str
     return e.join(m, band)
 
 
-def sticky_model(edits: DataFrame, width: int = 30 * MINUTE) -> DataFrame:
+def models_carried(edits: DataFrame, width: int = 30 * MINUTE) -> DataFrame:
+    """Rows as they are, with model the edit's own or else the tool's last one within ``width``. edits: id, tool, ts_ns, model.
+
+    What is older than the bucket of ``width`` before the edit's own is too old, so the last model of a bucket goes into
+    the next one and groups are of one tool and bucket.
+    """
+    start = F.col("ts_ns") - F.pmod("ts_ns", F.lit(width))
+    own = F.when(F.col("model") != "", F.struct(F.col("ts_ns").alias("at"), "id", "model"))
+    rows = edits.select("*", start.alias("_start"), own.alias("_own"), F.lit(0).alias("_edit"))
+    last = rows.where("_own is not null").groupBy("tool", "_start").agg(F.max("_own").alias("_own"))
+    ahead = last.select("tool", (F.col("_start") + width).alias("_start"), "_own", F.col("_own.at").alias("ts_ns"), F.lit(-1).alias("_edit"))
+    before = Window.partitionBy("tool", "_start").orderBy("ts_ns", "_edit", "id").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.unionByName(ahead, allowMissingColumns=True).withColumn("_last", F.last("_own", ignorenulls=True).over(before)).where("_edit = 0")
+    return filled.withColumn("model", F.when(F.col("ts_ns") - F.col("_last.at") <= width, F.col("_last.model"))).drop("_start", "_own", "_edit", "_last")
+
+
+def sticky_model(spark: SparkSession, edits: DataFrame, name: str, width: int = 30 * MINUTE) -> DataFrame:
     """id, model: the edit's own model, else the tool's last one within the last half hour. edits: id, tool, ts_ns, model.
 
-    State for each tool is one model and its time, so it stays as small as there are tools.
+    Between batches one row for each tool is kept, its last model and the time, and never serves edits before that time.
+    A batch is sorted in Spark, by tool and time bucket, so it may be larger than memory.
     """
+    at, done, kind = folder(spark, name), [], "id long, tool string, ts_ns long, model string"
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        model, at = state.get if state.exists else ("", 0)
-        rows = pd.concat(list(batches)).sort_values(["ts_ns", "id"], kind="stable")
-        out = []
-        for r in rows.itertuples():
-            if r.model:
-                model, at = r.model, r.ts_ns
-            out.append((r.id, model if model and r.ts_ns - at <= width else None))
-        state.update((model, int(at)))
-        yield pd.DataFrame(out, columns=["id", "model"])
+    def act(df: DataFrame, batch: int) -> None:
+        old = [n for n in done if n < batch]
+        new = df.selectExpr("cast(id as long) as id", "tool", "cast(ts_ns as long) as ts_ns", "model").withColumn("_kept", F.lit(False))
+        rows = new.unionByName(df.sparkSession.read.schema(kind).parquet(f"{at}/state/v{old[-1]}").withColumn("_kept", F.lit(True))) if old else new
+        models_carried(rows, width).where("not _kept").select("id", "model").write.mode("overwrite").parquet(f"{at}/rows/batch={batch}")
+        state = rows.where("model <> ''").groupBy("tool").agg(F.max(F.struct("ts_ns", "id", "model")).alias("s"))
+        state.select("s.id", "tool", "s.ts_ns", "s.model").write.mode("overwrite").parquet(f"{at}/state/v{batch}")
+        if batch not in done:
+            done.append(batch)
 
-    rows = edits.select("id", "tool", "ts_ns", "model")
-    return rows.groupBy("tool").applyInPandasWithState(run, "id long, model string", "model string, at long", "append", GroupStateTimeout.NoTimeout)
+    each_batch(edits, act, f"{at}/checkpoint")
+    if not done:
+        return spark.createDataFrame([], "id long, model string")
+    return spark.read.schema("id long, model string").parquet(f"{at}/rows").select("id", "model")
 
 
 LOG = "line_no int, author_type string, tool string, overrode string"
@@ -149,8 +168,6 @@ def snapshots_once(edits: DataFrame, snapshots: DataFrame, keys: list[str]) -> D
 
     edits: keys, id, ts_ns. snapshots: keys, ts_ns, content.
     """
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("ts_ns"))
     s = snapshots.withColumn("_k", nth).select(*keys, "_k", "content")
     return edits.withColumn("_k", nth).join(s, [*keys, "_k"], "left").drop("_k")

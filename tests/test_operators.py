@@ -79,3 +79,39 @@ def test_upsert_and_copy_again(spark):
     known = spark.createDataFrame([("k", 1, "old")], "k string, ts long, v string")
     new = spark.createDataFrame([("k", 1, "new"), ("j", 0, "x")], "k string, ts long, v string")
     assert rows(tables.upsert(known, new, ["k"], "ts")) == [("j", 0, "x"), ("k", 1, "new")]
+
+
+def test_sticky_model_by_time_bucket(spark, tmp_path):
+    import random
+
+    from lineweave.operators.joins import MINUTE
+    from lineweave.streaming import streams
+
+    draw = random.Random(5)
+    rows = [(i, draw.choice(["a", "a", "b", None]), draw.randrange(-200, 600) * MINUTE + i, draw.choice(["m1", "m2", "", "", "", "", None, None])) for i in range(400)]
+    kind = "id long, tool string, ts_ns long, model string"
+
+    def plain(edits, older=()):
+        out, last = {}, {}
+        for i, tool, ts, model in sorted([*edits, *older], key=lambda r: (r[2], r[0])):
+            if model:
+                last[tool] = (model, ts)
+            seen = last.get(tool)
+            out[i] = seen[0] if seen and ts - seen[1] <= 30 * MINUTE else None
+        return {r[0]: out[r[0]] for r in edits}
+
+    df = spark.createDataFrame(rows, kind)
+    carried = streams.models_carried(df)
+    assert {r["id"]: r["model"] for r in carried.collect()} == plain(rows)
+    plan = carried._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan and "Arrow" not in plan
+
+    # a second batch has the last model of the first, but no edit has one of a later time
+    first, then = [r for r in rows if r[2] < 300 * MINUTE], [r for r in rows if r[2] >= 300 * MINUTE] + [(1000, "a", 1, ""), (1001, "b", 2, None)]
+    late = (1002, "a", max(r[2] for r in first if r[1] == "a" and r[3]) - 1, "")
+    at = f"{tmp_path}/edits"
+    spark.createDataFrame(first, kind).coalesce(1).write.parquet(at)
+    spark.createDataFrame([*then, late], kind).coalesce(1).write.mode("append").parquet(at)
+    got = {r["id"]: r["model"] for r in streams.sticky_model(spark, streams.source(spark, at, 1), "sticky").collect()}
+    kept = [max((r for r in first if r[1] == tool and r[3]), key=lambda r: (r[2], r[0])) for tool in ("a", "b", None)]
+    assert got == {**plain(first), **plain([*then, late], kept)}
