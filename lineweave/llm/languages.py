@@ -15,13 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.llm.common import WORD_BYTES, crc_of_id, has_letter, pick, utf8
 
 #: The sample for fitting: so many documents of each language, at most so many in all, none over so many bytes.
 DOCS_PER_LANG, SAMPLE_DOCS, SAMPLE_BYTES = 150, 3000, 20_000
+#: Rows without an id all have one place in the order, so no language has more than these of them; ranks up to this are cut before the shuffle.
+MOST_PER_LANG = 1000
 FEATURES = 1 << 15
 LEXICON_LEAST = 3
 EPOCHS = 30
@@ -174,15 +176,18 @@ def learnable(docs: DataFrame) -> Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """A model from a sample of labelled documents, each language sampled by the hash of doc_id."""
+    """A model from a sample of labelled documents, each language sampled by the hash of doc_id and, with many languages, thinned alike."""
     rows = pick(docs, "doc_id", "text", "lang")
     rows = rows.where(learnable(rows) & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
     rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_DOCS // 10).collect()}
-    want: Column = F.lit(False)
-    for lang, n in sizes.items():
-        want = want | ((F.col("lang") == lang) & (F.col("at") < int((1 << 40) * min(1.0, DOCS_PER_LANG / n))))
-    got = rows.where(want).orderBy("at", "doc_id").limit(SAMPLE_DOCS).select("text", "lang").collect()
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(SAMPLE_DOCS + 1).collect()}
+    if len(sizes) > SAMPLE_DOCS:
+        raise ValueError(f"over {SAMPLE_DOCS} languages, more than the sample has documents")
+    below = [(lang, int((1 << 40) * min(1.0, DOCS_PER_LANG / n))) for lang, n in sizes.items()]
+    some = rows.join(F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, below long")), "lang").where("at < below")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))
+    each = max(1, min(MOST_PER_LANG, SAMPLE_DOCS // max(1, len(sizes))))
+    got = some.withColumn("rank", rank).where(F.col("rank") <= each).orderBy("at", "doc_id").select("text", "lang").collect()
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 
 

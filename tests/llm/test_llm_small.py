@@ -194,6 +194,16 @@ def test_languages(spark, docs, none, labels):
     assert [w["lang"] for w in words] == ["en"] * 8 + ["de"] * 5
 
 
+def test_rare_languages_stay_in_the_sample(spark, monkeypatch):
+    ids = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    monkeypatch.setattr(languages, "fit", lambda texts, langs: langs)
+    for frequent, each, rare in ((28, 400, 10), (0, 0, 310)):
+        names = [f"f{k}" for k in range(frequent) for _ in range(each)] + [f"r{k}" for k in range(rare)]
+        rows = spark.createDataFrame([(i, "a text", lang) for i, lang in zip(ids, names, strict=False)], "doc_id long, text string, lang string")
+        got = languages.train(rows)
+        assert set(got) == set(names) and len(got) <= languages.SAMPLE_DOCS
+
+
 def test_forward_backward_against_all_paths():
     from itertools import product
 
