@@ -25,6 +25,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"c{at[n]}").alias(n) for n in names])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with their columns named c0, c1, ..., and doc_id, text and key: 128 bits of doc_id and text."""
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    named = [F.col(f"c{docs.columns.index(n)}").alias(n) for n in ("doc_id", "text")]
+    of_id = F.coalesce(F.concat(F.lit("v"), F.col("doc_id").cast("string")), F.lit("n"))
+    key = F.unhex(F.md5(F.concat(of_id, F.lit("\x1f"), F.coalesce("text", F.lit(""))).cast("binary")))
+    return flat.select("*", *named).withColumn("key", key)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; other letters stay."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import ascii_lower, cut, pick
+from lineweave.llm.common import ascii_lower, cut, keyed, pick
 
 WINDOW = 10
 #: Up to so many distinct windows the hash set is broadcast (8 bytes each); beyond, windows meet by a shuffled join.
 SET_WINDOWS = 200_000
-#: without_leaks() broadcasts the ids to drop up to this many (8 bytes each), beyond that it joins by a shuffle.
+#: without_leaks() broadcasts the keys to drop up to this many (16 bytes each), beyond that it joins by a shuffle.
 BROADCAST_IDS = 1_000_000
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -85,10 +85,11 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without a benchmark window; all columns stay. Rows that share a doc_id, or have none, stay or go together."""
-    gone = cut(hits(docs, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("leaked_id")).distinct())
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["leaked_id"]), "left_anti")
+    """The documents without a benchmark window; all columns stay. Each row is told by its own text, whatever its doc_id."""
+    rows = keyed(docs)
+    gone = cut(hits(rows.select(F.col("key").alias("doc_id"), "text"), benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("key")).distinct())
+    kept = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "key", "left_anti")
+    return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)])
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

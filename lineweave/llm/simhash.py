@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import cut, pick, utf8
+from lineweave.llm.common import cut, keyed, pick, utf8
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 BLOCK_ROWS = 4096
 #: Hot posting lists are broadcast up to this many (16 bytes each); more of them are joined by a shuffle.
 BROADCAST_LISTS = 100_000
-#: keep_one() broadcasts the ids to drop up to this many (8 bytes each), beyond that it joins by a shuffle.
+#: keep_one() broadcasts the keys to drop up to this many (16 bytes each), beyond that it joins by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -229,7 +229,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
 def keep_one(docs: DataFrame, shingle_words: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id stays.
 
-    All columns stay as they are. Rows that share a doc_id stay or go together, rows without a doc_id stay.
+    All columns stay as they are. Rows without an id come after those with one; of rows that share doc_id and text one stays.
     """
-    gone = cut(near_duplicates(docs, shingle_words, max_bits).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    docs_keyed = keyed(docs)
+    rows = cut(fingerprints(docs_keyed.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key").alias("doc_id"), "text"), shingle_words))
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    joined = components(links(fps.select("fp"), max_bits))
+    member = fps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = member.groupBy("root").agg(F.min("low").alias("stays")).select("root", "stays.key")
+    told = rows.join(member.join(best, "root").select("fp", F.col("key").alias("stays")), "fp").select("doc_id.key", (F.col("doc_id.key") == F.col("stays")).alias("stays"))
+    told = cut(told.groupBy("key", "stays").agg(F.count("*").alias("n")).where("not stays or n > 1"))
+    sizes = {r["stays"]: r["c"] for r in told.groupBy("stays").agg(F.count("*").alias("c")).collect()}
+
+    def those(stays: bool) -> DataFrame:
+        keys = told.where(F.col("stays") == stays).select("key")
+        return F.broadcast(keys) if sizes.get(stays, 0) <= BROADCAST_IDS else keys
+
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    kept = docs_keyed.join(those(False), "key", "left_anti")
+    if sizes.get(True):
+        again = kept.join(those(True), "key").groupBy("key").agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
+        kept = kept.join(those(True), "key", "left_anti").select(*columns).unionByName(again)
+    return kept.select(*[F.col(c).alias(n) for c, n in zip(columns, docs.columns, strict=True)])

@@ -324,6 +324,18 @@ def test_decontamination(spark, docs, none):
     assert left == {8: "der hund und die in dem haus"}
 
 
+def test_rows_without_or_with_equal_ids_are_told_one_by_one(spark):
+    leak = " ".join(f"Word{k}" for k in range(100, 113))
+    rows = [(None, leak, 1), (None, "a clean text of its own", 2), (7, leak, 3), (7, "another clean text, not like it", 4), (None, "a clean text of its own", 5), (8, "third one, seen twice in all", 6), (8, "third one, seen twice in all", 7), (9, None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert sorted(r["at"] for r in decontamination.without_leaks(df, bench).collect()) == [2, 4, 5, 6, 7, 8]
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(r["at"] for r in kept.collect())
+    assert len(got) == 5 and {3, 4, 8} <= set(got) and len({2, 5} & set(got)) == len({6, 7} & set(got)) == 1
+
+
 def _covered(spans):
     return {k for s in spans for k in range(s["start"], s["start"] + s["size"])}
 
