@@ -82,6 +82,12 @@ def paste_eligible(tool: Column) -> Column:
     return F.coalesce(tool == "copypaste", F.lit(False))
 
 
+def passes() -> dict[str, Column]:
+    """The three matchers in their order: tab log, copy and paste, AI; each with the edits it may use."""
+    tool, raw_meta = F.col("tool"), F.col("raw_meta")
+    return {"tab": is_tab_log(tool, raw_meta), "paste": paste_eligible(tool), "ai": ai_eligible(tool, raw_meta)}
+
+
 def accepted_lines(lines: Column) -> Column:
     """Lines in an array of ranges, those with end before start left out."""
     return F.aggregate(lines, F.lit(0).cast("long"), lambda n, r: n + F.when(r["end"] >= r["start"], r["end"] - r["start"] + 1).otherwise(0))

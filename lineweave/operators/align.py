@@ -1,19 +1,24 @@
 """Line alignment and the fold that carries authors through a file's edits.
 
-The alignment is a longest common subsequence of lines without white space, by a table of suffixes; where ties leave a
-choice, the old line is passed over first. It runs per file and edit inside ``applyInPandas``, so Spark partitions the
-work. Tables are bounded: beyond ``MOST_CELLS`` the multiset difference takes over and the row says so.
+The alignment is a longest common subsequence of lines without white space; where ties leave a choice, the old line is
+passed over first. It runs per file and edit inside ``applyInPandas``, so Spark partitions the work. Of the table only
+every sqrt(n)-th row is kept and the rows between are computed again while walking it, so a file of 10,000 lines takes
+some megabytes; there is no size at which another method takes over.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Log readers compare raw lines by counts instead, where old lines times new lines exceed this. Fixed value.
 MOST_CELLS = 9_000_000
-HUMAN = ("Human", "", "", "", "")  # type, tool, model, gen_type, session
+AUTHOR = ("author_type", "tool", "model", "gen_type", "session")
+HUMAN = ("Human", "", "", "", "")
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -29,40 +34,64 @@ def stripped(line: str) -> str:
     return "".join(line.split())
 
 
-def align(old: list[str], new: list[str], most_cells: int = MOST_CELLS) -> tuple[list[int], bool]:
-    """For each new line the old line it continues, or -1; and whether the table was within bounds."""
+def align(old: list[str], new: list[str]) -> list[int]:
+    """For each new line the old line it continues, or -1."""
     n, m, head = len(old), len(new), 0
     matched = [-1] * m
     while head < min(n, m) and old[head] == new[head]:
         matched[head] = head
         head += 1
-    a, b = old[head:], new[head:]
-    if not a or not b:
-        return matched, True
-    if len(a) * len(b) > most_cells:
-        free: dict[str, list[int]] = {}
-        for i, x in enumerate(a):
-            free.setdefault(x, []).append(i)
-        for j, x in enumerate(b):
-            if free.get(x):
-                matched[head + j] = head + free[x].pop(0)
-        return matched, False
-    names = {x: k for k, x in enumerate(dict.fromkeys(a + b))}
-    p, q = np.array([names[x] for x in a]), np.array([names[x] for x in b])
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        row = np.where(p[i] == q, table[i + 1, 1:] + 1, table[i + 1, :-1])
-        table[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    i = j = 0
-    while i < len(a) and j < len(b):
-        if p[i] == q[j]:
-            matched[head + j] = head + i
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
-        else:
-            j += 1
-    return matched, True
+    for i, j in common_subsequence(old[head:], new[head:]):
+        matched[head + j] = head + i
+    return matched
+
+
+def common_subsequence(old: list[str], new: list[str]) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence; of equally good ways the one that passes over old lines first."""
+    shared = set(old) & set(new)
+    if not shared:
+        return []
+    names = {x: k for k, x in enumerate(dict.fromkeys(new))}
+    p, q = [names[x] if x in shared else -1 for x in old], np.array([names[x] for x in new])
+    n, m, step = len(p), len(q), max(32, isqrt(len(p)))
+
+    def row_before(row: np.ndarray, i: int) -> np.ndarray:
+        """The row of old line i from that of line i + 1; the same row if no new line equals line i."""
+        if p[i] < 0:
+            return row
+        best = np.where(q == p[i], row[1:] + 1, row[:-1])
+        return np.append(np.maximum.accumulate(best[::-1])[::-1], np.int32(0))
+
+    row = np.zeros(m + 1, np.int32)
+    kept = {n: row}
+    for i in range(n - 1, -1, -1):
+        row = row_before(row, i)
+        if i % step == 0:
+            kept[i] = row
+    pairs, i, j = [], 0, 0
+    while i < n and j < m:
+        first, end = i - i % step, min(n, i - i % step + step)
+        rows = [kept[end]]
+        for k in range(end - 1, first - 1, -1):
+            rows.append(row_before(rows[-1], k))
+        rows.reverse()
+        while i < end and j < m:
+            if p[i] == q[j]:
+                pairs.append((i, j))
+                i, j = i + 1, j + 1
+            elif p[i] < 0 or rows[i + 1 - first][j] >= rows[i - first][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return pairs
+
+
+def by_counts(old: list[str], new: list[str]) -> list[int]:
+    """For each new line an old line of equal content, each once, the earliest first; or -1."""
+    free: dict[str, list[int]] = {}
+    for i in range(len(old) - 1, -1, -1):
+        free.setdefault(old[i], []).append(i)
+    return [free[x].pop() if free.get(x) else -1 for x in new]
 
 
 def moves(old: list[str], new: list[str], matched: list[int]) -> list[int]:
@@ -94,78 +123,89 @@ def replaced(matched: list[int], moved: list[int], n_old: int) -> list[int]:
     return out
 
 
-def attribute(prior: list[tuple], baseline: str | None, new: str | None, author: tuple) -> tuple[list[tuple], list[tuple | None], list[str], bool]:
-    """Authors of the new lines, the authors they overrode, the baseline lines that went, and whether the alignment is exact."""
+def attribute(prior: list[tuple], baseline: str | None, new: str | None, author: tuple) -> tuple[list[tuple], list[tuple | None], list[str]]:
+    """Authors of the new lines, the authors they overrode, and the baseline lines that went."""
     before, after = lines_of(baseline), lines_of(new)
     old, now = [stripped(x) for x in before], [stripped(x) for x in after]
-    matched, exact = align(old, now)
+    matched = align(old, now)
     moved = moves(old, now, matched)
     of = lambda i: prior[i] if i < len(prior) else HUMAN
     authors = [of(m if m >= 0 else v) if max(m, v) >= 0 else author for m, v in zip(matched, moved, strict=True)]
     over = [of(i) if i >= 0 and of(i)[0] != author[0] else None for i in replaced(matched, moved, len(old))]
     kept = set(matched) | set(moved)
-    return authors, over, [x for i, x in enumerate(before) if i not in kept], exact
+    return authors, over, [x for i, x in enumerate(before) if i not in kept]
 
 
-FOLD = "line_no int, author_type string, tool string, model string, gen_type string, session string, overrode string, exact boolean"
+FOLD = "line_no int, author_type string, tool string, model string, gen_type string, session string, overrode string"
 
 
 def fold(edits: DataFrame, keys: list[str], seed: DataFrame | None = None) -> DataFrame:
-    """keys, line_no, author..., overrode, exact: the authors of each file's lines after its edits, in order of ts and id.
+    """keys, line_no, author..., overrode: the authors of each file's lines after its edits, in order of ts and id.
 
     edits: keys, ts, id, content (the file after the edit), baseline (before the first; null is empty), author_type,
     tool, model, gen_type, session. seed: keys, authors (array of type, tool, model, gen_type, session by line).
-    A file's edits since one base commit are one group, so its size is bounded by that base's life.
+    A file's edits since one base commit are one row of the fold, so its size is bounded by that base's life.
     """
     schema = ", ".join(f"{k} {t}" for k, t in edits.select(*keys).dtypes) + ", " + FOLD
-    rows = edits if seed is None else edits.join(seed, keys, "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"], kind="stable")
-        prior, exact = [], True
-        if "authors" in pdf and pdf["authors"].iloc[0] is not None:
-            prior = [tuple(x[k] or "" for k in ("author_type", "tool", "model", "gen_type", "session")) for x in pdf["authors"].iloc[0]]
-        content, over = pdf["baseline"].iloc[0] or "", []
-        for r in pdf.itertuples():
-            author = (r.author_type, r.tool or "", r.model or "", r.gen_type or "", r.session or "")
-            prior, over, _, ok = attribute(prior, content, r.content, author)
-            content, exact = r.content or "", exact and ok
-        names = [c.split()[0] for c in FOLD.split(", ")]
-        out = pd.DataFrame([(i + 1, *a, o[0] if o else None, exact) for i, (a, o) in enumerate(zip(prior, over, strict=True))], columns=names)
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    return rows.groupBy(*keys).applyInPandas(run, schema)
-
-
-def aligned(pairs: DataFrame, keys: list[str], raw: bool = False) -> DataFrame:
-    """keys, new_pos, old_pos, moved, exact: for each new line of (old_text, new_text) the line it continues, or null.
-
-    With ``raw`` lines are compared as they are, and only what is added or moved is told apart (no move detection).
-    """
-    schema = ", ".join(f"{k} {t}" for k, t in pairs.select(*keys).dtypes) + ", new_pos int, old_pos int, moved boolean, exact boolean"
+    names = [*keys, *[c.split()[0] for c in FOLD.split(", ")]]
+    step = F.struct("ts", "id", "content", *[F.coalesce(c, F.lit("")).alias(c) for c in AUTHOR], F.coalesce("baseline", F.lit("")).alias("baseline"))
+    files = edits.groupBy(*keys).agg(F.sort_array(F.collect_list(step)).alias("steps"))
+    files = files.withColumn("authors", F.lit(None).cast("array<struct<author_type: string>>")) if seed is None else files.join(seed, keys, "left")
 
     def run(batches):
         for pdf in batches:
-            rows = []
+            out = []
             for r in pdf.to_dict("records"):
-                form = (lambda x: x) if raw else stripped
-                old, new = [form(x) for x in lines_of(r["old_text"])], [form(x) for x in lines_of(r["new_text"])]
-                matched, exact = align(old, new)
-                moved = [-1] * len(new) if raw else moves(old, new, matched)
+                prior = [] if r["authors"] is None else [tuple(x[k] or "" for k in AUTHOR) for x in r["authors"]]
+                content, over = r["steps"][0]["baseline"], []
+                for x in r["steps"]:
+                    prior, over, _ = attribute(prior, content, x["content"], tuple(x[k] for k in AUTHOR))
+                    content = x["content"] or ""
                 key = tuple(r[k] for k in keys)
-                rows += [(*key, j, m if m >= 0 else v if v >= 0 else None, v >= 0, exact) for j, (m, v) in enumerate(zip(matched, moved, strict=True))]
-            yield pd.DataFrame(rows, columns=[*keys, "new_pos", "old_pos", "moved", "exact"]).astype({"new_pos": "int32", "old_pos": "Int32"})
+                out += [(*key, i + 1, *a, o[0] if o else None) for i, (a, o) in enumerate(zip(prior, over, strict=True))]
+            yield pd.DataFrame(out, columns=names)
+
+    return files.mapInPandas(run, schema)
+
+
+def aligned(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, new_pos, old_pos, moved: for each new line of (old_text, new_text) the line it continues, or null."""
+    return _by_new_line(pairs, keys, "old_pos int, moved boolean", _continued)
+
+
+def _continued(old_text: str | None, new_text: str | None) -> list[tuple]:
+    old, new = ([stripped(x) for x in lines_of(t)] for t in (old_text, new_text))
+    matched = align(old, new)
+    return [(m if m >= 0 else v if v >= 0 else None, v >= 0) for m, v in zip(matched, moves(old, new, matched), strict=True)]
+
+
+def _by_new_line(pairs: DataFrame, keys: list[str], columns: str, of) -> DataFrame:
+    """keys, new_pos and what ``of(old_text, new_text)`` says of each new line."""
+    schema = ", ".join(f"{k} {t}" for k, t in pairs.select(*keys).dtypes) + f", new_pos int, {columns}"
+    names = [*keys, "new_pos", *[c.split()[0] for c in columns.split(", ")]]
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(*(r[k] for k in keys), j, *x) for r in pdf.to_dict("records") for j, x in enumerate(of(r["old_text"], r["new_text"]))]
+            out = pd.DataFrame(rows, columns=names).astype({"new_pos": "int32"})
+            yield out.astype({"old_pos": "Int32"}) if "old_pos" in names else out
 
     return pairs.select(*keys, "old_text", "new_text").mapInPandas(run, schema)
 
 
-def added_or_moved(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line_no, content, exact of the new lines that no old line at the same place in the order continues."""
+def added_or_moved(pairs: DataFrame, keys: list[str], most_cells: int = MOST_CELLS) -> DataFrame:
+    """keys, line_no, content, exact of the new lines that no old line at the same place in the order continues.
+
+    Raw lines are compared. Beyond ``most_cells`` counts of equal lines decide, as the log readers do, and exact is false.
+    """
     from lineweave.operators.diff import explode_lines
 
-    found = aligned(pairs, keys, raw=True).where(F.col("old_pos").isNull()).select(*keys, "new_pos", "exact")
+    def told(old_text: str | None, new_text: str | None) -> list[tuple]:
+        old, new = lines_of(old_text), lines_of(new_text)
+        exact = len(old) * len(new) <= most_cells
+        return [(m < 0, exact) for m in (align if exact else by_counts)(old, new)]
+
+    found = _by_new_line(pairs, keys, "added boolean, exact boolean", told).where("added").select(*keys, "new_pos", "exact")
     lines = explode_lines(pairs, "new_text", *keys).withColumnRenamed("pos", "new_pos")
     return found.join(lines, [*keys, "new_pos"]).select(*keys, (F.col("new_pos") + 1).alias("line_no"), "content", "exact")
 

@@ -49,14 +49,22 @@ def net_unchanged(lines: DataFrame, removed: DataFrame, edit: str = "edit_id", s
     return rest(lines, removed), rest(removed, lines)
 
 
-def line_rows(df: DataFrame, text: str, *keys: str, most: int = 4000, blanks: bool = True) -> DataFrame:
-    """keys, line_no, content_sha, content_sha_norm of the first ``most`` lines of a text (of the non-blank ones, if ``blanks`` is false)."""
+def line_rows(df: DataFrame, text: str, *keys: str, most: int | None = 4000, blanks: bool = True) -> DataFrame:
+    """keys, line_no, content_sha, content_sha_norm of the first ``most`` lines of a text (of the non-blank ones, if ``blanks``
+    is false), or of all with None. lines_cut() tells what a limit leaves out."""
     lines = explode_lines(df, text, *keys)
     if not blanks:
         lines = lines.where(~is_blank(F.col("content")))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
+    if most is not None:
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
+        lines = lines.withColumn("_nth", nth).where(F.col("_nth") <= most)
     sha = F.when(is_blank(F.col("content")), "").otherwise(line_sha(F.col("content")))
-    return lines.withColumn("_nth", nth).where(F.col("_nth") <= most).select(*keys, (F.col("pos") + 1).alias("line_no"), sha.alias("content_sha"), line_sha_norm(F.col("content")).alias("content_sha_norm"))
+    return lines.select(*keys, (F.col("pos") + 1).alias("line_no"), sha.alias("content_sha"), line_sha_norm(F.col("content")).alias("content_sha_norm"))
+
+
+def lines_cut(df: DataFrame, text: str, *keys: str, most: int = 4000) -> DataFrame:
+    """keys, n_cut: how many lines of a text lie beyond the first ``most``; texts that keep all are left out."""
+    return df.select(*keys, (F.size(split_lines(F.col(text))) - most).alias("n_cut")).where("n_cut > 0")
 
 
 def range_lines(df: DataFrame, start: str = "start_line", end: str = "end_line", line: str = "line_no") -> DataFrame:

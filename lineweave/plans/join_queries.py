@@ -19,8 +19,16 @@ IN_WINDOW = "select w.sha, e.* from edits_v e join windows_v w on e.repo_path =
 def candidates(t: Tables, eligible=None) -> DataFrame:
     """Units of the edits in each commit's window, by commit and file."""
     edits = joins.in_window(t.edits_v, t.windows_v, ["repo_path"])
-    lines = t.edit_lines_v.select("edit_id", "content_sha", "content_sha_norm")
-    return match.units_of(edits, lines, FILE, eligible)
+    return match.units_of(edits, hashes(t), FILE, eligible)
+
+
+def hashes(t: Tables) -> DataFrame:
+    return t.edit_lines_v.select("edit_id", "content_sha", "content_sha_norm")
+
+
+def drifted(t: Tables) -> DataFrame:
+    """Added lines of which every second has changed in white space only."""
+    return added(t).withColumn("content_sha", F.when(c("line_no") % 2 == 0, F.sha2(F.concat("content_sha", F.lit("x")), 256)).otherwise(c("content_sha")))
 
 
 def added(t: Tables) -> DataFrame:
@@ -74,7 +82,7 @@ def j07(t: Tables) -> DataFrame:
     return joins.upgraded_completions(e, 60 * joins.MINUTE).select("id", "gen_type")
 
 
-SCOPE = "select distinct repo_path, file_path, concat('s', cast(id % 20 as varchar(9))) as session_id, concat('b', cast(id % 2 as varchar(9))) as branch from edits_v where id < 60"
+SCOPE = "select distinct repo_path, file_path, concat('s', cast(id % 20 as varchar(9))) as session_id, concat('b', cast(id % 2 as varchar(9))) as branch from edits_v"
 
 
 @query("j08_session_scope", f"with sc as (select distinct repo_path, file_path, session_id from ({SCOPE})), e as (select *, case when id % 4 = 0 then null else session_id end as sid from edits_v) select e.id, sc.session_id as scope_session_id from e join sc on e.repo_path = sc.repo_path and e.file_path = sc.file_path and (e.sid = sc.session_id or e.sid is null)")
@@ -108,15 +116,22 @@ def j11(t: Tables) -> DataFrame:
     return match.exact(added(t), units, [*FILE, "content_sha"]).select("sha", "file_path", "line_no", "edit_id")
 
 
-@query("j12_consume_once_normalised", f"""{EXACT}, n as (select r.sha, r.repo_path, r.file_path, l.content_sha_norm, count(*) as n_units from r join edit_lines_v l on l.edit_id = r.id group by all)
-select a.sha, a.file_path, count(*) as n_matched from (select *, row_number() over (partition by sha, repo_path, file_path, content_sha_norm order by line_no) as kn from a) a
-join n on a.sha = n.sha and a.repo_path = n.repo_path and a.file_path = n.file_path and a.content_sha_norm = n.content_sha_norm and a.kn <= n.n_units group by a.sha, a.file_path""")
+# Of one file and hash: lines in order, even ones without an exact unit; edits in order with what they have of the hash.
+# The walk takes line after line: an exact one the first edit with some left and one of its normalised units, another
+# one the first edit with a normalised unit left.
+WALK = f"""{EXACT.replace("with w", "with recursive w", 1)},
+un as (select sha, repo_path, file_path, content_sha, list(edit_id order by rnk) as edits, list(n order by rnk) as n from (select r.sha, r.repo_path, r.file_path, l.content_sha, r.id as edit_id, any_value(rnk) as rnk, count(*) as n from r join edit_lines_v l on l.edit_id = r.id group by all) group by all),
+gr as (select un.*, lines from un join (select sha, repo_path, file_path, content_sha, list(line_no order by line_no) as lines from added_v group by all) using (sha, repo_path, file_path, content_sha)),
+st as (select sha, file_path, content_sha, edits, lines, 0 as k, n as whole, n as norm, cast(null as bigint) as hit from gr
+  union all select sha, file_path, content_sha, edits, lines, k + 1, case when lines[k + 1] % 2 = 1 and e1 is not null then list_transform(whole, lambda v, i: v - (i = e1)::int) else whole end,
+    list_transform(norm, lambda v, i: greatest(v - (i = e)::int, 0)), edits[e]
+    from (select *, case when lines[k + 1] % 2 = 1 and e1 is not null then e1 else e2 end as e from (select *, list_position(list_transform(whole, lambda v: v > 0), true) as e1, list_position(list_transform(norm, lambda v: v > 0), true) as e2 from st where k < len(lines))))"""
+
+
+@query("j12_consume_once_normalised", f"{WALK} select sha, file_path, cast(lines[k] as int) as line_no, hit as edit_id from st where hit is not null")
 def j12(t: Tables) -> DataFrame:
-    """Half of the committed lines have drifted in white space. How many lines are matched in a group of one normalised
-    hash doesn't depend on the order: as many as there are units, if there are lines for them."""
-    drifted = added(t).withColumn("content_sha", F.when(c("line_no") % 2 == 0, F.sha2(F.concat("content_sha", F.lit("x")), 256)).otherwise(c("content_sha")))
-    got = match.consume_once(drifted, candidates(t, rules.ai_eligible(c("tool"), c("raw_meta"))), FILE)
-    return got.groupBy("sha", "file_path").agg(F.count("*").alias("n_matched"))
+    units = candidates(t, rules.ai_eligible(c("tool"), c("raw_meta")))
+    return match.consume_once(drifted(t), units, FILE).select("sha", "file_path", "line_no", "edit_id")
 
 
 @query("j13_matcher_precedence", f"""
@@ -128,28 +143,29 @@ a as (select *, row_number() over (partition by sha, repo_path, file_path, conte
 select a.sha, a.file_path, cast(a.line_no as int) as line_no, case when k <= coalesce(n0, 0) then 'tab' when k <= coalesce(n0, 0) + coalesce(n1, 0) then 'paste' else 'ai' end as rule
 from a join v on a.sha = v.sha and a.repo_path = v.repo_path and a.file_path = v.file_path and a.content_sha = v.content_sha where k <= coalesce(n0, 0) + coalesce(n1, 0) + coalesce(n2, 0)""")
 def j13(t: Tables) -> DataFrame:
-    tool, meta = c("tool"), c("raw_meta")
-    passes = [(name, candidates(t, e)) for name, e in (("tab", rules.is_tab_log(tool, meta)), ("paste", rules.paste_eligible(tool)), ("ai", rules.ai_eligible(tool, meta)))]
-    return match.by_precedence(added(t), passes, FILE).select("sha", "file_path", "line_no", "rule")
+    edits = joins.in_window(t.edits_v, t.windows_v, ["repo_path"])
+    return match.by_precedence(added(t), match.pass_units(edits, hashes(t), FILE, rules.passes()), FILE).select("sha", "file_path", "line_no", "rule")
 
 
-@query("j14_removed_line_match", f"{EXACT} select a.sha, a.file_path, cast(a.line_no as int) as line_no, u.edit_id from a join u on a.sha = u.sha and a.repo_path = u.repo_path and a.file_path = u.file_path and a.content_sha = u.content_sha and a.k = u.k")
+@query("j14_removed_line_match", f"""{EXACT}, d as (select a.*, k as k_all from (select *, case when line_no % 2 = 0 then 'x' || content_sha else content_sha end as drifted from added_v) a join (select sha, repo_path, file_path, line_no, row_number() over (partition by sha, repo_path, file_path, content_sha, line_no % 2 order by line_no) as k from added_v) using (sha, repo_path, file_path, line_no)),
+sure as (select d.sha, d.repo_path, d.file_path, d.line_no, u.edit_id from d join u on d.sha = u.sha and d.repo_path = u.repo_path and d.file_path = u.file_path and d.drifted = u.content_sha and d.k_all = u.k),
+rest as (select *, row_number() over (partition by sha, repo_path, file_path, content_sha order by line_no) as k from d anti join sure using (sha, repo_path, file_path, line_no))
+select sha, file_path, cast(line_no as int) as line_no, edit_id from sure union all
+select r.sha, r.file_path, cast(r.line_no as int), u.edit_id from rest r join u on r.sha = u.sha and r.repo_path = u.repo_path and r.file_path = u.file_path and r.content_sha = u.content_sha and r.k = u.k""")
 def j14(t: Tables) -> DataFrame:
-    """Contents of the views are the same before and after normalising, so the second step has lines left only where
-    units are used up, and adds none."""
+    """Lines that went, half of them drifted: the exact budget first, then the normalised one, which it doesn't touch."""
     units = candidates(t, rules.ai_eligible(c("tool"), c("raw_meta")))
-    no_norm = units.withColumn("content_sha_norm", F.lit(""))
-    return match.consume_once(added(t), no_norm, FILE, "separate").select("sha", "file_path", "line_no", "edit_id")
+    return match.consume_once(drifted(t), units, FILE, "separate").select("sha", "file_path", "line_no", "edit_id")
 
 
 @query("j15_source_note_match", """
-with src as (select sha, file_path, content_sha, content_sha_norm, count(*) as n from added_v where line_no % 3 <> 0 group by all), a as (select *, row_number() over (partition by sha, file_path, content_sha_norm order by line_no) as k from added_v)
-select a.sha, a.file_path, count(*) as n_matched from a join (select sha, file_path, content_sha_norm, sum(n) as n from src group by all) s on a.sha = s.sha and a.file_path = s.file_path and a.content_sha_norm = s.content_sha_norm where a.k <= s.n group by a.sha, a.file_path""")
+with src as (select *, row_number() over (partition by sha, file_path, content_sha order by line_no) as k from added_v where line_no % 3 <> 0), a as (select *, row_number() over (partition by sha, file_path, content_sha order by line_no) as k from added_v)
+select a.sha, a.file_path, cast(a.line_no as int) as line_no, cast(s.line_no as bigint) as edit_id from a join src s on a.sha = s.sha and a.file_path = s.file_path and a.content_sha = s.content_sha and a.k = s.k""")
 def j15(t: Tables) -> DataFrame:
+    """One flag for both hashes: of one content the k-th line takes the k-th unit, drifted or not."""
     key = ["sha", "file_path"]
     source = t.added_v.where("line_no % 3 <> 0").select(*key, c("line_no").alias("rank"), c("line_no").cast("long").alias("edit_id"), "content_sha", "content_sha_norm")
-    drifted = t.added_v.select(*key, "line_no", F.when(c("line_no") % 2 == 0, F.sha2("content_sha", 256)).otherwise(c("content_sha")).alias("content_sha"), "content_sha_norm")
-    return match.consume_once(drifted, source, key, "flag").groupBy(*key).agg(F.count("*").alias("n_matched"))
+    return match.consume_once(drifted(t).drop("repo_path"), source, key, "flag").select(*key, "line_no", "edit_id")
 
 
 OLD_NOTE = "select sha, path, line_no, 'AI' as author_type, 'claude' as tool, 'm9' as model, 'chat' as gen_type from attr_v where side = 'add' and (ts_ns // 1000000000) % 2 = 0 and not (line_no = 1 and path = 'src/f1.py')"
@@ -209,10 +225,9 @@ def j21(t: Tables) -> DataFrame:
     """Each repository has one live base; its changed lines may match any edit since."""
     base = t.commits_v.groupBy("repo_path").agg(F.min("ts_ns").alias("base_ns"), F.min_by("sha", "ts_ns").alias("sha"))
     edits = t.edits_v.join(base, "repo_path").where(c("ts_ns") > c("base_ns"))
-    lines = t.edit_lines_v.select("edit_id", "content_sha", "content_sha_norm")
     changed = added(t).where("line_no % 2 = 1").join(base.select("sha"), "sha", "left_semi")
-    passes = [(n, match.units_of(edits, lines, FILE, e)) for n, e in (("paste", rules.paste_eligible(c("tool"))), ("ai", rules.ai_eligible(c("tool"), c("raw_meta"))))]
-    return match.by_precedence(changed, passes, FILE).select("sha", "file_path", "line_no", "rule")
+    passes = {name: rule for name, rule in rules.passes().items() if name != "tab"}
+    return match.by_precedence(changed, match.pass_units(edits, hashes(t), FILE, passes), FILE).select("sha", "file_path", "line_no", "rule")
 
 
 @query("j22_confirmed_chat_sessions", """
@@ -269,19 +284,24 @@ def j28(t: Tables) -> DataFrame:
     return joins.disagreements(note, live, key)
 
 
-@query("j29_shell_deletions_to_removed_lines", """select l.n as command_id, l.repo_path, l.file as file_path, d.pos, sha256(d.content) as content_sha from logs_v l join few_lines_v d on d.doc_id = l.n // 10 % 20 where l.n % 20 = 0""")
+DOC_OF = "n div 10 % (select count(*) from @documents)"
+
+
+@query("j29_shell_deletions_to_removed_lines", """select l.n as command_id, l.repo_path, l.file as file_path, d.pos, sha256(d.content) as content_sha from logs_v l join doc_lines_v d on d.doc_id = l.n // 10 % (select count(*) from documents) where l.n % 20 = 0 and trim(d.content) <> ''""")
 def j29(t: Tables) -> DataFrame:
-    head = t.logs_v.join(t.documents.where("doc_id < 20").select("doc_id", "text"), F.expr("doc_id = n div 10 % 20")).select("repo_path", F.expr("concat('x', n, '/', file)").alias("file_path"), F.array_join(F.slice(F.split("text", "\n"), 1, 8), "\n").alias("content"))
-    commands = t.logs_v.select(c("n").alias("command_id"), "repo_path", F.expr("concat('x', n)").alias("cwd"), shell.delete_targets(F.expr("concat(case when n % 20 = 0 then 'rm -rf ' else 'ls ' end, file)")).alias("targets"))
+    logs = t.sql(f"select *, {DOC_OF} as doc_id from logs_v")
+    head = logs.join(t.documents.select("doc_id", "text"), "doc_id").select("repo_path", F.expr("concat('x', n, '/', file)").alias("file_path"), c("text").alias("content"))
+    commands = logs.select(c("n").alias("command_id"), "repo_path", F.expr("concat('x', n)").alias("cwd"), shell.delete_targets(F.expr("concat(case when n % 20 = 0 then 'rm -rf ' else 'ls ' end, file)")).alias("targets"))
     got = joins.deletions_to_hashes(commands, head)
     return got.select("command_id", "repo_path", F.regexp_replace("file_path", "^x[0-9]+/", "").alias("file_path"), "pos", "content_sha")
 
 
-@query("j30_shell_writes_to_edits", """select l.n as command_id, l.file as file_path, d.pos + 1 as line_no, sha256(d.content) as content_sha, 'medium' as confidence from logs_v l join few_lines_v d on d.doc_id = l.n // 10 % 20 where l.n % 20 = 0""")
+@query("j30_shell_writes_to_edits", """select l.n as command_id, l.file as file_path, d.pos + 1 as line_no, case when trim(d.content) = '' then '' else sha256(d.content) end as content_sha, 'medium' as confidence from logs_v l join doc_lines_v d on d.doc_id = l.n // 10 % (select count(*) from documents) where l.n % 20 = 0""")
 def j30(t: Tables) -> DataFrame:
     from lineweave.operators.diff import line_rows
 
-    commands = t.logs_v.selectExpr("n as command_id", "concat(repo_path, '/', n) as repo_path", "n * 1000000000 as start_ns", "(n + 5) * 1000000000 as end_ns")
-    files = t.logs_v.selectExpr("concat(repo_path, '/', n) as repo_path", "file as file_path", "(n + case when n % 20 = 0 then 1 else 100 end) * 1000000000 as mtime_ns", "n div 10 % 20 as doc_id")
-    hit = joins.write_window(commands, files).join(files, ["repo_path", "file_path"]).join(t.documents.where("doc_id < 20").select("doc_id", F.array_join(F.slice(F.split("text", "\n"), 1, 8), "\n").alias("content")), "doc_id")
-    return line_rows(hit, "content", "command_id", "file_path").select("command_id", "file_path", "line_no", "content_sha", F.lit("medium").alias("confidence"))
+    logs = t.sql(f"select *, {DOC_OF} as doc_id from logs_v")
+    commands = logs.selectExpr("n as command_id", "concat(repo_path, '/', n) as repo_path", "n * 1000000000 as start_ns", "(n + 5) * 1000000000 as end_ns")
+    files = logs.selectExpr("concat(repo_path, '/', n) as repo_path", "file as file_path", "(n + case when n % 20 = 0 then 1 else 100 end) * 1000000000 as mtime_ns", "doc_id")
+    hit = joins.write_window(commands, files).join(files, ["repo_path", "file_path"]).join(t.documents.select("doc_id", c("text").alias("content")), "doc_id")
+    return line_rows(hit, "content", "command_id", "file_path", most=None).select("command_id", "file_path", "line_no", "content_sha", F.lit("medium").alias("confidence"))

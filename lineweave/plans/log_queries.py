@@ -53,27 +53,37 @@ def s05(t: Tables) -> DataFrame:
     return logs.session_log(with_noise(raw), KEY).select("session_id", "pos", "model", "input_tokens")
 
 
-PATCH = "select c.sha, c.n, l0.content as a, l1.content as b from commits_v c join few_lines_v l0 on l0.doc_id = c.n $div 10 % 20 and l0.pos = 0 join few_lines_v l1 on l1.doc_id = l0.doc_id and l1.pos = 1"
+# Of each commit one file's whole text: its lines go with "old " before them and come as they are.
+PATCH = "select c.sha, c.n, l.pos, l.content from commit_docs_v c join doc_lines_v l on l.doc_id = c.doc_id where c.f = 0"
 
 
-@query("s06_patch_apply_explode", f"""with p as ({PATCH.replace("$div", "//")}) select sha, 'src/a.py' as path, 'add' as change, a || '|' || b as added, '' as removed from p where n % 30 <> 0
-union all select sha, 'src/u.py', 'update', b, a from p where n % 30 <> 0 union all select sha, 'src/d.py', 'delete', '', a || '|' || b from p where n % 30 <> 0""")
+def patches(t: Tables) -> DataFrame:
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"])
+    return t.sql(PATCH).groupBy("sha", "n").agg(lines.alias("lines"))
+
+
+def marked(before: str) -> Column:
+    return F.array_join(F.transform("lines", lambda x: F.concat(F.lit(before), x)), "\n")
+
+
+@query("s06_patch_apply_explode", f"""with p as (select sha, n, string_agg(content, '|' order by pos) as new, string_agg('old ' || content, '|' order by pos) as old from ({PATCH.replace("$div", "//")}) where n % 30 <> 0 group by sha, n)
+select sha, 'src/a.py' as path, 'add' as change, new as added, '' as removed from p union all select sha, 'src/u.py', 'update', new, old from p union all select sha, 'src/d.py', 'delete', '', new from p""")
 def s06(t: Tables) -> DataFrame:
     change = lambda kind, content=None, diff=None: F.struct(F.lit(kind).alias("type"), (content if content is not None else F.lit(None).cast("string")).alias("content"), (diff if diff is not None else F.lit(None).cast("string")).alias("unified_diff"))
-    whole = F.concat("a", F.lit("\n"), "b", F.lit("\n"))
-    diff = F.concat(F.lit("--- a\n+++ b\n@@ -1 +1 @@\n-"), "a", F.lit("\n+"), "b")
+    whole, n = F.concat(marked(""), F.lit("\n")), F.size("lines")
+    diff = F.concat(F.lit("--- a\n+++ b\n@@ -1,"), n, F.lit(" +1,"), n, F.lit(" @@\n"), marked("-old "), F.lit("\n"), marked("+"))
     changes = F.create_map(F.lit("src/a.py"), change("add", whole), F.lit("./src/u.py"), change("update", None, diff), F.lit("src/d.py"), change("delete", whole), F.lit("src/none.py"), change("update", None, F.lit("@@ -1 +1 @@\n same")))
     payload = json(type=F.lit("patch_apply_end"), success=c("n") % 30 != 0, changes=changes)
-    raw = t.sql(PATCH).select("sha", c("n").alias("pos"), json(type=F.lit("event_msg"), payload=F.from_json(payload, "type string, success boolean, changes map<string, struct<type: string, content: string, unified_diff: string>>")).alias("line"))
+    raw = patches(t).select("sha", c("n").alias("pos"), json(type=F.lit("event_msg"), payload=F.from_json(payload, "type string, success boolean, changes map<string, struct<type: string, content: string, unified_diff: string>>")).alias("line"))
     got = logs.patch_edits(logs.session_log(raw, ["sha"]), ["sha"])
     return got.select("sha", "path", "change", F.array_join("added", "|").alias("added"), F.array_join("removed", "|").alias("removed"))
 
 
-@query("s07_patch_envelope_parse", f"""with p as ({PATCH.replace("$div", "//")}) select sha, 'src/x.py' as path, 'update' as op, '-' as sign, 1 as n, sha256(a) as content_sha from p union all select sha, 'src/x.py', 'update', '+', 1, sha256(b) from p
-union all select sha, 'src/n.py', 'add', '+', 1, sha256(a) from p union all select sha, 'src/n.py', 'add', '+', 2, sha256(b) from p union all select sha, 'src/old.py', 'delete', '', 0, '' from p""")
+@query("s07_patch_envelope_parse", f"""with p as ({PATCH.replace("$div", "//")}) select sha, 'src/x.py' as path, 'update' as op, '-' as sign, cast(pos + 1 as int) as n, sha256('old ' || content) as content_sha from p union all select sha, 'src/x.py', 'update', '+', cast(pos + 1 as int), sha256(content) from p
+union all select sha, 'src/n.py', 'add', '+', cast(pos + 1 as int), sha256(content) from p union all select distinct sha, 'src/old.py', 'delete', '', 0, '' from p""")
 def s07(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("*** Begin Patch\n*** Update File: ./src/x.py\n@@ def f\n same\n-"), "a", F.lit("\n+"), "b", F.lit("\n+\n*** Delete File: src/old.py\n*** Add File: src/n.py\n+"), "a", F.lit("\n+  \n+"), "b", F.lit("\n*** End Patch"))
-    return logs.patch_envelope(t.sql(PATCH).select("sha", text.alias("patch")), "patch", "sha").select("sha", "path", "op", "sign", "n", "content_sha")
+    text = F.concat(F.lit("*** Begin Patch\n*** Update File: ./src/x.py\n@@ def f\n same\n"), marked("-old "), F.lit("\n"), marked("+"), F.lit("\n+\n*** Delete File: src/old.py\n*** Add File: src/n.py\n+  \n"), marked("+"), F.lit("\n*** End Patch"))
+    return logs.patch_envelope(patches(t).select("sha", text.alias("patch")), "patch", "sha").select("sha", "path", "op", "sign", "n", "content_sha")
 
 
 @query("s08_chat_delta_replay", """

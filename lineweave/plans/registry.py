@@ -12,6 +12,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# Whether lines a and b are alike, for DuckDB: the bytes common at both ends, in hex digits, against half of all.
+_SPACED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+_HEX = "string_split(hex({0}), '')"
+_COMMON = "coalesce(list_position(list_transform(list_zip({0}, {1}), lambda z: z[1] = z[2]), false) - 1, least(strlen(a), strlen(b)) * 2)"
+_HEAD, _TAIL = _COMMON.format(_HEX.format("a"), _HEX.format("b")), _COMMON.format(f"list_reverse({_HEX.format('a')})", f"list_reverse({_HEX.format('b')})")
+ALIKE = f"""case when {_SPACED.format("a")} = {_SPACED.format("b")} then true when trim(a) = '' or trim(b) = '' then false
+  else 4 * least(({_HEAD}) // 2 + ({_TAIL}) // 2, least(strlen(a), strlen(b))) >= strlen(a) + strlen(b) end"""
+
+
 class Tables:
     """Views and tables of one folder, by attribute."""
 

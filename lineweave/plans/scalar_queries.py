@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import rules, shell, text
 from lineweave.operators import diff, joins
-from lineweave.plans.registry import Tables, query
+from lineweave.plans.registry import ALIKE, Tables, query
 
 c = F.col
 RAW_PATH = "concat(case when id % 4 = 0 then ' ./' when id % 4 = 1 then '/' when id % 4 = 2 then '' else './' end, replace(file_path, '/', case when id % 3 = 0 then chr(92) else '/' end), case when id % 5 = 0 then ' ' else '' end)"
@@ -158,14 +158,10 @@ def p23(t: Tables) -> DataFrame:
     return t.edits_v.select("id", text.uri_to_path(uri).alias("path"))
 
 
-@query("p24_line_similarity", """
-with p as (select doc_id, pos, content as a, case pos % 4 when 0 then replace(content, ' ', '  ') when 1 then substr(content, 1, 20) || 'zzz' when 2 then 'qq' || content else '' end as b from few_lines_v where regexp_full_match(content, '[ -~]*')),
-q as (select *, least(len(a), len(b)) as m from p), h as (select *, (select count(*) from range(1, m + 1) r(i) where substr(a, 1, i) = substr(b, 1, i)) as head from q),
-s as (select *, (select count(*) from range(1, m - head + 1) r(i) where right(a, i) = right(b, i)) as tail from h)
-select doc_id, pos, case when trim(regexp_replace(a, '\\s+', ' ', 'g')) = trim(regexp_replace(b, '\\s+', ' ', 'g')) then true when trim(a) = '' or trim(b) = '' then false else 4 * (head + tail) >= len(a) + len(b) end as alike from s""")
+@query("p24_line_similarity", f"with p as (select doc_id, pos, content as a, case pos % 4 when 0 then replace(content, ' ', '  ') when 1 then substr(content, 1, 20) || 'zzz' when 2 then 'qq' || content else '' end as b from doc_lines_v) select doc_id, cast(pos as int) as pos, {ALIKE} as alike from p")
 def p24(t: Tables) -> DataFrame:
     other = F.expr("case pos % 4 when 0 then replace(content, ' ', '  ') when 1 then concat(substr(content, 1, 20), 'zzz') when 2 then concat('qq', content) else '' end")
-    return t.few_lines_v.where(c("content").rlike("^[ -~]*$")).select("doc_id", "pos", text.similar(c("content"), other).alias("alike"))
+    return t.doc_lines_v.select("doc_id", "pos", text.similar(c("content"), other).alias("alike"))
 
 
 @query("p25_rounded_share", "select sha, round(ai_lines * 1000.0 / case when added_lines = 0 then 1 else added_lines end) / 10 as pct from totals_v")

@@ -61,10 +61,10 @@ def file_edits(t: Tables) -> DataFrame:
     return docs.select("doc_id", F.explode(both).alias("e")).select("doc_id", "e.*")
 
 
-@query("t05_working_log_state", "select doc_id, cast(count(*) as bigint) as ai_lines, cast(1 as bigint) as human_lines from doc_lines_v where not (content = '' and pos = (select max(pos) from doc_lines_v d where d.doc_id = doc_lines_v.doc_id)) group by doc_id")
+@query("t05_working_log_state", "with l as (select doc_id, pos from doc_lines_v where not (content = '' and pos = (select max(pos) from doc_lines_v d where d.doc_id = doc_lines_v.doc_id))) select doc_id, cast(pos + 1 as int) as line_no, 'AI' as author_type, 'claude' as tool from l union all select doc_id, cast(count(*) + 1 as int), 'Human', '' from l group by doc_id")
 def t05(t: Tables) -> DataFrame:
     log = streams.updated(t.spark, streams.working_log(file_edits(t), ["doc_id"]), "working_log")
-    return log.groupBy("doc_id").agg(F.count(F.when(c("author_type") == "AI", 1)).alias("ai_lines"), F.count(F.when(c("author_type") == "Human", 1)).alias("human_lines"))
+    return log.select("doc_id", "line_no", "author_type", "tool")
 
 
 @query("t06_work_sessions", """
@@ -141,16 +141,16 @@ def x02(t: Tables) -> DataFrame:
     return matcher(c("tool") == "codex")(added(t)).groupBy("file_path").agg(F.count("*").alias("n"))
 
 
-@query("x03_seed_hook", "select doc_id, count(*) as n from few_lines_v group by doc_id")
+@query("x03_seed_hook", "select doc_id, cast(pos + 1 as int) as line_no, 'AI' as author_type, 'seeded' as tool from doc_lines_v")
 def x03(t: Tables) -> DataFrame:
     """The first state comes from a table: unchanged files keep the authors it names."""
     from lineweave.operators import align
 
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n")
     who = F.transform(F.array_sort(F.collect_list("pos")), lambda _: F.struct(F.lit("AI").alias("author_type"), F.lit("seeded").alias("tool"), F.lit("").alias("model"), F.lit("").alias("gen_type"), F.lit("").alias("session")))
-    seed = t.few_lines_v.groupBy("doc_id").agg(text.alias("content"), who.alias("authors"))
+    seed = t.doc_lines_v.groupBy("doc_id").agg(text.alias("content"), who.alias("authors"))
     edit = seed.select("doc_id", F.lit(1).alias("ts"), F.lit(1).alias("id"), "content", c("content").alias("baseline"), F.lit("Human").alias("author_type"), *[F.lit("").alias(x) for x in ("tool", "model", "gen_type", "session")])
-    return align.fold(edit, ["doc_id"], seed.select("doc_id", "authors")).where("tool = 'seeded'").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return align.fold(edit, ["doc_id"], seed.select("doc_id", "authors")).select("doc_id", "line_no", "author_type", "tool")
 
 
 @query("x04_reader_interface", "select repo_path, tool, count(*) as n from edits_v where tool in ('codex', 'cursor') group by all")
@@ -170,11 +170,11 @@ def x05(t: Tables) -> DataFrame:
     return t.edits_v.select("id", F.array_join(shell.write_targets(command), ",").alias("written"), F.array_join(shell.delete_targets(command), ",").alias("removed"))
 
 
-@query("x06_table_functions", "select doc_id, pos + 1 as line_no, content from few_lines_v")
+@query("x06_table_functions", "select doc_id, cast(pos + 1 as int) as line_no, content from doc_lines_v")
 def x06(t: Tables) -> DataFrame:
     """The SQL surface: a table function that turns a diff into its added lines."""
     readers.register(t.spark)
-    diffs = t.few_lines_v.groupBy("doc_id").agg(F.concat(F.lit("@@ -0,0 +1,9 @@\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: F.concat(F.lit("+"), x["content"])), "\n")).alias("diff"))
+    diffs = t.doc_lines_v.groupBy("doc_id").agg(F.concat(F.lit("@@ -0,0 +1,9 @@\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: F.concat(F.lit("+"), x["content"])), "\n")).alias("diff"))
     diffs.createOrReplaceTempView("x06_diffs")
     return t.spark.sql("select doc_id, a.line_no, a.content from x06_diffs, lateral added_lines(diff) a")
 

@@ -48,7 +48,8 @@ def with_views(text: str, duck: bool) -> str:
         return dialect(text, duck)
     ctes = ",\n".join(f"{n} as (\n{VIEWS[n][duck].strip()}\n)" for n in VIEWS if n in wanted)
     body = text.strip()
-    joined = f"with {ctes},\n{body[5:]}" if body.lower().startswith("with ") else f"with {ctes}\n{body}"
+    opening = next((x for x in ("with recursive ", "with ") if body.lower().startswith(x)), None)
+    joined = f"{opening}{ctes},\n{body[len(opening) :]}" if opening else f"with {ctes}\n{body}"
     return dialect(joined, duck)
 
 
@@ -72,7 +73,6 @@ def view(session: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 define("doc_lines_v", "select doc_id, posexplode(split(text, '\\n')) as (pos, content) from @documents",
        "select doc_id, cast(unnest(range(len(a))) as int) as pos, unnest(a) as content from (select doc_id, string_split(text, chr(10)) a from documents)")
-define("few_lines_v", "select doc_id, pos, content from doc_lines_v where doc_id < 40 and pos < 8")
 define("edits_v", """
 select event_id as id, $us * 1000 as ts_ns, concat('repo', cast(user_id % 4 as varchar(9))) as repo_path, concat('src/f', cast(k % 3 as varchar(9)), '.py') as file_path,
   case event_type when 'click' then 'claude' when 'view' then 'cursor' when 'purchase' then 'codex' when 'signup' then 'copilot'
@@ -89,31 +89,34 @@ from (select *, $k as k from @events) e""")
 define("commits_v", """
 select concat('c', cast(event_id as varchar(19))) as sha, concat('repo', cast(user_id % 4 as varchar(9))) as repo_path, $sec * 1000000000 as ts_ns,
   concat('b', cast(user_id % 2 as varchar(9))) as branch, cast(event_id as bigint) as n from @events where event_id % 10 = 0""")
+# Documents are dealt by the table's own count: the ten edits before a commit share a document with one of its files.
+define("edit_docs_v", "select *, (id $div 10) % (select count(*) from @documents) as doc_id from edits_v")
+define("commit_docs_v", """
+select c.*, f.f, concat('src/f', cast(f.f as varchar(9)), '.py') as file_path, (c.n $div 10 - f.f + (select count(*) from @documents)) % (select count(*) from @documents) as doc_id
+from commits_v c cross join (select 0 as f union all select 1 union all select 2) f""")
 define("edit_lines_v", """
 select e.id as edit_id, l.pos + 1 as line_no, l.content, #sha[l.content] as content_sha, #sha[replace(trim(l.content), '  ', ' ')] as content_sha_norm
-from edits_v e join few_lines_v l on l.doc_id = e.id % 20 and l.pos < 6""")
+from edit_docs_v e join doc_lines_v l on l.doc_id = e.doc_id""")
 define("added_v", """
-select c.sha, c.repo_path, concat('src/f', cast(f.f as varchar(9)), '.py') as file_path, c.ts_ns, l.pos + 1 as line_no, l.content,
-  #sha[l.content] as content_sha, #sha[replace(trim(l.content), '  ', ' ')] as content_sha_norm
-from commits_v c cross join (select 0 as f union all select 1 union all select 2) f
-  join few_lines_v l on l.doc_id = (c.n $div 10 + f.f) % 20 and l.pos < 8""")
+select c.sha, c.repo_path, c.file_path, c.ts_ns, l.pos + 1 as line_no, l.content, #sha[l.content] as content_sha, #sha[replace(trim(l.content), '  ', ' ')] as content_sha_norm
+from commit_docs_v c join doc_lines_v l on l.doc_id = c.doc_id""")
 define("drift_v", """
-select doc_id, pos, case pos % 4 when 0 then content when 1 then concat('  ', content) when 2 then replace(content, ' ', '  ') else '' end as content from few_lines_v""")
-define("old_v", "select doc_id, pos, content from few_lines_v")
+select doc_id, pos, case pos % 4 when 0 then content when 1 then concat('  ', content) when 2 then replace(content, ' ', '  ') else '' end as content from doc_lines_v""")
+define("old_v", "select doc_id, pos, content from doc_lines_v")
 define("new_v", """
 select doc_id, cast(row_number() over (partition by doc_id order by late, pos, again) - 1 as int) as pos, content from (
-  select doc_id, pos, 0 as again, case when pos < 2 then 1 else 0 end as late, content from few_lines_v where pos % 5 <> 2
-  union all select doc_id, pos, 1 as again, case when pos < 2 then 1 else 0 end as late, concat(content, '  ') as content from few_lines_v where pos % 7 = 3) x""")
+  select doc_id, pos, 0 as again, case when pos < 2 then 1 else 0 end as late, content from doc_lines_v where pos % 5 <> 2
+  union all select doc_id, pos, 1 as again, case when pos < 2 then 1 else 0 end as late, concat(content, '  ') as content from doc_lines_v where pos % 7 = 3) x""")
 define("windows_v", """
 select sha, repo_path, branch, n, ts_ns, cast(coalesce(max(ts_ns) over (partition by repo_path order by ts_ns range between unbounded preceding and 1 preceding), 0) as bigint) as prev_ns
 from commits_v""")
 define("attr_v", """
-select sha, concat('src/f', cast(f.f as varchar(9)), '.py') as path, case when l.pos % 3 = 2 then 'del' else 'add' end as side, l.pos + 1 as line_no, l.content,
+select sha, c.file_path as path, case when l.pos % 3 = 2 then 'del' else 'add' end as side, l.pos + 1 as line_no, l.content,
   case when (c.n $div 10 + l.pos $div 2) % 3 = 0 then 'Human' else 'AI' end as author_type,
   case when (c.n $div 10 + l.pos $div 2) % 3 = 0 then case when c.n % 20 = 0 then 'copypaste' else '' end when c.n % 20 = 0 then 'claude' else 'cursor' end as tool,
   case when (c.n $div 10 + l.pos $div 2) % 3 = 0 or c.n % 30 = 0 then null else concat('m', cast(l.pos % 2 as varchar(9))) end as model,
   case when (c.n $div 10 + l.pos $div 2) % 3 = 0 then 'human' when c.n % 40 = 0 then null when l.pos < 3 then 'chat' when l.pos < 5 then 'cli' else 'completion' end as gen_type, c.ts_ns, c.repo_path
-from commits_v c cross join (select 0 as f union all select 1) f join few_lines_v l on l.doc_id = (c.n $div 10 + f.f) % 20 and l.pos < 8""")
+from commit_docs_v c join doc_lines_v l on l.doc_id = c.doc_id where c.f < 2""")
 define("turns_v", """
 select concat('s', cast(conv_id as varchar(19))) as session_id, cast(turn as int) as turn, role, text, 1704067200000000000 + conv_id * 3600000000000 + turn * 60000000000 as ts_ns,
   case when role = 'assistant' then concat('m', cast(conv_id % 3 as varchar(9))) else '' end as model, case when role = 'assistant' then turn * 10 else 0 end as input_tokens, case when role = 'assistant' then turn else 0 end as output_tokens
@@ -134,8 +137,8 @@ define("fs_v", """
 select event_id as id, case event_id % 13 when 0 then 'delete' when 1 then 'create' when 2 then 'rename' when 3 then 'copy' when 4 then 'chmod' else 'Move' end as kind,
   case when event_id % 17 = 0 then '' else concat('repo', cast(user_id % 4 as varchar(9))) end as repo_path, concat('src/f', cast(event_id % 3 as varchar(9)), '.py') as path,
   concat('src/f', cast(event_id % 3 as varchar(9)), '.py') as old_path, case when event_id % 19 = 0 then '' else concat('src/g', cast(event_id % 2 as varchar(9)), '.py') end as new_path,
-  concat('src/f', cast(event_id % 3 as varchar(9)), '.py') as src_path, concat('src/h', cast(event_id % 2 as varchar(9)), '.py') as dst_path, $us * 1000 as at_ns from @events where event_id % 5 = 0""")
+  concat('src/f', cast(event_id % 3 as varchar(9)), '.py') as src_path, concat('src/h', cast(event_id % 2 as varchar(9)), '.py') as dst_path, $us * 1000 as at_ns from @events""")
 define("blame_v", "select file_path as path, line_no + 2 as final_line, sha, line_no as origin_line from added_v")
 define("ranges_v", """
 select sha, concat('src/f', cast(n % 3 as varchar(9)), '.py') as path, 2 as start_line, 5 as end_line, case when n % 20 = 0 then 'Human' else 'AI' end as author_type, case when n % 30 = 0 then '' else 'claude' end as tool from commits_v""")
-define("markers_v", "select tool, case when id % 6 = 0 then '' else repo_path end as repo_path, ts_ns as marker_ts, case when id % 4 = 0 then '' else model end as marker_model from edits_v where gen_type = 'chat' and id % 3 = 0")
+define("markers_v", "select tool, case when id % 6 = 0 then '' else repo_path end as repo_path, ts_ns as marker_ts, case when id % 4 = 0 then '' else model end as marker_model from edits_v where gen_type = 'chat'")

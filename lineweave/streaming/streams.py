@@ -144,7 +144,7 @@ def working_log(edits: DataFrame, keys: list[str]) -> DataFrame:
         version, content, who, tool = state.get if state.exists else (0, "", [], [])
         prior, over = [(a, b, "", "", "") for a, b in zip(who, tool, strict=True)], []
         for r in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
-            prior, over, _, _ = align.attribute(prior, content, r.content, (r.author_type, r.tool or "", "", "", ""))
+            prior, over, _ = align.attribute(prior, content, r.content, (r.author_type, r.tool or "", "", "", ""))
             content = r.content or ""
         version += 1
         state.update((version, content, [p[0] for p in prior], [p[1] for p in prior]))
