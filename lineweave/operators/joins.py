@@ -61,46 +61,58 @@ def widened(windows: DataFrame) -> DataFrame:
     return windows.withColumn("prev_ns", F.least("prev_ns", "prev_touch_ns"))
 
 
-def near(edits: DataFrame, markers: DataFrame, on: list[str], width: int) -> DataFrame:
-    """Pairs of edits and markers within ``width`` of each other; both sides fall into buckets of that width and an edit
-    looks into three. markers: on, marker_ts and what is wanted of them."""
-    e = edits.withColumn("_bucket", F.explode(F.array(*[bucket_of(F.col("ts_ns"), width) + k for k in (-1, 0, 1)])))
-    m = markers.withColumn("_bucket", bucket_of(F.col("marker_ts"), width))
-    return e.join(m, [*on, "_bucket"]).where(F.abs(F.col("ts_ns") - F.col("marker_ts")) <= width).drop("_bucket")
+def banded(rows: DataFrame, time: str, width: int, bucket: int | None = None) -> DataFrame:
+    """Rows with _bucket, and once more (with _own false) in a neighbouring bucket that they are within ``width`` of.
+
+    So a window over keys and _bucket sees all rows within ``width`` of its own ones, and a key that holds most rows is
+    spread over its buckets.
+    """
+    size = bucket or 16 * width
+    at = [bucket_of(F.col(time) + k, size) for k in (0, -width, width)]
+    return rows.withColumn("_bucket", F.explode(F.array_distinct(F.array(*at)))).withColumn("_own", F.col("_bucket") == at[0])
 
 
 def nearest_model(edits: DataFrame, markers: DataFrame, width: int = 30 * MINUTE) -> DataFrame:
     """near_model: of the markers of the tool within the band, in the same repository or in none, the latest one's model.
 
     markers: tool, repo_path (may be blank), marker_ts, marker_model (blank ones don't count). Ties go to the smaller name.
+    An edit looks at the last marker up to the end of its band, once for its repository and once for none; no pairs arise.
     """
-    some = markers.where(F.coalesce(F.col("marker_model"), F.lit("")) != "").withColumnRenamed("repo_path", "_repo")
-    pairs = near(edits.select("id", "tool", "repo_path", "ts_ns"), some, ["tool"], width).where((F.col("_repo") == F.col("repo_path")) | (F.col("_repo") == ""))
-    order = Window.partitionBy("id").orderBy(F.desc("marker_ts"), "marker_model")
-    best = pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("id", F.col("marker_model").alias("near_model"))
-    return edits.join(best, "id", "left")
+    size = 8 * width
+    some = markers.where(F.coalesce(F.col("marker_model"), F.lit("")) != "").select("tool", F.coalesce("repo_path", F.lit("")).alias("_repo"), F.col("marker_ts").alias("_at"), "marker_model")
+    own = bucket_of(F.col("_at"), size)
+    seen = some.withColumn("_bucket", F.explode(F.array_distinct(F.array(own, bucket_of(F.col("_at") + 2 * width, size)))))
+    repos = F.explode(F.array_distinct(F.array(F.coalesce("repo_path", F.lit("")), F.lit(""))))
+    asks = edits.select("id", "tool", repos.alias("_repo"), (F.col("ts_ns") + width).alias("_at")).withColumn("_bucket", own)
+    rows = seen.unionByName(asks, allowMissingColumns=True)
+    before = Window.partitionBy("tool", "_repo", "_bucket").orderBy("_at", F.col("id").isNotNull(), F.desc("marker_model")).rowsBetween(Window.unboundedPreceding, 0)
+    marker = F.when(F.col("id").isNull(), F.struct((-F.col("_at")).alias("back"), "marker_model"))
+    got = rows.withColumn("_m", F.last(marker, True).over(before)).where(F.col("id").isNotNull() & (F.col("_at") + F.col("_m.back") <= 2 * width))
+    return edits.join(got.groupBy("id").agg(F.min("_m")["marker_model"].alias("near_model")), "id", "left")
 
 
 def nearest_gen_type(edits: DataFrame, width: int = MINUTE) -> DataFrame:
     """near_gen: ``chat`` if any edit of the tool within the band is one, else the latest known type in it; only for
     two tools, and a completion of high confidence stays what it is."""
-    band = Window.partitionBy("tool").orderBy("ts_ns").rangeBetween(-width, width)
+    band = Window.partitionBy("tool", "_bucket").orderBy("ts_ns").rangeBetween(-width, width)
     known = F.when(~F.col("gen_type").isin("unknown", ""), F.struct("ts_ns", "gen_type"))
     any_chat = F.max((F.col("gen_type") == "chat").cast("int")).over(band)
     latest = F.max(known).over(band)["gen_type"]
     sure = (F.col("gen_type") == "completion") & (F.col("confidence") == "high")
     found = F.when(sure, F.col("gen_type")).when(any_chat == 1, "chat").otherwise(F.coalesce(latest, F.col("gen_type")))
-    return edits.withColumn("near_gen", F.when(F.col("tool").isin("copilot", "cursor"), found).otherwise(F.col("gen_type")))
+    rows = banded(edits, "ts_ns", width).withColumn("near_gen", F.when(F.col("tool").isin("copilot", "cursor"), found).otherwise(F.col("gen_type")))
+    return rows.where("_own").drop("_bucket", "_own")
 
 
 def upgraded_completions(edits: DataFrame, width: int = MINUTE) -> DataFrame:
     """Completions within a minute of a chat marker of their tool become chats, unless of high confidence, without file
     or from the tab log. A marker is a chat without a file. edits: also is_tab (boolean)."""
-    band = Window.partitionBy("tool").orderBy("ts_ns").rangeBetween(-width, width)
+    band = Window.partitionBy("tool", "_bucket").orderBy("ts_ns").rangeBetween(-width, width)
     marker = (F.col("gen_type") == "chat") & (F.col("file_path") == "") & F.col("tool").isin("copilot", "cursor")
     marked = F.max(marker.cast("int")).over(band) == 1
     open_ = (F.col("gen_type") == "completion") & (F.col("confidence") != "high") & (F.col("file_path") != "") & ~F.col("is_tab")
-    return edits.withColumn("gen_type", F.when(marked & open_, "chat").otherwise(F.col("gen_type")))
+    rows = banded(edits, "ts_ns", width).withColumn("_to", F.when(marked & open_, "chat").otherwise(F.col("gen_type")))
+    return rows.where("_own").withColumn("gen_type", F.col("_to")).drop("_bucket", "_own", "_to")
 
 
 def scoped(edits: DataFrame, scope: DataFrame, on: list[str], key: str) -> DataFrame:
@@ -268,16 +280,39 @@ def file_operations(files: DataFrame, targets: DataFrame, on: list[str]) -> Data
     """Files that operation targets name: exactly, by base name, or by a glob over either. files: on, path. targets: on, target."""
     base = lambda c: F.element_at(F.split(F.translate(c, "\\", "/"), "/"), -1)
     f = files.withColumn("_base", base(F.col("path")))
-    t = targets.withColumns({"_tbase": base(F.col("target")), "_glob": F.col("target").rlike(r"[*?\[]")})
-    plain = f.join(t.where(~F.col("_glob")), [*on]).where((F.col("path") == F.col("target")) | (F.col("_base") == F.col("_tbase")))
-    glob = f.join(t.where(F.col("_glob")), [*on]).where(F.rlike(F.col("path"), glob_to_regex(F.col("target"))) | F.rlike(F.col("_base"), glob_to_regex(F.col("target"))))
-    return plain.unionByName(glob).select(*on, "path", "target").distinct()
+    t = targets.withColumn("_glob", F.col("target").rlike(r"[*?\[]"))
+    plain = f.join(t.where(~F.col("_glob")).withColumn("_base", base(F.col("target"))), [*on, "_base"])
+    names = f.select(*on, "path", F.explode(F.array_distinct(F.array("path", "_base"))).alias("_name"))
+    glob = _globbed(names, t.where("_glob").select(*on, "target"), on, "target")
+    return plain.select(*on, "path", "target").unionByName(glob.select(*on, "path", "target")).distinct()
+
+
+def _globbed(names: DataFrame, globs: DataFrame, on: list[str], glob: str) -> DataFrame:
+    """Rows with a _name and each glob that it meets. Globs that end in a plain extension meet names of that extension by
+    an equi join; of the others each is tried on every name with equal ``on``."""
+    ending = lambda c: F.regexp_extract(c, r"(\.[^.*?\[\]/\\]+)$", 1)
+    g = globs.withColumn("_end", ending(F.col(glob)))
+    meets = F.rlike(F.col("_name"), glob_to_regex(F.col(glob)))
+    named = names.withColumn("_end", ending(F.col("_name"))).join(g.where("_end <> ''"), [*on, "_end"]).where(meets).drop("_end")
+    rest = g.where("_end = ''").drop("_end")
+    free = names.join(rest, on) if on else names.crossJoin(F.broadcast(_few(rest)))
+    return named.unionByName(free.where(meets).select(*named.columns))
+
+
+#: Rules that have no key to join by are tried on every file; more of them than this are refused.
+MOST_FREE_RULES = 10_000
+
+
+def _few(rules: DataFrame) -> DataFrame:
+    if len(rules.limit(MOST_FREE_RULES + 1).collect()) > MOST_FREE_RULES:
+        raise ValueError(f"over {MOST_FREE_RULES} globs without an extension")
+    return rules
 
 
 def excluded(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files that an exclude rule hits, once each. files: path. rules: kind (component, glob, anchored, anywhere), pattern.
 
-    Component and anchored rules are equi joins on the path's parts and prefixes; the few others are tried on each file.
+    Rules meet the path's parts, prefixes or extension by equi joins; only globs without an extension are tried on each file.
     """
     p = F.regexp_replace(F.translate("path", "\\", "/"), r"^\./", "")
     rows = files.select("path").distinct().withColumn("_p", p).withColumn("_parts", F.split("_p", "/"))
@@ -285,9 +320,10 @@ def excluded(files: DataFrame, rules: DataFrame) -> DataFrame:
     parts = rows.select("path", F.explode("_parts").alias("pattern")).join(of("component"), "pattern", "left_semi").select("path")
     heads = F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda n: F.array_join(F.slice("_parts", 1, n), "/"))
     anchored = rows.select("path", F.explode(heads).alias("pattern")).join(of("anchored"), "pattern", "left_semi").select("path")
-    base = rows.select("path", F.element_at("_parts", -1).alias("_base"))
-    glob = base.join(of("glob"), F.rlike(F.col("_base"), glob_to_regex(F.col("pattern"))), "left_semi").select("path")
-    anywhere = rows.join(of("anywhere"), F.concat(F.lit("/"), "_p", F.lit("/")).contains(F.concat(F.lit("/"), "pattern", F.lit("/"))), "left_semi").select("path")
+    glob = _globbed(rows.select("path", F.element_at("_parts", -1).alias("_name")), of("glob"), [], "pattern").select("path")
+    first = of("anywhere").withColumn("_part", F.element_at(F.split("pattern", "/"), 1))
+    tried = rows.select("path", "_p", F.explode(F.array_distinct("_parts")).alias("_part")).join(first, "_part")
+    anywhere = tried.where(F.concat(F.lit("/"), "_p", F.lit("/")).contains(F.concat(F.lit("/"), "pattern", F.lit("/")))).select("path")
     return parts.union(anchored).union(glob).union(anywhere).distinct()
 
 
@@ -298,7 +334,8 @@ def write_window(commands: DataFrame, files: DataFrame, floor: int = 15 * SECOND
     commands: command_id, repo_path, start_ns, end_ns. files: repo_path, file_path, mtime_ns.
     """
     width = F.least(F.greatest(F.col("end_ns") - F.col("start_ns"), F.lit(0)) + floor, F.lit(most))
-    got = commands.join(files, "repo_path").where((F.col("mtime_ns") <= F.col("end_ns")) & (F.col("mtime_ns") >= F.col("end_ns") - width))
+    c = commands.withColumn("_bucket", F.explode(F.sequence(bucket_of(F.col("end_ns") - width, most), bucket_of(F.col("end_ns"), most))))
+    got = c.join(files.withColumn("_bucket", bucket_of(F.col("mtime_ns"), most)), ["repo_path", "_bucket"]).where((F.col("mtime_ns") <= F.col("end_ns")) & (F.col("mtime_ns") >= F.col("end_ns") - width))
     n = F.count("*").over(Window.partitionBy("command_id"))
     return got.withColumn("_n", n).where(F.col("_n") <= limit).select("command_id", "repo_path", "file_path", "mtime_ns")
 

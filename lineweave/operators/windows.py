@@ -35,7 +35,7 @@ def inherit_blank(lines: DataFrame, keys: list[str], within_run: bool = True) ->
     who = F.struct("author_type", "tool", "model", "gen_type")
     full = F.when(~is_blank(F.col("content")), who)
     above = F.last(full, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    below = F.first(full, True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    below = F.last(full, True).over(Window.partitionBy(*keys, "_island").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_from", F.coalesce(above, below))
     takes = is_blank(F.col("content")) & (F.col("author_type") != "AI") & F.coalesce(F.col("_from.author_type") == "AI", F.lit(False))
     parts = ("author_type", "tool", "model", "gen_type")
@@ -61,8 +61,8 @@ def carry_forward(rows: DataFrame, keys: list[str], order: str, value: str, name
 
 def pull_back(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
     """The next non-zero value from here on; null if there is none."""
-    ahead = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn(name, F.first(F.nullif(F.col(value), F.lit(0)), True).over(ahead))
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)  # from the end, so each row is looked at once
+    return rows.withColumn(name, F.last(F.nullif(F.col(value), F.lit(0)), True).over(ahead))
 
 
 def first_gets(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -67,8 +67,8 @@ def session_log(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
     rows = windows.carry_forward(rows, keys, "pos", "_model", "model")
     rows = windows.pull_back(rows.withColumn("_total", F.col("_in") + F.col("_out")), keys, "pos", "_total", "_next")
-    ahead = Window.partitionBy(*keys).orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    both = F.first(F.when(F.col("_total") > 0, F.struct("_in", "_out")), True).over(ahead)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    both = F.last(F.when(F.col("_total") > 0, F.struct("_in", "_out")), True).over(ahead)
     return rows.withColumn("_u", both).select(*keys, "pos", "kind", "model", F.col("_u._in").alias("input_tokens"), F.col("_u._out").alias("output_tokens"), "payload")
 
 
