@@ -4,8 +4,10 @@ A page is read once as a stream of events of the standard library's HTML parser.
 knows its container (the innermost sectioning element), the characters of its text, those inside links, and the tags
 since the line before. The ratio of text to tags is smoothed along the page with a Gaussian, a threshold from the
 ratios' spread parts content from the rest, and a container is content if lines with most of its text are. Elements
-whose name, class, id or role says menu, header, footer, sidebar, notice, advert, form, script, style or comments
-are never content.
+whose name, class, id or role says menu, header, footer, sidebar, notice, advert, script, style or comments are never
+content, with these bounds: what is said of ``html``, ``body`` and ``main``, or of an element that holds the article, is
+about the page and not about its text; a form is left out unless it wraps the page; an element that the page never
+closes can't take the rest of the page with it.
 """
 
 from __future__ import annotations
@@ -22,83 +24,175 @@ from pyspark.sql import functions as F
 from lineweave.llm.common import pick
 
 SIGMA, THRESHOLD = 1.0, 0.5
-SKIPPED = frozenset("head nav header footer aside form script style noscript template button select textarea iframe object svg canvas dialog menu".split())
-BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Left out whole, with the text of these that no page means to show.
+UNSEEN = frozenset("script style template".split())
+SKIPPED = UNSEEN | frozenset("head nav header footer aside noscript button select textarea iframe object svg canvas dialog menu".split())
+#: Of the skipped ones those that hold no section of a page: where one is never closed, what follows is read.
+HELD_SHORT = frozenset("head noscript button select textarea iframe object svg canvas".split())
+IN_HEAD = UNSEEN | frozenset("head title meta link base noscript".split())
+CONTROLS = frozenset("input select textarea button".split())
+BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("html body article main section div td".split())
+WHOLE_PAGE = frozenset("html body main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Words in class or id that mark what is not content.
+#: Words in class or id that mark what is not content; of inline elements and of articles fewer count.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|header|masthead|footer|sidebar|side|rail|widget|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|pagination|pager|search|toolbar)(?:$|[\s_\d-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|header|masthead|footer|sidebar|side|rail|widget|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
+    r"newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|pagination|pager|search|toolbar)(?:$|[_\d-])",
     re.I,
 )
+INLINE_MARKS = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsense|share|sharing|social|subscribe|signup|login|commentlink|comments?|reply)(?:$|[_\d-])", re.I)
+COMMENT_MARKS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|disqus|reply|replies)(?:$|[_\d-])", re.I)
+#: States of a page or of a wrapper, such as no-sidebar or comments-open.
+STATES = re.compile(r"^(?:no|has|with|without|hide|show|is|not)[_-]|[_-](?:open|closed|enabled|disabled)$", re.I)
+#: A form wraps the page if it holds an article, or half of all text with so many characters for each control.
+CHARS_A_CONTROL = 200
 SPACE = re.compile(r"\s+")
 
 
+def marked(attrs: list, marks: re.Pattern) -> bool:
+    for name, value in attrs:
+        if name in ("class", "id") and value and any(marks.search(x) and not STATES.search(x) for x in value.split()):
+            return True
+        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            return True
+    return False
+
+
+class Skip:
+    """An element that is left out: its tag, whether by its class, id or role only, and what became known of it."""
+
+    __slots__ = ("tag", "by_mark", "comments", "closed", "holds_article")
+
+    def __init__(self, tag: str, by_mark: bool, comments: bool):
+        self.tag, self.by_mark, self.comments = tag, by_mark, comments
+        self.closed = self.holds_article = False
+
+    def stays_out(self, strict: bool) -> bool:
+        if self.tag in UNSEEN:
+            return True
+        if not self.closed and (self.tag in HELD_SHORT or not strict):
+            return False
+        return not (self.by_mark and self.holds_article and not self.comments)
+
+
+class Form:
+    """A form: its characters, controls, and whether it holds an article or a page's main heading."""
+
+    __slots__ = ("chars", "controls", "holds_article")
+
+    def __init__(self) -> None:
+        self.chars = self.controls = 0
+        self.holds_article = False
+
+
 class Lines(HTMLParser):
-    """Lines of a page as [container, text, tags before and inside it, characters in links]."""
+    """Lines of a page as [container, text, tags before and inside it, characters in links, skips around it, forms around it]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, skipped
+        self.open: list[tuple[str, int, tuple, tuple]] = [("", 0, (), ())]  # tag, container, skips, forms
         self.lines: list[list] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.containers = self.links = 0
+        self.tags = self.aside_tags = self.linked = self.containers = self.links = 0
+        self.silent = 0  # open inline elements that are left out
 
     def end_line(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append([self.open[-1][1], text, self.tags, self.linked])
-                self.tags = self.linked = 0
+                _, container, skips, forms = self.open[-1]
+                self.lines.append([container, text, self.aside_tags if skips else self.tags, self.linked, skips, forms])
+                for form in forms:
+                    form.chars += len(text)
+                self.linked = self.aside_tags = 0
+                if not skips:
+                    self.tags = 0
             self.parts = []
 
+    def end_inline(self) -> None:
+        while self.silent and self.open[-1][0].startswith("~"):
+            self.open.pop()
+            self.silent -= 1
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        self.aside_tags += 1
+        if tag not in IN_HEAD and self.open[-1][0] == "head":
+            self.end_line()
+            self.open[-1][2][-1].closed = True
+            self.open.pop()
+        _, container, skips, forms = self.open[-1]
+        if tag in CONTROLS:
+            for form in forms:
+                form.controls += 1
         if tag in VOID:
             if tag in ("br", "wbr"):
                 self.parts.append(" " if tag == "br" else "")
             elif tag == "hr":
                 self.end_line()
             return
-        block = tag in BLOCKS or tag in SKIPPED
-        if block:
-            self.end_line()
-            while self.open[-1][0] == "p" and tag != "p" or self.open[-1][0] == tag and tag in ("p", "li"):
-                self.open.pop()  # not closed in the page
-        elif tag == "a":
-            self.links += 1
-        if block or tag == "span":
-            _, container, skipped = self.open[-1]
-            if not skipped:
-                skipped = tag in SKIPPED or bool(attrs) and self.marked(attrs)
-            if tag in CONTAINERS:
-                self.containers += 1
-                container = self.containers
-            self.open.append((tag, container, skipped))
-
-    @staticmethod
-    def marked(attrs: list) -> bool:
-        for name, value in attrs:
-            if name in ("class", "id") and value and MARKS.search(value) or name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+        if tag not in BLOCKS and tag not in SKIPPED:
+            if tag == "a":
+                self.links += 1
+            if attrs and marked(attrs, MARKS if tag == "span" else INLINE_MARKS):
+                self.open.append(("~" + tag, container, skips, forms))
+                self.silent += 1
+            elif tag == "span":
+                self.open.append((tag, container, skips, forms))
+            return
+        self.end_inline()
+        self.end_line()
+        while self.open[-1][0] == "p" and tag != "p" or self.open[-1][0] == tag and tag in ("p", "li"):
+            self.open.pop()  # not closed in the page
+        _, container, skips, forms = self.open[-1]
+        if tag in ("article", "main"):
+            for x in (*skips, *forms):
+                x.holds_article = True
+        elif tag == "h1":
+            for x in forms:
+                x.holds_article = True
+        if tag in SKIPPED:
+            skips = (*skips, Skip(tag, False, False))
+        elif tag == "article":
+            if any(marked([x], COMMENT_MARKS) for x in attrs if x[0] == "class"):
+                skips = (*skips, Skip(tag, True, True))
+        elif tag not in WHOLE_PAGE and attrs and marked(attrs, MARKS):
+            skips = (*skips, Skip(tag, True, marked(attrs, COMMENT_MARKS)))
+        if tag == "form":
+            forms = (*forms, Form())
+        if tag in CONTAINERS:
+            self.containers += 1
+            container = self.containers
+        self.open.append((tag, container, skips, forms))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        self.aside_tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if tag in BLOCKS or tag in SKIPPED:
+        block = tag in BLOCKS or tag in SKIPPED
+        if block:
+            self.end_inline()
             self.end_line()
-        if tag in BLOCKS or tag in SKIPPED or tag == "span":
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.open[k][0] == tag:
-                    del self.open[k:]
-                    break
+        for k in range(len(self.open) - 1, 0, -1):
+            name = self.open[k][0]
+            if name == tag or not block and name == "~" + tag:
+                if name == tag and self.open[k][2] is not self.open[k - 1][2]:
+                    self.open[k][2][-1].closed = True
+                if tag not in ("body", "html"):
+                    for inner in self.open[k + 1 :]:
+                        if inner[2] is not self.open[k][2] and inner[2]:
+                            inner[2][-1].closed = True  # ended with the element around it
+                self.silent -= sum(x[0].startswith("~") for x in self.open[k:])
+                del self.open[k:]
+                break
+            if not block and name in BLOCKS:
+                break
 
     def handle_data(self, data: str) -> None:
-        if not self.open[-1][2]:
+        if not self.silent and not (self.open[-1][2] and self.open[-1][2][-1].tag in UNSEEN):
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
@@ -113,23 +207,38 @@ def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
 
 def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
     """The main text of a whole page, blocks joined by line ends; empty if there is none. Null counts as empty."""
+    text = ""
     if not html:
         return ""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    seen = [x for x in parser.lines if not any(skip.tag in UNSEEN for skip in x[4])]
+    half = sum(len(x[1]) for x in seen) / 2
+
+    def of_form(form: Form) -> bool:
+        return not form.holds_article and not (form.chars >= half and form.chars >= CHARS_A_CONTROL * form.controls)
+
+    seen = [x for x in seen if not any(map(of_form, x[5]))]
+    for strict in (True, False):
+        lines = [x for x in seen if not any(skip.stays_out(strict) for skip in x[4])]
+        if text := _content(lines, sigma, threshold):
+            break
+    return text
+
+
+def _content(lines: list[list], sigma: float, threshold: float) -> str:
     if not lines:
         return ""
-    size = np.array([len(text) for _, text, _, _ in lines], float)
-    linked = np.array([n for _, _, _, n in lines], float)
-    ratio = smoothed(np.maximum(0.0, size - linked) / np.maximum(1.0, [n for _, _, n, _ in lines]), sigma)
+    size = np.array([len(x[1]) for x in lines], float)
+    linked = np.array([x[3] for x in lines], float)
+    ratio = smoothed(np.maximum(0.0, size - linked) / np.maximum(1.0, [x[2] for x in lines]), sigma)
     content = ratio >= min(threshold * ratio.std(), ratio.max())
-    where = np.array([c for c, _, _, _ in lines])
+    where = np.array([x[0] for x in lines])
     total, good, links = (np.bincount(where, x) for x in (size, size * content, linked))
     chosen = (good * 2 >= total) & (links * 2 <= total) & (total > 0)
-    return "\n".join(text for c, text, _, _ in lines if chosen[c])
+    return "\n".join(x[1] for x in lines if chosen[x[0]])
 
 
 def extract(pages: DataFrame, sigma: float = SIGMA, threshold: float = THRESHOLD) -> DataFrame:
