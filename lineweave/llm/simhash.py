@@ -8,6 +8,12 @@ fingerprints with the guaranteed number of matches meet in at least one list. Wi
 bytes of each pair are tallied, pairs under the guaranteed number are dropped, the rest is verified on the bits.
 Pairs never become rows: a list gives the edges of a spanning forest of its links, which is all that components
 need. Lists longer than ``block_rows`` are cut into blocks, and each pair of blocks is a group of its own.
+
+Four bits of 64 tell near equality. For a similarity of 0.8, which a 64-bit fingerprint can't hold apart from 0.7, the
+corpus stage uses the same index over a wide fingerprint: 64 bytes from the distinct shingles, lists for triples of its
+64 byte positions, the count filter, verification of all 512 bits. Two texts whose shingles are alike to 0.8 differ in
+about 78 bits or fewer; no number of equal bytes is then certain, but fewer than WIDE_BYTES of 64 has a chance under
+1 in 1000, and pairs meet in one of the lists with a chance that the README gives as measured.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.llm.common import cut, keyed, pick, utf8
@@ -29,6 +35,12 @@ MAX_BITS = 4
 BLOCK_ROWS = 4096
 #: Hot posting lists are broadcast up to this many (16 bytes each); more of them are joined by a shuffle.
 BROADCAST_LISTS = 100_000
+#: The wide fingerprint: 64-bit words, differing bits at most, equal bytes at least; a triple is a start and two steps.
+WIDE_WORDS, WIDE_BITS, WIDE_BYTES = 8, 85, 6
+WIDE_STEPS = ((1, 3), (4, 9), (6, 13))  # no two positions are together in two triples
+POSTS_A_TASK = 1 << 23
+#: A key with more than this part of all rows, and 1024 rows at least, is spread over several groups of a join.
+HOT_PART = 1 / 4096
 #: keep_one() broadcasts the keys to drop up to this many (16 bytes each), beyond that it joins by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -44,14 +56,20 @@ def simhash(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
         return 0
     grams = zip(*(words[i:] for i in range(shingle_words)), strict=False) if len(words) > shingle_words else [words]
     hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, grams)), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.add.reduce(np.unpackbits(part, axis=1, bitorder="little"), axis=0, dtype=np.int64)
-    bits = np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little")
+    bits = np.packbits((2 * ones_by_bit(hashes[:, None]) > len(hashes)).astype(np.uint8), bitorder="little")
     return int(bits.view("<u8")[0])
 
 
+def ones_by_bit(hashes: np.ndarray) -> np.ndarray:
+    """How many rows have each bit set; a row is one or more 64-bit words, their low bits first."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 14)], "<u8").view(np.uint8)
+        eight = np.unpackbits(part, axis=1, bitorder="little").view(np.uint64)  # eight counters of a byte each, good for 255 rows
+        ones += np.add.reduceat(eight, np.arange(0, len(eight), 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
+    return ones
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
 
@@ -141,65 +159,191 @@ def links_in_lists(keys: np.ndarray, fps: np.ndarray, max_bits: int, short: int
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
+def spread_join(rows: DataFrame, side: DataFrame, on: str, n: str, salt: str, hot_rows: int) -> DataFrame:
+    """rows.join(side, on), where side has each key once and in ``n`` how many rows have it. Keys with more than
+    ``hot_rows`` are dealt to several groups by the hash of ``salt``; with HOT_PART they are 1 / HOT_PART at most."""
+    parts = F.ceil(F.col(n) / hot_rows).cast("int")
+    hot = side.where(F.col(n) > hot_rows).select(on, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(salt), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    return dealt.join(side.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))), [on, "_part"]).drop("_part")
+
+
+def hot_rows(n: int) -> int:
+    return max(1024, int(n * HOT_PART))
+
+
+def in_blocks(posts: DataFrame, hot: DataFrame, lists: int, block_rows: int) -> DataFrame:
+    """key, fp, i, j of posts (key, fp): lists in ``hot`` (key, blocks) are cut into blocks, each pair of them a group; others are one group."""
+    if not lists:
+        return posts.select("key", "fp", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    side = F.broadcast(hot) if lists <= BROADCAST_LISTS else hot
+    own, other = F.col("own"), F.col("other")
+    return (
+        posts.join(side, "key", "left")
+        .withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)).cast("int") - 1)))
+        .select("key", "fp", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))
+    )
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Distinct fp -> a, b: links between different fingerprints whose closure is that of all links."""
     posts = fps.select(F.explode(posting_keys(F.col("fp"), 8 - max_bits)).alias("key"), "fp")
     hot = cut(posts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("key", F.ceil(F.col("n") / block_rows).alias("blocks")))
-    lists = hot.count()
-    cold = posts.withColumns({"i": F.lit(0), "j": F.lit(0)})
-    if lists:
-        side = F.broadcast(hot) if lists <= BROADCAST_LISTS else hot
-        own, other = F.col("own"), F.col("other")
-        cold = (
-            posts.join(side, "key", "left")
-            .withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks"))).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)).cast("int") - 1)))
-            .select("key", "fp", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))
-        )
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    dealt = in_blocks(posts, hot, hot.count(), block_rows)
+
+    def find(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = links_in_lists(keys, fps.view(np.uint64), max_bits)
+        return a.view(np.int64), b.view(np.int64)
+
+    return _found(dealt, find, "long", lambda column: column.to_numpy())
+
+
+def _found(dealt: DataFrame, find, kind: str, read) -> DataFrame:
+    """a, b (of type ``kind``): find(keys, fingerprints) over the groups (key, i, j), which may span batches."""
+
+    types = {"long": pa.int64(), "binary": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest_k, rest_f = None, None
 
         def out(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = links_in_lists(k, f, max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x, types[kind]) for x in find(k, f)], ["a", "b"])
 
         for batch in batches:
-            keys, f, i, j = (batch.column(x).to_numpy() for x in range(4))
-            mixed = (keys * 1_000_003 + i) * 1_000_003 + j  # rows are in order of key, i, j; equal runs stay runs
-            k = np.concatenate([rest_k, mixed])
-            f = np.concatenate([rest_f, f.view(np.uint64)])
+            keys, i, j = (batch.column(x).to_numpy() for x in (0, 2, 3))
+            mixed, f = (keys * 1_000_003 + i) * 1_000_003 + j, read(batch.column(1))  # rows are in order of key, i, j; equal runs stay runs
+            k, f = (mixed, f) if rest_k is None else (np.concatenate([rest_k, mixed]), np.concatenate([rest_f, f]))
+            if not len(k):
+                continue
             last = np.flatnonzero(k != k[-1])
             end = last[-1] + 1 if len(last) else 0
             if end:
                 yield out(k[:end], f[:end])
             rest_k, rest_f = k[end:], f[end:]
-        if len(rest_k):
+        if rest_k is not None and len(rest_k):
             yield out(rest_k, rest_f)
 
-    grouped = cold.select("key", "fp", "i", "j").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
-    found = grouped.mapInArrow(find, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    grouped = dealt.select("key", "fp", "i", "j").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+    pairs = grouped.mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def wide_fingerprint(text: str | None, shingle_words: int) -> bytes:
+    """The wide fingerprint of a whole text, over its distinct shingles; zeros if it has no words."""
+    words = utf8(text).lower().split()
+    if not words:
+        return bytes(8 * WIDE_WORDS)
+    grams = zip(*(words[i:] for i in range(shingle_words)), strict=False) if len(words) > shingle_words else [words]
+    base = np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, grams)), np.uint64))
+    h = (base[:, None] + np.arange(WIDE_WORDS, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)  # mixed so that words are independent
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.packbits((2 * ones_by_bit(h ^ (h >> np.uint64(31))) > len(base)).astype(np.uint8), bitorder="little").tobytes()
+
+
+def wide_triples() -> np.ndarray:
+    n = 8 * WIDE_WORDS
+    return np.array([[(i + step) % n for step in (0, *steps)] for steps in WIDE_STEPS for i in range(n)])
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """Fingerprints as rows of bytes."""
+    n = 8 * WIDE_WORDS
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, n)
+
+
+def _close_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Count filter, then verification, of wide fingerprints in rows."""
+    differ = a ^ b
+    kept = (differ == 0).sum(axis=-1) >= WIDE_BYTES
+    kept[kept] = np.bitwise_count(differ[kept].view(np.uint64)).sum(axis=-1) <= WIDE_BITS
+    return kept
+
+
+def wide_forest(fps: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among these wide fingerprints, breadth first, as row numbers."""
+    left, edges = np.arange(len(fps)), []
+    while len(left):
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            at = frontier.pop()
+            near = _close_bytes(fps[at][None, :], fps[left])
+            edges += [(at, x) for x in left[near]]
+            frontier += left[near].tolist()
+            left = left[~near]
+    return edges
+
+
+def wide_links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Distinct fp (wide fingerprints) -> a, b: links between different ones, closed under what the lists show.
+
+    Almost all lists hold one fingerprint and end with their count, which is summed before the shuffle. Lists of two give
+    their pair at once; only fingerprints in longer lists are posted again, and these lists are read as in links().
+    """
+    triples = wide_triples()
+
+    @F.arrow_udf("array<long>")
+    def keys_of(column: pa.Array) -> pa.Array:
+        data = _bytes_of(column).astype(np.int64)[:, triples]
+        keys = (np.arange(len(triples)) << 24) | (data[:, :, 0] << 16) | (data[:, :, 1] << 8) | data[:, :, 2]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * len(triples)), pa.array(keys.ravel()))
+
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, -(-fps.count() * len(triples) // POSTS_A_TASK))
+    named = cut(fps.select("fp").repartition(tasks, "fp").select("fp", F.monotonically_increasing_id().alias("id")))
+    posts = named.select("fp", "id", F.explode(keys_of("fp")).alias("key"))
+    lists = cut(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"))
+    side = lambda name: named.select(F.col("id").alias(name), F.col("fp").alias(f"fp_{name}"))
+    pairs = lists.where("n = 2").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+
+    @F.arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(_close_bytes(_bytes_of(a), _bytes_of(b)))
+
+    two = pairs.where(alike("fp_a", "fp_b")).select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b"))
+    more = lists.where("n > 2").select("key", F.ceil(F.col("n") / block_rows).alias("blocks"))
+    count = more.count()
+    listed = posts.select("key", "fp").join(F.broadcast(more.select("key")) if count <= BROADCAST_LISTS else more.select("key"), "key", "left_semi")
+    hot = more.where("blocks > 1")
+    dealt = in_blocks(listed, hot, hot.count(), block_rows)
+
+    def find(keys: np.ndarray, fps: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        edges = set()
+        ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1
+        for s, e in zip(np.append(0, ends[:-1]), ends, strict=True):
+            edges.update((fps[s + i].tobytes(), fps[s + j].tobytes()) for i, j in wide_forest(fps[s:e]))
+        return [a for a, _ in edges], [b for _, b in edges]
+
+    return two.unionByName(_found(dealt, find, "binary", _bytes_of)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """a, b -> node, root (the smallest node of its component), by alternating large and small stars until nothing changes."""
 
     def once(df: DataFrame, col: str, by: str) -> DataFrame:
-        return df.groupBy(col).agg(F.min(by).alias("low"))
+        return df.groupBy(col).agg(F.min(by).alias("low"), F.count("*").alias("n"))
+
+    def met(df: DataFrame, low: DataFrame, salt: str) -> DataFrame:
+        """df beside what is known of its nodes; the center of a large component has many rows."""
+        return spread_join(df, low, "u", "n", salt, hot_rows(before[0])).drop("n")
 
     def sign(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    # a node found in many lists has many smaller neighbours, mostly the same few for all of its group: hang these, not the node, on the smallest
+    for _ in range(3):
+        e = e.withColumn("low", F.min("v").over(Window.partitionBy("u"))).select("low", F.explode(F.array("u", "v")).alias("u"))
+        e = e.where("u <> low").select("u", F.col("low").alias("v")).distinct()
+    e = cut(e)
     before = sign(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = once(both, "u", "v").select("u", F.least("u", "low").alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = once(both, "u", "v").select("u", F.least("u", "low").alias("low"), "n")
+        large = met(both, low, "v").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         low = once(large, "u", "v")
-        met = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        e = cut(met.unionByName(low.select("u", F.col("low").alias("v"))).distinct())
+        moved = met(large, low, "v").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        e = cut(moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct())
         after = sign(e)
         if after == before:
             break
@@ -217,36 +361,47 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     """
     if not 0 <= max_bits <= 7:
         raise ValueError("max_bits must be 0 to 7: beyond that no positional byte need match")
-    rows = cut(fingerprints(docs, shingle_words))
+    rows = cut(fingerprints(docs, shingle_words).withColumn("row", F.monotonically_increasing_id()))  # fixed by the checkpoint
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")))
     joined = components(links(fps.select("fp"), max_bits, block_rows))
     member = fps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = member.join(roots, "root").select("fp", "component_id", "copies")
-    return rows.join(classes, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "copies")
+    roots = member.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+    most = hot_rows(rows.count())
+    classes = spread_join(member, roots, "root", "members", "fp", most).select("fp", "component_id", "copies")
+    return spread_join(rows, classes, "fp", "copies", "row", most).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "copies")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest doc_id stays.
+def keep_one(docs: DataFrame, shingle_words: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The documents without near copies: of each component of links between wide fingerprints the row with the smallest doc_id stays.
 
-    All columns stay as they are. Rows without an id come after those with one; of rows that share doc_id and text one stays.
+    All columns stay as they are, whatever their names. Rows without an id come after those with one; of rows that share
+    doc_id and text one stays, and of rows that share an id with different texts each is told by its own text. Null texts
+    count as empty; texts without words are copies of each other, and a text of fewer words than a shingle is one
+    shingle. Long texts are read whole. An empty table gives no rows.
     """
-    docs_keyed = keyed(docs)
-    rows = cut(fingerprints(docs_keyed.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key").alias("doc_id"), "text"), shingle_words))
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    joined = components(links(fps.select("fp"), max_bits))
-    member = fps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = member.groupBy("root").agg(F.min("low").alias("stays")).select("root", "stays.key")
-    told = rows.join(member.join(best, "root").select("fp", F.col("key").alias("stays")), "fp").select("doc_id.key", (F.col("doc_id.key") == F.col("stays")).alias("stays"))
-    told = cut(told.groupBy("key", "stays").agg(F.count("*").alias("n")).where("not stays or n > 1"))
-    sizes = {r["stays"]: r["c"] for r in told.groupBy("stays").agg(F.count("*").alias("c")).collect()}
+    flat = keyed(docs)
+
+    @F.arrow_udf("binary")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([wide_fingerprint(x.as_py(), shingle_words) for x in texts], pa.binary())
+
+    rows = cut(flat.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key").alias("who"), of("text").alias("fp"), F.monotonically_increasing_id().alias("row")))
+    most = hot_rows(rows.count())
+    fps = cut(rows.groupBy("fp").agg(F.min("who").alias("low"), F.count("*").alias("copies")))
+    joined = components(wide_links(fps.select("fp"), block_rows))
+    member = fps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "fp"))
+    best = member.groupBy("root").agg(F.min("low")["key"].alias("best"), F.count("*").alias("members"))
+    told = spread_join(member, best, "root", "members", "fp", most).select("fp", "best", "copies")
+    near = spread_join(rows, told, "fp", "copies", "row", most).select("who.key", (F.col("who.key") == F.col("best")).alias("stays"))
+    near = cut(near.groupBy("key", "stays").agg(F.count("*").alias("n")).where("not stays or n > 1"))
+    sizes = {r["stays"]: r["c"] for r in near.groupBy("stays").agg(F.count("*").alias("c")).collect()}
 
     def those(stays: bool) -> DataFrame:
-        keys = told.where(F.col("stays") == stays).select("key")
+        keys = near.where(F.col("stays") == stays).select("key")
         return F.broadcast(keys) if sizes.get(stays, 0) <= BROADCAST_IDS else keys
 
     columns = [f"c{i}" for i in range(len(docs.columns))]
-    kept = docs_keyed.join(those(False), "key", "left_anti")
+    kept = flat.join(those(False), "key", "left_anti")
     if sizes.get(True):
         again = kept.join(those(True), "key").groupBy("key").agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
         kept = kept.join(those(True), "key", "left_anti").select(*columns).unionByName(again)
