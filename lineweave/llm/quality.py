@@ -21,6 +21,8 @@ from lineweave.llm.common import crc_of_id, cut, pick, utf8
 NAMES = ("words", "word_size", "capitals", "digits", "signs", "odd_signs", "spaces", "foreign", "lines", "line_repeats", "word_repeats", "stops", "bare", "once")
 SHRINK = 0.15
 THRESHOLD = 0.7
+#: keep_good() broadcasts up to this many labels (12 bytes each), beyond that it joins by a shuffle.
+BROADCAST_LABELS = 2_000_000
 _all = bytes(range(256))
 _kept = {
     "capitals": bytes(range(65, 91)),
@@ -124,11 +126,15 @@ def moments(rows: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return out
 
 
-def train(stats: DataFrame, labels: DataFrame) -> Model:
-    """stats: doc_id, x. All labelled rows whose crc32(doc_id) mod 4 is not 2 count."""
+def marks_of(labels: DataFrame) -> DataFrame:
+    """doc_id, y: the labels that may be learned from, those whose crc32(doc_id) mod 4 is not 2; of several the largest."""
     marks = pick(labels, "doc_id", "quality").where(F.col("quality").isNotNull() & (crc_of_id(F.col("doc_id")) % 4 != 2))
-    marks = marks.groupBy("doc_id").agg(F.max(F.when(F.col("quality") != 0, 1).otherwise(0)).alias("y"))
-    return fit(moments(stats.join(marks, "doc_id").select("x", "y")))
+    return marks.groupBy("doc_id").agg(F.max(F.when(F.col("quality") != 0, 1).otherwise(0)).alias("y"))
+
+
+def train(stats: DataFrame, labels: DataFrame) -> Model:
+    """stats: doc_id, x. All labelled rows that may be learned from count."""
+    return fit(moments(stats.join(marks_of(labels), "doc_id").select("x", "y")))
 
 
 def score_of(model: Model):
@@ -154,7 +160,15 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents that score ``least`` or more. All columns stay."""
-    stats = cut(pick(docs, "doc_id", "text").select("doc_id", statistics_of("text").alias("x")))
-    model = train(stats, labels)
-    return docs.where(score_of(model)(statistics_of(docs["text"])) >= least)
+    """The documents that score ``least`` or more; all columns stay, whatever their names.
+
+    Each row is told by its own text, whatever its doc_id. Null and empty texts are scored as empty ones. Without labels of
+    both classes all documents have one score. An empty table gives no rows. Statistics are computed for the labelled
+    documents to fit, and once more for each document as it is scored.
+    """
+    marks = cut(marks_of(labels))
+    some = pick(docs, "doc_id", "text").join(F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks, "doc_id")
+    model = fit(moments(some.select(statistics_of("text").alias("x"), "y")))
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    kept = flat.where(score_of(model)(statistics_of(F.col(f"c{docs.columns.index('text')}"))) >= least)
+    return kept.toDF(*docs.columns)
