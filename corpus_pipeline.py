@@ -12,27 +12,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lineweave.llm import decontamination, languages, packing, quality, simhash
-from lineweave.llm.common import read
+from lineweave.llm.common import read, shared_folder
 from lineweave.llm.queries import RANKS, TOKENIZER
 
 
+# Each stage takes rows with the columns of documents, in any order and beside others of any name, and tells each row by
+# its own text: null and repeated ids, null, empty and very long texts, repeated rows and empty tables are as the
+# docstrings of the operators say.
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops null and empty texts, texts without letters and those of no clear language; see languages.keep_known()."""
     return languages.keep_known(docs)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the classifier scores under a half; see quality.keep_good()."""
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves the row with the smallest id of each group of near copies; see simhash.keep_one()."""
     return simhash.keep_one(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rows with a benchmark window; see decontamination.without_leaks()."""
     return decontamination.without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of token ids, a row for each piece; see packing.pack()."""
     return packing.pack(docs, TOKENIZER, RANKS)
 
 
@@ -42,14 +52,9 @@ STAGES = [("language_id", language), ("quality", good), ("near_dedup", single),
 ORACLE_SQL = None
 
 
-def folder(spark: SparkSession) -> str:
-    """Where run() writes its stages: beside the checkpoints, which all executors share; in a local session in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/corpus_pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, base = read(spark, sf_dir, "documents"), folder(spark)
+    """The stages over ``documents``; each is written beside the checkpoints, in a folder that all executors share."""
+    docs, base = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus_pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")

@@ -176,7 +176,12 @@ def learnable(docs: DataFrame) -> Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """A model from a sample of labelled documents, each language sampled by the hash of doc_id and, with many languages, thinned alike."""
+    """A model from a sample of labelled documents, each language sampled by the hash of doc_id and, with many languages, thinned alike.
+
+    The sample holds DOCS_PER_LANG documents of each language and SAMPLE_DOCS in all; texts over SAMPLE_BYTES are left out of
+    it, not out of what is told. fit() chains lines of different documents in random order, so the learned weights of
+    changes say how often that order changes language, not how often writers do.
+    """
     rows = pick(docs, "doc_id", "text", "lang")
     rows = rows.where(learnable(rows) & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
     rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
@@ -253,7 +258,11 @@ def language_of(model: Model):
 
 
 def label_words(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, line, word, lang, score: one row per word; words as lines_of() gives them. Texts without words give no row."""
+    """doc_id, line, word, lang, score: one row per word; words as lines_of() gives them.
+
+    Null and empty texts, and texts without words, give no row, as does a model without languages. Rows that repeat or lack
+    an id stay rows of their own. Long texts are read whole. An empty table gives no rows.
+    """
 
     @F.arrow_udf("array<struct<line: bigint, word: string, lang: string, score: double>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -284,6 +293,12 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents whose language is told with a mean posterior of ``least``; ``und`` goes. All columns stay."""
-    found = language_of(train(docs))("text")
-    return docs.where((found["lang_pred"] != "und") & (found["score"] >= least))
+    """The documents whose language is told with a mean posterior of ``least``; ``und`` goes. All columns stay, whatever their names.
+
+    Null and empty texts, and texts without letters, are ``und``. Each row is told by its own text, whatever its doc_id. A
+    code-switched text, whose mean posterior is split, stays; a text in a language that the labels don't name is
+    told as the most similar one. An empty table gives no rows, and without labels nothing is kept.
+    """
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    found = language_of(train(docs))(F.col(f"c{docs.columns.index('text')}"))
+    return flat.where((found["lang_pred"] != "und") & (found["score"] >= least)).toDF(*docs.columns)

@@ -2,7 +2,8 @@
 
 A text is the set of its words and of long words' stems (their first bytes), hashed. The score is a bias, a weight for each term and, for each pair of terms, the
 inner product of their factors: a word that is harmless alone can count beside another. Terms are chosen, and weights
-fitted, on a bounded sample of labelled documents.
+fitted, on a bounded sample of labelled documents: of all hashed terms the TERMS with the largest likelihood ratio take
+part, and those under LEAST_DOCS documents or the ratio's 5 % level don't; other terms of a text change nothing.
 """
 
 from __future__ import annotations
