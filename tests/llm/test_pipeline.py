@@ -1,5 +1,6 @@
 """The pipeline's stages at the smallest scale, each against a plain version of its decision, and held-out accuracy."""
 
+import random
 import zlib
 
 import pytest
@@ -9,7 +10,7 @@ import corpus_pipeline
 from lineweave.llm import simhash
 from lineweave.llm.queries import QUERIES
 from tests.conftest import SF
-from tests.llm.test_llm_small import components, slow_hits
+from tests.llm.test_llm_small import slow_hits
 
 
 @pytest.fixture(scope="module")
@@ -43,11 +44,89 @@ def test_quality_stage_goes_by_the_labels(spark, stages):
     assert sum(bool(y) == k for y, k in told) >= 0.9 * len(told)
 
 
-def test_near_dedup_stage_leaves_one_of_each_component(stages):
-    ids = [r["doc_id"] for r in stages[2]]
-    roots = components([simhash.simhash(r["text"], 5) for r in stages[2]])
-    low = {root: min(i for i, r in zip(ids, roots, strict=True) if r == root) for root in roots}
-    assert sorted(r["doc_id"] for r in stages[3]) == sorted(low.values())
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) / max(1, len(a | b)) if a or b else 1.0
+
+
+def test_near_dedup_stage_leaves_one_of_each_group(stages):
+    """No two documents that stay are alike to 0.85; each that goes is within the fingerprint's bound of another one."""
+    sets = {r["doc_id"]: shingles(r["text"]) for r in stages[2]}
+    kept = sorted(r["doc_id"] for r in stages[3])
+    assert not [(a, b) for a in kept for b in kept if a < b and sets[a] & sets[b] and alike(sets[a], sets[b]) >= 0.85]
+    prints = {r["doc_id"]: int.from_bytes(simhash.wide_fingerprint(r["text"], 5), "little") for r in stages[2]}
+    for gone in set(sets) - set(kept):
+        assert any((prints[gone] ^ prints[x]).bit_count() <= simhash.WIDE_BITS for x in prints if x != gone)
+
+
+def test_near_dedup_reaches_a_similarity_of_a_fifth_changed(spark):
+    """Copies with changed words: nearly all pairs alike to 0.8 and more are found, none under 0.6."""
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(4000)]
+    texts, pairs = [], []
+    for k in range(300):
+        text = [rnd.choice(words) for _ in range(rnd.randint(60, 400))]
+        copy = list(text)
+        for at in rnd.sample(range(len(copy)), max(1, len(copy) * (k % 9) // 100)):
+            copy[at] = rnd.choice(words)
+        pairs.append((2 * k, 2 * k + 1, alike(shingles(" ".join(text)), shingles(" ".join(copy)))))
+        texts += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert kept >= {a for a, _, _ in pairs}
+    near, far = [b not in kept for _, b, j in pairs if j >= 0.8], [b not in kept for _, b, j in pairs if j < 0.6]
+    assert len(near) > 50 and sum(near) >= 0.93 * len(near) and len(far) > 50 and sum(far) == 0
+
+
+@pytest.mark.parametrize("block_rows", [4096, 16])
+def test_a_large_group_of_near_copies_and_blocks(spark, block_rows):
+    """A third of all rows are copies of one text and of its variants with one word changed, some without an id."""
+    rnd = random.Random(13)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        text = list(base)
+        if k % 3:
+            text[rnd.randrange(120)] = f"other{k}"
+        rows.append((None if k % 7 == 0 else k, " ".join(text)))
+    rows += [(1000 + k, " ".join(f"own{k}x{j}" for j in range(80))) for k in range(300)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=block_rows)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, *range(1000, 1300)]
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_on_odd_rows(spark, tmp_path, at):
+    """Null, empty and long texts, null and repeated ids, repeated rows, columns that clash, an empty table, empty labels and benchmark."""
+    rows = [(k, "the and house of the people are in it " * (k % 5 + 1), "en") for k in range(20)]
+    rows += [(None, None, None), (None, "", "en"), (3, None, "en"), (3, "the and house of the people", "en"), (3, "the and house of the people", "en"), (4, " \n ", None), (5, "12 ?!", "en"), (6, "a " * 30_000, "de"), (None, "das und der Hund ist in dem Haus", "de")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1, "x", t) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, TEXT string, key string")
+    spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "das und der Hund")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    name, stage = corpus_pipeline.STAGES[at]
+    got = stage(spark, docs, str(tmp_path))
+    assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    if at == 4:
+        total = got.collect()
+        assert sum(r["length"] for r in total if r["start"] == 0) <= sum(r["length"] for r in total) and len({r["sequence_id"] for r in total}) > 0
+        return
+    assert got.columns == docs.columns
+    out = [(r[0], r[1]) for r in got.collect()]
+    for x in out:
+        assert x in [(i, t) for i, t, _ in rows], name
+    if name == "language_id":
+        assert all(t and t.strip() and t != "12 ?!" for _, t in out)
+    if name == "decontamination":
+        assert len(out) == len(rows) - 1 and (None, "das und der Hund ist in dem Haus") not in out
+    if name == "near_dedup":
+        texts = [" ".join((t or "").split()) for _, t in out]
+        assert len(set(texts)) == len(texts)
+    for table in ("labels", "benchmark"):
+        df = spark.read.parquet(f"{tmp_path}/{table}.parquet")
+        df.where("false").write.parquet(f"{tmp_path}/none/{table}.parquet")
+    assert stage(spark, docs, f"{tmp_path}/none").columns == docs.columns
 
 
 def test_decontamination_stage_drops_just_the_leaks(spark, stages):
@@ -73,4 +152,7 @@ def test_held_out_accuracy(spark):
     assert told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
     good = QUERIES["op6_quality"](spark, "/root/testdata/sf0.01").where("held_out").join(labels, "doc_id")
     assert good.agg(F.avg((F.col("quality") == F.col("predicted")).cast("int"))).first()[0] > 0.95
+    toxic = QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    told = {(r["toxic"], r["predicted"]): r["n"] for r in toxic.groupBy("toxic", "predicted").agg(F.count("*").alias("n")).collect()}
+    assert told.get((1, 1), 0) >= 0.7 * (told.get((1, 1), 0) + told.get((1, 0), 0)) and told.get((0, 1), 0) <= 0.01 * told[(0, 0)]  # 305 toxic texts to learn from
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in good.limit(50).collect())
