@@ -146,10 +146,11 @@ def s12(t: Tables) -> DataFrame:
     return logs.agent_steps(raw.unionByName(again), KEY).select("session_id", c("step_index"), "path", "op")
 
 
-@query("s13_inline_completion_log", f"with p as ({PATCH.replace('$div', '//')}) select sha, 'src/t.py' as path, 10 as line_no, sha256(a) as content_sha from p union all select sha, 'src/t.py', 13, sha256(b) from p")
+@query("s13_inline_completion_log", f"select sha, 'src/t.py' as path, cast(pos + 12 as int) as line_no, sha256(content) as content_sha from ({PATCH.replace('$div', '//')}) where trim(content) <> ''")
 def s13(t: Tables) -> DataFrame:
-    block = F.array(F.lit("2024-01-01 00:00:00 handleModelResult"), F.lit("@@ src/t.py:10"), F.concat(F.lit("+|"), "a"), F.lit("-|gone"), F.lit(" |same"), F.lit("+|  "), F.concat(F.lit("+|"), "b"), F.lit("2024-01-01 00:00:01 other"), F.concat(F.lit("+|"), "a"))
-    raw = t.sql(PATCH).select("sha", F.posexplode(block).alias("pos", "line"))
+    opening = F.array(*map(F.lit, ("2024-01-01 00:00:00 handleModelResult", "@@ src/t.py:10", "-|gone", " |same", "+|  ")))
+    block = F.concat(opening, F.transform("lines", lambda x: F.concat(F.lit("+|"), x)), F.array(F.lit("2024-01-01 00:00:01 other"), F.concat(F.lit("+|"), F.element_at("lines", 1))))
+    raw = patches(t).select("sha", F.posexplode(block).alias("pos", "line"))
     return logs.tab_suggestions(raw, ["sha"]).select("sha", "path", "line_no", "content_sha")
 
 
