@@ -20,6 +20,15 @@ def events(t: Tables) -> DataFrame:
     return stream.select(c("event_id").alias("id"), c("user_id"), c("ts").cast("timestamp").alias("ts"), F.expr(TOOL).alias("tool"), "value")
 
 
+def edit_stream(t: Tables) -> DataFrame:
+    """The rows of edits_v as a stream: id, ts_ns, repo_path, file_path, with the user."""
+    stream = streams.source(t.spark, f"{t.sf_dir}/events.parquet")
+    return stream.select(
+        c("event_id").alias("id"), "user_id", (F.unix_micros(c("ts").cast("timestamp")) * 1000).alias("ts_ns"), F.concat(F.lit("repo"), c("user_id") % 4).alias("repo_path"),
+        F.concat(F.lit("src/f"), F.get_json_object("props", "$.k").cast("int") % 3, F.lit(".py")).alias("file_path"),
+    )
+
+
 @query("t01_incremental_log_tail", "select event_id as id from events")
 def t01(t: Tables) -> DataFrame:
     """Landed twice from one checkpoint: the second run finds nothing new."""
@@ -32,7 +41,7 @@ def t01(t: Tables) -> DataFrame:
 @query("t02_edit_fan_in", f"select event_id as id, {TOOL} as tool from events where {TOOL} in ('claude', 'codex')")
 def t02(t: Tables) -> DataFrame:
     one = lambda tool: events(t).where(c("tool") == tool).select("id", "tool")
-    return streams.appended(t.spark, one("claude").unionByName(one("codex")), "fan_in")
+    return streams.appended(t.spark, one("claude").unionByName(one("codex")), streams.folder(t.spark, "fan_in"))
 
 
 @query("t03_marker_correlation", f"with e as (select event_id as id, ts, {TOOL} as tool from events) select a.id, b.id as marker_id from e a join e b on a.tool = b.tool and a.tool in ('copilot', 'cursor') and a.id % 2 = 1 and b.id % 10 = 0 and b.ts between a.ts - interval 600 second and a.ts + interval 600 second")
@@ -41,7 +50,7 @@ def t03(t: Tables) -> DataFrame:
     edits = events(t).where(some & (c("id") % 2 == 1)).select("id", "tool", "ts")
     markers = events(t).where(some & (c("id") % 10 == 0)).select(c("id").alias("marker_id"), c("tool").alias("marker_tool"), c("ts").alias("marker_ts"))
     got = streams.marked(edits, markers, 10 * streams.MINUTE, "30 days")
-    return streams.appended(t.spark, got.select("id", "marker_id"), "markers")
+    return streams.appended(t.spark, got.select("id", "marker_id"), streams.folder(t.spark, "markers"))
 
 
 @query("t04_sticky_model", f"""
@@ -50,7 +59,7 @@ l as (select *, last_value(model ignore nulls) over w as m, last_value(case when
 select id, case when us - since_us <= 1800000000 then m end as model from l""")
 def t04(t: Tables) -> DataFrame:
     edits = events(t).select("id", "tool", (F.unix_micros("ts") * 1000).alias("ts_ns"), F.expr("case when id % 3 = 0 then concat('m', id % 7) else '' end").alias("model"))
-    return streams.sticky_model(t.spark, edits, "sticky")
+    return streams.sticky_model(t.spark, edits, streams.folder(t.spark, "sticky"))
 
 
 def file_edits(t: Tables) -> DataFrame:
@@ -63,7 +72,7 @@ def file_edits(t: Tables) -> DataFrame:
 
 @query("t05_working_log_state", "with l as (select doc_id, pos from doc_lines_v where not (content = '' and pos = (select max(pos) from doc_lines_v d where d.doc_id = doc_lines_v.doc_id))) select doc_id, cast(pos + 1 as int) as line_no, 'AI' as author_type, 'claude' as tool from l union all select doc_id, cast(count(*) + 1 as int), 'Human', '' from l group by doc_id")
 def t05(t: Tables) -> DataFrame:
-    log = streams.updated(t.spark, streams.working_log(file_edits(t), ["doc_id"]), "working_log")
+    log = streams.updated(t.spark, streams.working_log(file_edits(t), ["doc_id"]), streams.folder(t.spark, "working_log"))
     return log.select("doc_id", "line_no", "author_type", "tool")
 
 
@@ -72,47 +81,58 @@ with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id
 select user_id, count(*) as edits, epoch_us(min(ts)) as start_us from s group by user_id, g""")
 def t06(t: Tables) -> DataFrame:
     by = events(t).withWatermark("ts", "1 day").groupBy("user_id", F.session_window("ts", "8 hours").alias("w")).agg(F.count("*").alias("edits"))
-    return streams.completed(t.spark, by.select("user_id", "edits", F.unix_micros("w.start").alias("start_us")), "sessions")
+    return streams.completed(t.spark, by.select("user_id", "edits", F.unix_micros("w.start").alias("start_us")), streams.folder(t.spark, "sessions"))
 
 
 @query("t07_file_lifecycle", "select user_id, arg_max(event_id, ts) as id, arg_max(case when event_id % 3 = 0 then 'delete' when event_id % 3 = 1 then 'restore' else 'move' end, ts) as action from events group by user_id")
 def t07(t: Tables) -> DataFrame:
     action = F.expr("case when id % 3 = 0 then 'delete' when id % 3 = 1 then 'restore' else 'move' end")
-    return streams.kept(t.spark, events(t).select("user_id", "id", "ts", action.alias("action")), "files", streams.keep_latest(["user_id"], "ts")).drop("ts")
+    return streams.kept(t.spark, events(t).select("user_id", "id", "ts", action.alias("action")), streams.folder(t.spark, "files"), streams.keep_latest(["user_id"], "ts")).drop("ts")
 
 
 @query("t08_session_usage_stream", f"select user_id, {TOOL} as tool, arg_max(value, ts) as used from events group by all")
 def t08(t: Tables) -> DataFrame:
     rows = events(t).select("user_id", "tool", "ts", c("value").alias("used"))
-    return streams.kept(t.spark, rows, "usage", streams.keep_latest(["user_id", "tool"], "ts")).drop("ts")
+    return streams.kept(t.spark, rows, streams.folder(t.spark, "usage"), streams.keep_latest(["user_id", "tool"], "ts")).drop("ts")
 
 
 @query("t09_streaming_dedup", f"select distinct user_id, {TOOL} as tool from events")
 def t09(t: Tables) -> DataFrame:
     once = events(t).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["user_id", "tool"])
-    return streams.appended(t.spark, once.select("user_id", "tool"), "seen")
+    return streams.appended(t.spark, once.select("user_id", "tool"), streams.folder(t.spark, "seen"))
 
 
-@query("t10_late_and_stale_events", "select event_id % 300 <= 120 as live, count(*) as n from events group by 1")
+@query("t10_late_and_stale_events", "select user_id, count(*) as stored, count(*) filter (event_id % 300 > 120) as late, arg_max(event_id, ts) filter (event_id % 300 <= 120) as last_live from events group by user_id")
 def t10(t: Tables) -> DataFrame:
-    """All rows are stored; only those that arrived within two minutes go on to the working logs."""
-    stored = streams.appended(t.spark, events(t).select("id", (c("id") % 300 <= 120).alias("live")), "stored")
-    return stored.groupBy("live").agg(F.count("*").alias("n"))
+    """An event arrives up to five minutes after it happened; the last live one of a user is the state."""
+    arrived = events(t).select("user_id", "id", "ts", F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, id % 300)").alias("arrived"))
+    stored, state = streams.with_late(t.spark, arrived, streams.folder(t.spark, "stored"), ["user_id"])
+    by = stored.groupBy("user_id").agg(F.count("*").alias("stored"), F.count_if(~c("live")).alias("late"))
+    return by.join(state.select("user_id", c("id").alias("last_live")), "user_id", "left")
 
 
 @query("t11_consume_once_snapshot", """
-with s as (select repo_path, file_path, id as snap, row_number() over (partition by repo_path, file_path order by ts_ns) as k from edits_v where id % 3 = 0), e as (select repo_path, file_path, id, row_number() over (partition by repo_path, file_path order by ts_ns) as k from edits_v where id % 2 = 1)
-select e.id, s.snap as content from e left join s using (repo_path, file_path, k)""")
+with p as (select repo_path, file_path, id, ts_ns from edits_v where id % 3 = 0),
+e as (select repo_path, file_path, id, ts_ns, lag(id) over w as before, coalesce(lag(ts_ns) over w, -1) as since from edits_v where id % 2 = 1 window w as (partition by repo_path, file_path order by ts_ns)),
+m as (select e.*, p.id as put, p.ts_ns as put_ns from e asof left join p on e.repo_path = p.repo_path and e.file_path = p.file_path and e.ts_ns >= p.ts_ns)
+select id, case when put_ns > since then 'put' when before is not null then 'edit' else 'head' end as origin,
+  case when put_ns > since then concat('p', put) when before is not null then concat('e', before) else concat('head of ', file_path) end as baseline from m""")
 def t11(t: Tables) -> DataFrame:
-    shots = t.edits_v.where("id % 3 = 0").select("repo_path", "file_path", "ts_ns", c("id").alias("content"))
-    return streams.snapshots_once(t.edits_v.where("id % 2 = 1").select("repo_path", "file_path", "id", "ts_ns"), shots, ["repo_path", "file_path"]).select("id", "content")
+    """Every third event puts a snapshot, every second one is an edit; some are both."""
+    put, edit = F.struct(F.lit("put").alias("kind"), F.concat(F.lit("p"), "id").alias("content")), F.struct(F.lit("edit").alias("kind"), F.concat(F.lit("e"), "id").alias("content"))
+    both = F.explode(F.filter(F.array(F.when(c("id") % 3 == 0, put), F.when(c("id") % 2 == 1, edit)), lambda x: x.isNotNull()))
+    rows = edit_stream(t).select("repo_path", "file_path", "id", "ts_ns", both.alias("x")).select("repo_path", "file_path", "id", "ts_ns", "x.*")
+    got = streams.with_snapshots(t.spark, rows, streams.folder(t.spark, "snapshots"))
+    head = t.edits_v.select("repo_path", "file_path").distinct().withColumn("_head", F.concat(F.lit("head of "), "file_path"))
+    text = F.when(c("origin") == "head", c("_head")).otherwise(c("baseline"))
+    return got.join(head, ["repo_path", "file_path"], "left").select("id", "origin", text.alias("baseline"))
 
 
 @query("t12_windowed_activity", f"select 'day' as kind, epoch_us(date_trunc('day', ts)) as start_us, {TOOL} as tool, count(*) as n from events group by all union all select 'sliding', epoch_us(date_trunc('day', ts)) + (hour(ts) // 6 - x) * 21600000000, {TOOL}, count(*) from events, range(4) r(x) group by all")
 def t12(t: Tables) -> DataFrame:
     def of(kind: str, *spec: str) -> DataFrame:
         by = events(t).withWatermark("ts", "1 day").groupBy(F.window("ts", *spec).alias("w"), "tool").agg(F.count("*").alias("n"))
-        return streams.completed(t.spark, by.select(F.lit(kind).alias("kind"), F.unix_micros("w.start").alias("start_us"), "tool", "n"), kind)
+        return streams.completed(t.spark, by.select(F.lit(kind).alias("kind"), F.unix_micros("w.start").alias("start_us"), "tool", "n"), streams.folder(t.spark, kind))
 
     return of("day", "1 day").unionByName(of("sliding", "1 day", "6 hours"))
 
@@ -120,7 +140,7 @@ def t12(t: Tables) -> DataFrame:
 @query("t13_live_view", "select doc_id, cast(count(*) + 1 as int) as line_no, 'Human' as author_type from doc_lines_v where not (content = '' and pos = (select max(pos) from doc_lines_v d where d.doc_id = doc_lines_v.doc_id)) group by doc_id")
 def t13(t: Tables) -> DataFrame:
     """Authors of changed lines only: here the appended one."""
-    log = streams.updated(t.spark, streams.working_log(file_edits(t), ["doc_id"]), "live")
+    log = streams.updated(t.spark, streams.working_log(file_edits(t), ["doc_id"]), streams.folder(t.spark, "live"))
     changed = log.groupBy("doc_id").agg(F.max("line_no").alias("line_no"))
     return log.join(changed, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", "author_type")
 

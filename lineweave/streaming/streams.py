@@ -1,4 +1,8 @@
-"""Streams: the file source feeds operators, the sink is Parquet or a batch function; each resumes from its checkpoint.
+"""Streams: the file source feeds operators, the sink is Parquet or a batch function.
+
+Functions that land something take the folder ``at``, which holds rows, state and checkpoint. Called again with the same
+folder, in this process or another, they take up where they ended. A batch that runs again reads the state from before
+it and replaces what it wrote.
 
 The file source tracks whole files, so logs are landed as rolled segments; a source that is read with ``available_now``
 processes what is there and ends.
@@ -20,8 +24,39 @@ from lineweave.operators.joins import MINUTE, SECOND
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which all executors share; in a local session in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+
+
+def versions(spark: SparkSession, at: str) -> list[int]:
+    """Versions v0, v1, ... below a folder that were written to the end, in order."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    base = jvm.Path(at)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(base):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(base)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.Path(f"{at}/{n}/_SUCCESS")))
+
+
+def before(spark: SparkSession, at: str, batch: int, schema: str | None = None) -> DataFrame | None:
+    """The state that the batches before this one left, None for the first."""
+    old = [n for n in versions(spark, at) if n < batch]
+    if not old:
+        return None
+    return (spark.read.schema(schema) if schema else spark.read).parquet(f"{at}/v{old[-1]}")
+
+
+def keep_version(rows: DataFrame, at: str, batch: int) -> None:
+    """Writes the state after a batch. The version before it stays, for a batch that runs again; older ones go."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{at}/v{batch}")
+    base = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    for n in [n for n in versions(spark, at) if n < batch][:-1]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(base, f"v{n}"), True)
 
 
 def source(spark: SparkSession, path: str, files_at_once: int | None = None) -> DataFrame:
@@ -40,34 +75,30 @@ def each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpo
     stream.writeStream.foreachBatch(act).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def appended(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+def appended(spark: SparkSession, stream: DataFrame, at: str) -> DataFrame:
     """The rows a stream appends, landed and read back."""
-    at = folder(spark, name)
     land(stream, f"{at}/rows", f"{at}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def completed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+def completed(spark: SparkSession, stream: DataFrame, at: str) -> DataFrame:
     """The last state of a stream in complete mode: each batch replaces the one before."""
-    at = folder(spark, name)
     each_batch(stream, lambda df, _: df.write.mode("overwrite").parquet(f"{at}/rows"), f"{at}/checkpoint", "complete")
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def kept(spark: SparkSession, stream: DataFrame, name: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """A table that each batch is merged into: ``merge(table or None, batch)``. A batch that runs again writes the same
-    version, so the table is right after a restart."""
-    at = folder(spark, name)
-    last: list[int] = []
+def kept(spark: SparkSession, stream: DataFrame, at: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
+    """A table that each batch is merged into: ``merge(table or None, batch)``.
+
+    Each batch writes the table anew as a version of its own, so files at once should be few against the table.
+    """
 
     def act(df: DataFrame, batch: int) -> None:
-        old = df.sparkSession.read.parquet(f"{at}/v{last[-1]}") if last else None
-        merge(old, df).write.mode("overwrite").parquet(f"{at}/v{batch}")
-        if not last or last[-1] != batch:
-            last.append(batch)
+        keep_version(merge(before(df.sparkSession, at, batch), df), at, batch)
 
     each_batch(stream, act, f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/v{last[-1]}") if last else merge(None, spark.createDataFrame([], stream.schema))
+    done = versions(spark, at)
+    return spark.read.parquet(f"{at}/v{done[-1]}") if done else merge(None, spark.createDataFrame([], stream.schema))
 
 
 def keep_latest(keys: list[str], *order: str) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
@@ -104,26 +135,24 @@ def models_carried(edits: DataFrame, width: int = 30 * MINUTE) -> DataFrame:
     return filled.withColumn("model", F.when(F.col("ts_ns") - F.col("_last.at") <= width, F.col("_last.model"))).drop("_start", "_own", "_edit", "_last")
 
 
-def sticky_model(spark: SparkSession, edits: DataFrame, name: str, width: int = 30 * MINUTE) -> DataFrame:
+def sticky_model(spark: SparkSession, edits: DataFrame, at: str, width: int = 30 * MINUTE) -> DataFrame:
     """id, model: the edit's own model, else the tool's last one within the last half hour. edits: id, tool, ts_ns, model.
 
     Between batches one row for each tool is kept, its last model and the time, and never serves edits before that time.
     A batch is sorted in Spark, by tool and time bucket, so it may be larger than memory.
     """
-    at, done, kind = folder(spark, name), [], "id long, tool string, ts_ns long, model string"
+    kind = "id long, tool string, ts_ns long, model string"
 
     def act(df: DataFrame, batch: int) -> None:
-        old = [n for n in done if n < batch]
+        old = before(df.sparkSession, f"{at}/state", batch, kind)
         new = df.selectExpr("cast(id as long) as id", "tool", "cast(ts_ns as long) as ts_ns", "model").withColumn("_kept", F.lit(False))
-        rows = new.unionByName(df.sparkSession.read.schema(kind).parquet(f"{at}/state/v{old[-1]}").withColumn("_kept", F.lit(True))) if old else new
+        rows = new if old is None else new.unionByName(old.withColumn("_kept", F.lit(True)))
         models_carried(rows, width).where("not _kept").select("id", "model").write.mode("overwrite").parquet(f"{at}/rows/batch={batch}")
         state = rows.where("model <> ''").groupBy("tool").agg(F.max(F.struct("ts_ns", "id", "model")).alias("s"))
-        state.select("s.id", "tool", "s.ts_ns", "s.model").write.mode("overwrite").parquet(f"{at}/state/v{batch}")
-        if batch not in done:
-            done.append(batch)
+        keep_version(state.select("s.id", "tool", "s.ts_ns", "s.model"), f"{at}/state", batch)
 
     each_batch(edits, act, f"{at}/checkpoint")
-    if not done:
+    if not versions(spark, f"{at}/state"):
         return spark.createDataFrame([], "id long, model string")
     return spark.read.schema("id long, model string").parquet(f"{at}/rows").select("id", "model")
 
@@ -156,18 +185,66 @@ def working_log(edits: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).applyInPandasWithState(run, schema, state, "update", GroupStateTimeout.NoTimeout)
 
 
-def updated(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+def updated(spark: SparkSession, stream: DataFrame, at: str) -> DataFrame:
     """What a stream in update mode emits, landed batch by batch and read back."""
-    at = folder(spark, name)
     each_batch(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/rows/batch={n}"), f"{at}/checkpoint", "update")
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def snapshots_once(edits: DataFrame, snapshots: DataFrame, keys: list[str]) -> DataFrame:
-    """Each edit with the snapshot taken for it: the k-th snapshot of a file serves its k-th edit, later edits have none.
+def with_late(spark: SparkSession, events: DataFrame, at: str, keys: list[str], bound: str = "2 minutes") -> tuple[DataFrame, DataFrame]:
+    """All events as stored, with ``live``; and the state, the last live event of each key.
 
-    edits: keys, id, ts_ns. snapshots: keys, ts_ns, content.
+    events: keys, id, ts and arrived (timestamps). An event that arrives more than ``bound`` after it happened is a replay:
+    it is stored and counted, but doesn't touch the state. A watermark would measure from the newest event of any key and
+    take a burst of old events for live ones where nothing newer was seen, so the bound is on arrival.
     """
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("ts_ns"))
-    s = snapshots.withColumn("_k", nth).select(*keys, "_k", "content")
-    return edits.withColumn("_k", nth).join(s, [*keys, "_k"], "left").drop("_k")
+    columns = [*keys, "id", "ts"]
+    live = F.coalesce(F.col("arrived") <= F.col("ts") + F.expr(f"interval {bound}"), F.lit(True))
+    schema = events.withColumn("live", live).schema
+
+    def act(df: DataFrame, batch: int) -> None:
+        df.withColumn("live", live).write.mode("overwrite").parquet(f"{at}/rows/batch={batch}")
+        old, new = before(df.sparkSession, f"{at}/state", batch), df.where(live).select(*columns)
+        keep_version(tables.keep_latest(new if old is None else old.unionByName(new), keys, "ts", "id"), f"{at}/state", batch)
+
+    each_batch(events, act, f"{at}/checkpoint")
+    done = versions(spark, f"{at}/state")
+    state = spark.read.parquet(f"{at}/state/v{done[-1]}") if done else spark.createDataFrame([], events.select(*columns).schema)
+    return spark.read.schema(schema).parquet(f"{at}/rows") if done else spark.createDataFrame([], schema), state
+
+
+def with_snapshots(spark: SparkSession, events: DataFrame, at: str) -> DataFrame:
+    """repo_path, file_path, id, origin, baseline: for each edit the text it is compared with.
+
+    events: repo_path, file_path, id, ts_ns, kind (put or edit), content. A put holds a file's text before a chat; a later
+    one replaces it and the first edit after it takes it away (origin put). An edit that finds none has the text the
+    last edit left (origin edit); with neither, origin is head and the caller joins the commit's text. Of equal times a
+    put comes first. Between batches a row for each file is kept: the put that waits, and the last edit's text.
+    """
+    key = ["repo_path", "file_path"]
+    kind = "repo_path string, file_path string, id long, ts_ns long, kind string, content string"
+    out = "repo_path string, file_path string, id long, origin string, baseline string"
+
+    def act(df: DataFrame, batch: int) -> None:
+        old = before(df.sparkSession, f"{at}/state", batch, kind)
+        new = df.select(*key, F.col("id").cast("long").alias("id"), F.col("ts_ns").cast("long").alias("ts_ns"), "kind", "content").withColumn("_new", F.lit(1))
+        rows = new if old is None else new.unionByName(old.withColumn("_new", F.lit(0)))
+        put, edit = F.col("kind") == "put", F.col("kind") == "edit"
+        order = Window.partitionBy(*key).orderBy("_new", "ts_ns", edit, "id", "content")
+        rows = rows.where(put | edit).withColumn("_n", F.row_number().over(order))
+        seen = order.rowsBetween(Window.unboundedPreceding, -1)
+        last = lambda of: F.last(F.when(of, F.struct("_n", "content")), ignorenulls=True).over(seen)
+        got = rows.withColumns({"_put": last(put), "_edit": last(edit)}).where(edit & (F.col("_new") == 1))
+        waits = F.col("_put").isNotNull() & (F.col("_edit").isNull() | (F.col("_put._n") > F.col("_edit._n")))
+        origin = F.when(waits, "put").when(F.col("_edit").isNotNull(), "edit").otherwise("head")
+        text = F.when(waits, F.col("_put.content")).otherwise(F.col("_edit.content"))
+        got.select(*key, "id", origin.alias("origin"), text.alias("baseline")).write.mode("overwrite").parquet(f"{at}/rows/batch={batch}")
+        ends = rows.groupBy(*key, "kind").agg(F.max(F.struct("_n", "id", "ts_ns", "content")).alias("s"))
+        newest = F.max("s._n").over(Window.partitionBy(*key))
+        ends = ends.withColumn("_newest", newest).where(edit | (F.col("s._n") == F.col("_newest")))
+        keep_version(ends.select(*key, "s.id", "s.ts_ns", "kind", "s.content"), f"{at}/state", batch)
+
+    each_batch(events, act, f"{at}/checkpoint")
+    if not versions(spark, f"{at}/state"):
+        return spark.createDataFrame([], out)
+    return spark.read.schema(out).parquet(f"{at}/rows").drop("batch")

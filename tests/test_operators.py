@@ -112,6 +112,58 @@ def test_sticky_model_by_time_bucket(spark, tmp_path):
     at = f"{tmp_path}/edits"
     spark.createDataFrame(first, kind).coalesce(1).write.parquet(at)
     spark.createDataFrame([*then, late], kind).coalesce(1).write.mode("append").parquet(at)
-    got = {r["id"]: r["model"] for r in streams.sticky_model(spark, streams.source(spark, at, 1), "sticky").collect()}
+    got = {r["id"]: r["model"] for r in streams.sticky_model(spark, streams.source(spark, at, 1), f"{tmp_path}/sticky").collect()}
     kept = [max((r for r in first if r[1] == tool and r[3]), key=lambda r: (r[2], r[0])) for tool in ("a", "b", None)]
     assert got == {**plain(first), **plain([*then, late], kept)}
+
+
+def test_streams_take_up_where_they_ended(spark, tmp_path):
+    from lineweave.streaming import streams
+
+    src, at, kind = f"{tmp_path}/in", f"{tmp_path}/kept", "k string, ts int, v string"
+    land = lambda *r: spark.createDataFrame(list(r), kind).coalesce(1).write.mode("append").parquet(src)
+    run = lambda: rows(streams.kept(spark, streams.source(spark, src, 1), at, streams.keep_latest(["k"], "ts")))
+    land(("a", 1, "x"), ("b", 1, "y"))
+    assert run() == [("a", 1, "x"), ("b", 1, "y")]
+    assert run() == [("a", 1, "x"), ("b", 1, "y")]
+    land(("a", 2, "z"), ("c", 1, "w"))
+    assert run() == [("a", 2, "z"), ("b", 1, "y"), ("c", 1, "w")]
+    # a version that was not written to the end, of a batch that runs again, is not read
+    spark.createDataFrame([("q", 9, "torn")], kind).write.parquet(f"{at}/v2")
+    (tmp_path / "kept" / "v2" / "_SUCCESS").unlink()
+    land(("b", 3, "n"))
+    assert streams.versions(spark, at) == [0, 1]
+    assert run() == [("a", 2, "z"), ("b", 3, "n"), ("c", 1, "w")]
+    assert streams.versions(spark, at) == [1, 2]
+
+
+def test_late_events_are_stored_and_leave_the_state(spark, tmp_path):
+    from lineweave.streaming import streams
+
+    src, at = f"{tmp_path}/in", f"{tmp_path}/late"
+
+    def land(*r):
+        df = spark.createDataFrame(list(r), "user_id string, id int, t int, a int")
+        df.selectExpr("user_id", "id", "timestamp_seconds(t) as ts", "timestamp_seconds(a) as arrived").coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        stored, state = streams.with_late(spark, streams.source(spark, src, 1), at, ["user_id"])
+        return rows(stored.select("id", "live")), rows(state.select("user_id", "id"))
+
+    land(("u", 1, 1000, 1010), ("v", 2, 1000, 1120), ("w", 3, 1000, 1121), (None, 4, 1, None))
+    assert run() == ([(1, True), (2, True), (3, False), (4, True)], [("u", 1), ("v", 2), (None, 4)])
+    land(("u", 5, 5000, 9000), ("v", 6, 999, 1000))
+    assert run() == ([(1, True), (2, True), (3, False), (4, True), (5, False), (6, True)], [("u", 1), ("v", 2), (None, 4)])
+
+
+def test_snapshots_are_taken_once_over_restarts(spark, tmp_path):
+    from lineweave.streaming import streams
+
+    src, at, kind = f"{tmp_path}/in", f"{tmp_path}/snap", "repo_path string, file_path string, id int, ts_ns int, kind string, content string"
+    land = lambda *r: spark.createDataFrame([("r", *x) for x in r], kind).coalesce(1).write.mode("append").parquet(src)
+    run = lambda: rows(streams.with_snapshots(spark, streams.source(spark, src, 1), at).select("id", "origin", "baseline"))
+    land(("f", 1, 1, "edit", "e1"), ("f", 2, 2, "put", "p2"), ("f", 3, 3, "put", "p3"), ("f", 4, 4, "edit", "e4"), ("f", 5, 5, "edit", "e5"), ("g", 6, 6, "put", "p6"), ("h", 7, 7, "put", None), ("h", 8, 7, "edit", "e8"))
+    first = [(1, "head", None), (4, "put", "p3"), (5, "edit", "e4"), (8, "put", None)]
+    assert run() == first
+    land(("f", 9, 9, "edit", "e9"), ("g", 10, 10, "edit", "e10"), ("g", 11, 11, "edit", "e11"))
+    assert run() == sorted([*first, (9, "edit", "e5"), (10, "put", "p6"), (11, "edit", "e10")], key=str)
