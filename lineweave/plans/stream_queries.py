@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.functions import rules
-from lineweave.operators import windows
+from lineweave.operators import lifecycle, windows
 from lineweave.plans.join_queries import EXACT, FILE, added, candidates
 from lineweave.plans.registry import Tables, query
 from lineweave.streaming import readers, streams
@@ -84,10 +84,31 @@ def t06(t: Tables) -> DataFrame:
     return streams.completed(t.spark, by.select("user_id", "edits", F.unix_micros("w.start").alias("start_us")), streams.folder(t.spark, "sessions"))
 
 
-@query("t07_file_lifecycle", "select user_id, arg_max(event_id, ts) as id, arg_max(case when event_id % 3 = 0 then 'delete' when event_id % 3 = 1 then 'restore' else 'move' end, ts) as action from events group by user_id")
+@query("t07_file_lifecycle", """
+with m as (select repo_path, path, new_path, at_ns from fs_v where repo_path <> '' and lower(kind) in ('rename', 'move') and new_path <> ''),
+d as (select repo_path, path, at_ns from fs_v where repo_path <> '' and kind = 'delete'), r as (select repo_path, path, at_ns from fs_v where repo_path <> '' and kind = 'create'),
+e as (select l.repo_path, l.file_path, l.ts_ns, m.new_path, m.at_ns as moved_ns from edits_v l asof left join m on l.repo_path = m.repo_path and l.file_path = m.path and l.ts_ns <= m.at_ns),
+stays as (select e.*, (select coalesce(max(at_ns), -1) from r where r.repo_path = e.repo_path and r.path = e.file_path and r.at_ns >= e.ts_ns) as back_ns from e where moved_ns is null),
+c as (select e.*, f.dst_path, f.at_ns from fs_v f join e on f.kind = 'copy' and f.repo_path = e.repo_path and f.src_path = e.file_path and e.ts_ns <= f.at_ns and coalesce(e.moved_ns > f.at_ns, true)),
+live as (select * from c where not exists (select 1 from d where d.repo_path = c.repo_path and d.path = c.file_path and d.at_ns between c.ts_ns and c.at_ns
+  and not exists (select 1 from r where r.repo_path = d.repo_path and r.path = d.path and r.at_ns between d.at_ns and c.at_ns)))
+select ts_ns, repo_path, new_path as file_path, cast(null as bigint) as deleted_at, false as copied from e where moved_ns is not null
+union all select ts_ns, repo_path, file_path, (select min(at_ns) from d where d.repo_path = stays.repo_path and d.path = stays.file_path and d.at_ns >= stays.ts_ns and d.at_ns > stays.back_ns), false from stays
+union all select ts_ns, repo_path, dst_path, null, true from live where at_ns = (select max(at_ns) from live o where o.repo_path = live.repo_path and o.dst_path = live.dst_path)""")
 def t07(t: Tables) -> DataFrame:
-    action = F.expr("case when id % 3 = 0 then 'delete' when id % 3 = 1 then 'restore' else 'move' end")
-    return streams.kept(t.spark, events(t).select("user_id", "id", "ts", action.alias("action")), streams.folder(t.spark, "files"), streams.keep_latest(["user_id"], "ts")).drop("ts")
+    """Each event records an edit and tells of a file; edits end where deletions, moves and copies after them leave them."""
+    number = lambda prefix, x: F.concat(F.lit(prefix), x, F.lit(".py"))
+    kind = F.expr("case id % 13 when 0 then 'delete' when 1 then 'create' when 2 then 'rename' when 3 then 'copy' when 4 then 'chmod' else 'Move' end")
+    f = number("src/f", c("id") % 3)
+    names = {"path": f, "old_path": f, "new_path": F.when(c("id") % 19 == 0, "").otherwise(number("src/g", c("id") % 2)), "src_path": f, "dst_path": number("src/h", c("id") % 2)}
+    told = F.struct(c("id"), kind.alias("kind"), F.when(c("id") % 17 == 0, "").otherwise(c("repo_path")).alias("repo_path"), *[x.alias(n) for n, x in names.items()], c("ts_ns").alias("at_ns"))
+    rows = edit_stream(t).select("id", "repo_path", "file_path", "ts_ns", F.lit(None).cast("long").alias("deleted_at"), told.alias("told"))
+
+    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return lifecycle.applied(old, batch.drop("told"), batch.select("told.*"))
+
+    got = streams.kept(t.spark, rows, streams.folder(t.spark, "files"), merge)
+    return got.select("ts_ns", "repo_path", "file_path", "deleted_at", (c("id") < 0).alias("copied"))
 
 
 @query("t08_session_usage_stream", f"select user_id, {TOOL} as tool, arg_max(value, ts) as used from events group by all")

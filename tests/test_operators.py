@@ -167,3 +167,53 @@ def test_snapshots_are_taken_once_over_restarts(spark, tmp_path):
     assert run() == first
     land(("f", 9, 9, "edit", "e9"), ("g", 10, 10, "edit", "e10"), ("g", 11, 11, "edit", "e11"))
     assert run() == sorted([*first, (9, "edit", "e5"), (10, "put", "p6"), (11, "edit", "e10")], key=str)
+
+
+def test_file_events_in_order_over_restarts(spark, tmp_path):
+    """Random histories in two batches against a table that every event changes in turn."""
+    import random
+
+    from lineweave.operators import lifecycle
+
+    draw = random.Random(11)
+    paths, kinds = ["a", "b", "c", "d"], ["delete", "create", "Restore", "rename", "move", "copy", "copy", "chmod"]
+    event = "id long, kind string, repo_path string, path string, old_path string, new_path string, src_path string, dst_path string, at_ns long"
+    edit = "id long, repo_path string, file_path string, ts_ns long, deleted_at long, note string"
+    some = lambda: draw.choice([*paths, *paths, "", None])
+    batches = []
+    for b in range(2):
+        edits = [(b * 1000 + i, draw.choice(["r", "s", None]), draw.choice([*paths, None]), draw.randrange(b * 100, b * 100 + 100), draw.choice([None, None, 7]), f"n{i}") for i in range(40)]
+        events = [(b * 1000 + i, draw.choice(kinds), draw.choice(["r", "s", "", None]), some(), some(), some(), some(), some(), draw.randrange(b * 100, b * 100 + 100)) for i in range(60)]
+        batches.append((edits, [*events, events[0]]))
+
+    table = []
+    for edits, events in batches:
+        todo = [(r[3], 0, r) for r in edits] + [(r[8], 1, r) for r in set(events)]
+        for at, is_event, r in sorted(todo, key=lambda x: (x[0], x[1], x[2][0])):
+            if not is_event:
+                table.append(list(r))
+                continue
+            kind, repo, path, old, new, src, dst = (r[1].lower(), *r[2:8])
+            of = lambda p: [x for x in table if repo and p and x[1] == repo and x[2] == p]
+            if kind == "delete":
+                for x in of(path):
+                    x[4] = at if x[4] is None else x[4]
+            elif kind in ("create", "restore"):
+                for x in of(path):
+                    x[4] = None
+            elif kind in ("rename", "move") and old and new and old != new:
+                for x in of(old):
+                    x[2], x[4] = new, None
+            elif kind == "copy" and src and dst and src != dst:
+                clones = [[-1, x[1], dst, *x[3:]] for x in of(src) if x[4] is None]
+                if clones:
+                    table[:] = [x for x in table if not (x[1] == repo and x[2] == dst)] + clones
+
+    got = None
+    for n, (edits, events) in enumerate(batches):
+        lifecycle.applied(got, spark.createDataFrame(edits, edit), spark.createDataFrame(events, event)).write.parquet(f"{tmp_path}/v{n}")
+        got = spark.read.parquet(f"{tmp_path}/v{n}")
+    assert any(r["id"] < 0 for r in got.collect())
+    assert rows(got.withColumn("id", F.greatest("id", F.lit(-1)))) == sorted(map(tuple, table), key=str)
+    none = lifecycle.applied(None, spark.createDataFrame([], edit), spark.createDataFrame([], event))
+    assert rows(none) == []
