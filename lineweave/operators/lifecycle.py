@@ -88,10 +88,11 @@ def applied(old: DataFrame | None, new: DataFrame, events: DataFrame) -> DataFra
     touches = F.when(F.col("action") == "copy", F.array("src", "dst")).otherwise(F.array("src"))
     touched = steps.select("repo_path", F.explode(touches).alias("file_path"), "_at", "_event")
     first = touched.groupBy("repo_path", "file_path").agg(F.min(F.struct("_at", "_event")).alias("_next"))
-    later = Window.partitionBy("repo_path", "file_path").orderBy("_when", "_is_event", "_event").rowsBetween(1, Window.unboundedFollowing)
+    # backwards in time: a frame that ends at the last row would be computed anew for each row
+    later = Window.partitionBy("repo_path", "file_path").orderBy(F.desc("_when"), F.desc("_is_event"), F.desc("_event")).rowsBetween(Window.unboundedPreceding, -1)
     own = new.withColumns({"_when": F.col("ts_ns"), "_is_event": F.lit(False)})
     both = own.unionByName(touched.withColumns({"_when": F.col("_at"), "_is_event": F.lit(True)}), allowMissingColumns=True)
-    following = F.first(F.when(F.col("_is_event"), F.struct("_at", "_event")), ignorenulls=True).over(later)
+    following = F.last(F.when(F.col("_is_event"), F.struct("_at", "_event")), ignorenulls=True).over(later)
     placed = both.withColumn("_next", following).where("not _is_event").select(*new.columns, "_next")
     if old is not None:
         placed = placed.unionByName(old.join(first, ["repo_path", "file_path"], "left").select(*new.columns, "_next"))
