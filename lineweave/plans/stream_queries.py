@@ -220,7 +220,9 @@ def x06(t: Tables) -> DataFrame:
     return t.spark.sql("select doc_id, a.line_no, a.content from x06_diffs, lateral added_lines(diff) a")
 
 
-@query("x07_aggregate_functions", "select sha, path, count(*) as n_ranges from (select sha, path, author_type, line_no - row_number() over (partition by sha, path, author_type order by line_no) as g from attr_v where side = 'add' group by all having true) x group by sha, path".replace("select sha, path, author_type, line_no - row_number() over (partition by sha, path, author_type order by line_no) as g from attr_v where side = 'add' group by all having true", "select distinct sha, path, author_type, line_no - row_number() over (partition by sha, path, author_type order by line_no) as g from attr_v where side = 'add'"))
+@query("x07_aggregate_functions", """
+with l as (select sha, path, author_type, line_no - row_number() over (partition by sha, path, author_type order by line_no) as g from attr_v where side = 'add')
+select sha, path, count(*) as n_ranges from (select distinct sha, path, author_type, g from l) x group by sha, path""")
 def x07(t: Tables) -> DataFrame:
     ranges = windows.collapse_ranges(t.attr_v.where("side = 'add'"), ["sha", "path"], ["author_type"])
     return ranges.groupBy("sha", "path").agg(F.count("*").alias("n_ranges"))
