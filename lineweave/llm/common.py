@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet into shared_folder() and read again: smaller than a checkpoint, and readable by column."""
+    spark = df.sparkSession
+    where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
