@@ -11,9 +11,10 @@ need. Lists longer than ``block_rows`` are cut into blocks, and each pair of blo
 
 Four bits of 64 tell near equality. For a similarity of 0.8, which a 64-bit fingerprint can't hold apart from 0.7, the
 corpus stage uses the same index over a wide fingerprint: 64 bytes from the distinct shingles, lists for triples of its
-64 byte positions, the count filter, verification of all 512 bits. Two texts whose shingles are alike to 0.8 differ in
-about 78 bits or fewer; no number of equal bytes is then certain, but fewer than WIDE_BYTES of 64 has a chance under
-1 in 1000, and pairs meet in one of the lists with a chance that the README gives as measured.
+64 byte positions, the count filter, a check of all 512 bits. Two texts whose shingles are alike to 0.8 differ in
+77 bits, give or take 8; no number of equal bytes is then certain, but fewer than WIDE_BYTES of 64 has a chance under
+1 in 1000, and pairs meet in one of the lists with a chance that the README gives as measured. What passes is verified
+on the shingles themselves before components are formed.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ BLOCK_ROWS = 4096
 #: Hot posting lists are broadcast up to this many (16 bytes each); more of them are joined by a shuffle.
 BROADCAST_LISTS = 100_000
 #: The wide fingerprint: 64-bit words, differing bits at most, equal bytes at least; a triple is a start and two steps.
-WIDE_WORDS, WIDE_BITS, WIDE_BYTES = 8, 85, 6
+WIDE_WORDS, WIDE_BITS, WIDE_BYTES = 8, 100, 6
 WIDE_STEPS = ((1, 3), (4, 9), (6, 13))  # no two positions are together in two triples
 POSTS_A_TASK = 1 << 23
+#: Texts are near copies if their distinct shingles have this Jaccard similarity; so many of a text's candidates are compared before the others.
+ALIKE, NEAREST = 0.8, 3
 #: A key with more than this part of all rows, and 1024 rows at least, is spread over several groups of a join.
 HOT_PART = 1 / 4096
 #: keep_one() broadcasts the keys to drop up to this many (16 bytes each), beyond that it joins by a shuffle.
@@ -231,11 +234,9 @@ def _found(dealt: DataFrame, find, kind: str, read) -> DataFrame:
 
 def wide_fingerprint(text: str | None, shingle_words: int) -> bytes:
     """The wide fingerprint of a whole text, over its distinct shingles; zeros if it has no words."""
-    words = utf8(text).lower().split()
-    if not words:
+    base = shingle_hashes(text, shingle_words)
+    if not len(base):
         return bytes(8 * WIDE_WORDS)
-    grams = zip(*(words[i:] for i in range(shingle_words)), strict=False) if len(words) > shingle_words else [words]
-    base = np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, grams)), np.uint64))
     h = (base[:, None] + np.arange(WIDE_WORDS, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)  # mixed so that words are independent
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -275,12 +276,8 @@ def wide_forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def wide_links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Distinct fp (wide fingerprints) -> a, b: links between different ones, closed under what the lists show.
-
-    Almost all lists hold one fingerprint and end with their count, which is summed before the shuffle. Lists of two give
-    their pair at once; only fingerprints in longer lists are posted again, and these lists are read as in links().
-    """
+def _wide_keys(column: Column) -> Column:
+    """The keys of all lists in which a wide fingerprint stands."""
     triples = wide_triples()
 
     @F.arrow_udf("array<long>")
@@ -289,9 +286,25 @@ def wide_links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         keys = (np.arange(len(triples)) << 24) | (data[:, :, 0] << 16) | (data[:, :, 1] << 8) | data[:, :, 2]
         return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * len(triples)), pa.array(keys.ravel()))
 
-    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, -(-fps.count() * len(triples) // POSTS_A_TASK))
+    return keys_of(column)
+
+
+def _each_list(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal keys."""
+    ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1
+    return zip(np.append(0, ends[:-1]), ends, strict=True)
+
+
+def wide_links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Distinct fp (wide fingerprints) -> a, b: links between different ones, closed under what the lists show; and key, fp: the
+    lists of more than two.
+
+    Almost all lists hold one fingerprint and end with their count, which is summed before the shuffle. Lists of two give
+    their pair at once; only fingerprints in longer lists are posted again, and these lists are read as in links().
+    """
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, -(-fps.count() * len(wide_triples()) // POSTS_A_TASK))
     named = cut(fps.select("fp").repartition(tasks, "fp").select("fp", F.monotonically_increasing_id().alias("id")))
-    posts = named.select("fp", "id", F.explode(keys_of("fp")).alias("key"))
+    posts = named.select("fp", "id", F.explode(_wide_keys(F.col("fp"))).alias("key"))
     lists = cut(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"))
     side = lambda name: named.select(F.col("id").alias(name), F.col("fp").alias(f"fp_{name}"))
     pairs = lists.where("n = 2").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
@@ -309,12 +322,93 @@ def wide_links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
     def find(keys: np.ndarray, fps: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         edges = set()
-        ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1
-        for s, e in zip(np.append(0, ends[:-1]), ends, strict=True):
+        for s, e in _each_list(keys):
             edges.update((fps[s + i].tobytes(), fps[s + j].tobytes()) for i, j in wide_forest(fps[s:e]))
         return [a for a, _ in edges], [b for _, b in edges]
 
-    return two.unionByName(_found(dealt, find, "binary", _bytes_of)).distinct()
+    return two.unionByName(_found(dealt, find, "binary", _bytes_of)).distinct(), listed
+
+
+def _links_between(listed: DataFrame, roots: DataFrame, block_rows: int) -> DataFrame:
+    """a, b: all pairs that a list shows to be close and whose roots differ; listed: key, fp, roots: node, root.
+
+    Only lists that still hold two roots are read, so a large group of copies, which has one by now, costs nothing.
+    """
+    rooted = listed.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", F.concat("fp", F.coalesce("root", "fp")).alias("fp"), F.coalesce("root", "fp").alias("root"))
+    mixed = cut(rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", F.ceil(F.col("n") / block_rows).alias("blocks")))
+    count, hot = mixed.count(), mixed.where("blocks > 1")
+    left = rooted.select("key", "fp").join(F.broadcast(mixed.select("key")) if count <= BROADCAST_LISTS else mixed.select("key"), "key", "left_semi")
+    width = 8 * WIDE_WORDS
+
+    def both(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * width)
+
+    def find(keys: np.ndarray, rows: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        edges = set()
+        for s, e in _each_list(keys):
+            fps, own = np.ascontiguousarray(rows[s:e, :width]), np.unique(np.ascontiguousarray(rows[s:e, width:]).view(f"V{width}").ravel(), return_inverse=True)[1]
+            for i in range(len(fps) - 1):
+                other = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
+                near = other[_close_bytes(fps[i][None, :], fps[other])] if len(other) else other
+                edges.update((fps[i].tobytes(), fps[j].tobytes()) for j in near)
+        return [a for a, _ in edges], [b for _, b in edges]
+
+    return _found(in_blocks(left, hot, hot.count(), block_rows), find, "binary", both)
+
+
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """Sorted distinct hashes of a whole text's shingles; a text of fewer words is one shingle, one without words has none."""
+    words = utf8(text).lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = zip(*(words[i:] for i in range(shingle_words)), strict=False) if len(words) > shingle_words else [words]
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, grams)), np.uint64))
+
+
+def alike_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs a, b whose sets (fp, shingles: hashes) have a Jaccard similarity of ``least`` or more."""
+    met = pairs
+    for side in ("a", "b"):
+        met = met.join(sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"of_{side}")), side)
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return met.where(common >= least * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+
+
+def verified_components(fps: DataFrame, texts: DataFrame, shingle_words: int, least: float, block_rows: int) -> DataFrame:
+    """node, root: components of links whose shingles were compared and are alike to ``least``.
+
+    fps: distinct fp; texts: fp and the text of one row for each. First the links of the lists' forests: the nearest three of each node,
+    then those of the others whose ends are still apart. A link that fails may have hidden others of its list, so lists
+    that still hold several components are read again, and all their close pairs are compared that join two components.
+    """
+    candidates, listed = wide_links(fps, block_rows)
+
+    @F.arrow_udf("int")
+    def bits(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(np.bitwise_count((_bytes_of(a) ^ _bytes_of(b)).view(np.uint64)).sum(axis=1).astype(np.int32), pa.int32())
+
+    @F.arrow_udf("array<long>")
+    def hashes(column: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(x.as_py(), shingle_words).view(np.int64) for x in column], pa.list_(pa.int64()))
+
+    candidates = cut(candidates.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(bits("a", "b"), "a"))))
+    ends = candidates.select(F.col("a").alias("fp")).unionByName(candidates.select(F.col("b").alias("fp"))).distinct()
+    sets = cut(texts.join(ends, "fp").select("fp", hashes("text").alias("shingles")))
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        met = pairs
+        for side in ("a", "b"):
+            met = met.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+        return met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
+
+    good = cut(alike_pairs(candidates.where(f"rank <= {NEAREST}").select("a", "b"), sets, least))
+    roots = components(good)
+    more = alike_pairs(apart(candidates.where(f"rank > {NEAREST}").select("a", "b"), roots), sets, least)
+    good = cut(good.unionByName(more))
+    roots = cut(components(good))
+    hidden = apart(_links_between(listed, roots, block_rows), roots).join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+    more = cut(alike_pairs(hidden, sets, least))
+    return components(good.unionByName(more)) if not more.isEmpty() else roots
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -371,8 +465,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     return spread_join(rows, classes, "fp", "copies", "row", most).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "copies")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The documents without near copies: of each component of links between wide fingerprints the row with the smallest doc_id stays.
+def keep_one(docs: DataFrame, shingle_words: int = 5, block_rows: int = BLOCK_ROWS, least: float = ALIKE) -> DataFrame:
+    """The documents without near copies: of each component of texts whose shingles are alike to ``least`` the row with the smallest doc_id stays.
+
+    Wide fingerprints find the pairs; their shingles are then compared, so no two texts are linked that are less alike. Equal
+    fingerprints count as equal texts.
 
     All columns stay as they are, whatever their names. Rows without an id come after those with one; of rows that share
     doc_id and text one stays, and of rows that share an id with different texts each is told by its own text. Null texts
@@ -388,7 +485,9 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, block_rows: int = BLOCK_RO
     rows = cut(flat.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key").alias("who"), of("text").alias("fp"), F.monotonically_increasing_id().alias("row")))
     most = hot_rows(rows.count())
     fps = cut(rows.groupBy("fp").agg(F.min("who").alias("low"), F.count("*").alias("copies")))
-    joined = components(wide_links(fps.select("fp"), block_rows))
+    of_low = fps.select("fp", F.col("low.key").alias("key"))  # one row speaks for all of its fingerprint
+    texts = flat.select("key", "text").join(of_low, "key").dropDuplicates(["fp"]).select("fp", "text")
+    joined = verified_components(fps.select("fp"), texts, shingle_words, least, block_rows)
     member = fps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "fp"))
     best = member.groupBy("root").agg(F.min("low")["key"].alias("best"), F.count("*").alias("members"))
     told = spread_join(member, best, "root", "members", "fp", most).select("fp", "best", "copies")

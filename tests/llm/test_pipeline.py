@@ -1,5 +1,6 @@
 """The pipeline's stages at the smallest scale, each against a plain version of its decision, and held-out accuracy."""
 
+import math
 import random
 import zlib
 
@@ -53,18 +54,62 @@ def alike(a, b):
     return len(a & b) / max(1, len(a | b)) if a or b else 1.0
 
 
+def alike_texts(sets, least=0.8):
+    """Pairs of sets alike to ``least``, exactly: rarest shingles first, two such sets share one of their first ones."""
+    seen = {}
+    for x in sets.values():
+        for g in x:
+            seen[g] = seen.get(g, 0) + 1
+    lists, pairs = {}, set()
+    for k, x in sets.items():
+        for g in sorted(x, key=lambda g: (seen[g], g))[: len(x) - math.ceil(least * len(x)) + 1]:
+            pairs.update((j, k) for j in lists.setdefault(g, []))
+            lists[g].append(k)
+    return {(a, b) for a, b in pairs if alike(sets[a], sets[b]) >= least}
+
+
+def grouped(keys, pairs):
+    root = {k: k for k in keys}
+
+    def find(k):
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {k: find(k) for k in keys}
+
+
 def test_near_dedup_stage_leaves_one_of_each_group(stages):
-    """No two documents that stay are alike to 0.85; each that goes is within the fingerprint's bound of another one."""
+    """Just the documents stay that an exact comparison of all shingles leaves, at the smallest scale."""
     sets = {r["doc_id"]: shingles(r["text"]) for r in stages[2]}
-    kept = sorted(r["doc_id"] for r in stages[3])
-    assert not [(a, b) for a in kept for b in kept if a < b and sets[a] & sets[b] and alike(sets[a], sets[b]) >= 0.85]
-    prints = {r["doc_id"]: int.from_bytes(simhash.wide_fingerprint(r["text"], 5), "little") for r in stages[2]}
-    for gone in set(sets) - set(kept):
-        assert any((prints[gone] ^ prints[x]).bit_count() <= simhash.WIDE_BITS for x in prints if x != gone)
+    same = {}
+    for k in sorted(sets):
+        same.setdefault(frozenset(sets[k]), k)
+    roots = grouped(sets, alike_texts({k: sets[k] for k in same.values()}) | {(same[frozenset(x)], k) for k, x in sets.items()})
+    assert {r["doc_id"] for r in stages[3]} == set(roots.values())
+
+
+def test_near_dedup_precision_and_recall(spark):
+    """The shipped operator over 10,000 documents: of the documents that an exact comparison drops 0.95 go, of those that go 0.95 should."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: shingles(r["text"]) for r in docs.collect()}
+    same = {}
+    for k in sorted(sets):
+        same.setdefault(frozenset(sets[k]), k)
+    copies = {(same[frozenset(x)], k) for k, x in sets.items() if same[frozenset(x)] != k}
+    near = alike_texts({k: sets[k] for k in same.values()})
+    roots = grouped(sets, near | copies)
+    gone = set(sets) - {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    exact, due = {b for _, b in copies}, {k for k, r in roots.items() if k != r}
+    assert exact <= gone and len(due - exact) > 30
+    assert len(gone & due - exact) >= 0.95 * len(due - exact) and len(gone & due - exact) >= 0.95 * len(gone - exact)
 
 
 def test_near_dedup_reaches_a_similarity_of_a_fifth_changed(spark):
-    """Copies with changed words: nearly all pairs alike to 0.8 and more are found, none under 0.6."""
+    """Copies with changed words: nearly all pairs alike to 0.8 and more are found, none below."""
     rnd = random.Random(12)
     words = [f"w{k}" for k in range(4000)]
     texts, pairs = [], []
@@ -77,7 +122,7 @@ def test_near_dedup_reaches_a_similarity_of_a_fifth_changed(spark):
         texts += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert kept >= {a for a, _, _ in pairs}
-    near, far = [b not in kept for _, b, j in pairs if j >= 0.8], [b not in kept for _, b, j in pairs if j < 0.6]
+    near, far = [b not in kept for _, b, j in pairs if j >= 0.8], [b not in kept for _, b, j in pairs if j < 0.8]
     assert len(near) > 50 and sum(near) >= 0.93 * len(near) and len(far) > 50 and sum(far) == 0
 
 
@@ -152,7 +197,8 @@ def test_held_out_accuracy(spark):
     assert told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
     good = QUERIES["op6_quality"](spark, "/root/testdata/sf0.01").where("held_out").join(labels, "doc_id")
     assert good.agg(F.avg((F.col("quality") == F.col("predicted")).cast("int"))).first()[0] > 0.95
-    toxic = QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
-    told = {(r["toxic"], r["predicted"]): r["n"] for r in toxic.groupBy("toxic", "predicted").agg(F.count("*").alias("n")).collect()}
-    assert told.get((1, 1), 0) >= 0.7 * (told.get((1, 1), 0) + told.get((1, 0), 0)) and told.get((0, 1), 0) <= 0.01 * told[(0, 0)]  # 305 toxic texts to learn from
+    for scale, recall in (("sf0.01", 0.7), ("sf0.1", 0.9)):  # 33 and 305 toxic texts to learn from
+        toxic = QUERIES["op5_toxicity"](spark, f"/root/testdata/{scale}").where("held_out").join(spark.read.parquet(f"/root/testdata/{scale}/labels.parquet"), "doc_id")
+        told = {(r["toxic"], r["predicted"]): r["n"] for r in toxic.groupBy("toxic", "predicted").agg(F.count("*").alias("n")).collect()}
+        assert told.get((1, 1), 0) >= recall * (told.get((1, 1), 0) + told.get((1, 0), 0)) and told.get((0, 1), 0) <= 0.012 * told[(0, 0)]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in good.limit(50).collect())
