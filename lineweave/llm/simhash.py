@@ -40,8 +40,8 @@ BROADCAST_LISTS = 100_000
 WIDE_WORDS, WIDE_BITS, WIDE_BYTES = 8, 100, 6
 WIDE_STEPS = ((1, 3), (4, 9), (6, 13))  # no two positions are together in two triples
 POSTS_A_TASK = 1 << 23
-#: Texts are near copies if their distinct shingles have this Jaccard similarity; so many of a text's candidates are compared before the others.
-ALIKE, NEAREST = 0.8, 3
+#: Texts are near copies if their distinct shingles have this Jaccard similarity.
+ALIKE = 0.8
 #: A key with more than this part of all rows, and 1024 rows at least, is spread over several groups of a join.
 HOT_PART = 1 / 4096
 #: keep_one() broadcasts the keys to drop up to this many (16 bytes each), beyond that it joins by a shuffle.
@@ -377,38 +377,24 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def verified_components(fps: DataFrame, texts: DataFrame, shingle_words: int, least: float, block_rows: int) -> DataFrame:
     """node, root: components of links whose shingles were compared and are alike to ``least``.
 
-    fps: distinct fp; texts: fp and the text of one row for each. First the links of the lists' forests: the nearest three of each node,
-    then those of the others whose ends are still apart. A link that fails may have hidden others of its list, so lists
-    that still hold several components are read again, and all their close pairs are compared that join two components.
+    fps: distinct fp; texts: fp and the text of one row for each. The links of the lists' forests are compared first. One that fails
+    may have hidden others of its list, so lists that still hold several components are read again, and all their close
+    pairs are compared that join two components.
     """
     candidates, listed = wide_links(fps, block_rows)
 
-    @F.arrow_udf("int")
-    def bits(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(np.bitwise_count((_bytes_of(a) ^ _bytes_of(b)).view(np.uint64)).sum(axis=1).astype(np.int32), pa.int32())
-
     @F.arrow_udf("array<long>")
     def hashes(column: pa.Array) -> pa.Array:
         return pa.array([shingle_hashes(x.as_py(), shingle_words).view(np.int64) for x in column], pa.list_(pa.int64()))
 
-    candidates = cut(candidates.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(bits("a", "b"), "a"))))
-    ends = candidates.select(F.col("a").alias("fp")).unionByName(candidates.select(F.col("b").alias("fp"))).distinct()
+    candidates = cut(candidates)
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     sets = cut(texts.join(ends, "fp").select("fp", hashes("text").alias("shingles")))
-
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        met = pairs
-        for side in ("a", "b"):
-            met = met.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-        return met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
-
-    good = cut(alike_pairs(candidates.where(f"rank <= {NEAREST}").select("a", "b"), sets, least))
+    good = cut(alike_pairs(candidates, sets, least))
     roots = components(good)
-    more = alike_pairs(apart(candidates.where(f"rank > {NEAREST}").select("a", "b"), roots), sets, least)
-    good = cut(good.unionByName(more))
-    roots = cut(components(good))
-    hidden = apart(_links_between(listed, roots, block_rows), roots).join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+    hidden = _links_between(listed, roots, block_rows).join(candidates, ["a", "b"], "left_anti")
     more = cut(alike_pairs(hidden, sets, least))
-    return components(good.unionByName(more)) if not more.isEmpty() else roots
+    return roots if more.isEmpty() else components(good.unionByName(more))
 
 
 def components(edges: DataFrame) -> DataFrame:
