@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.functions import rules
+from lineweave.functions import rules, text
 from lineweave.operators import lifecycle, windows
 from lineweave.plans.join_queries import EXACT, FILE, added, candidates
 from lineweave.plans.registry import Tables, query
-from lineweave.streaming import readers, streams
+from lineweave.streaming import keyed, readers, streams
 
 c = F.col
 TOOL = "case event_type when 'click' then 'claude' when 'view' then 'cursor' when 'purchase' then 'codex' when 'signup' then 'copilot' else '' end"
@@ -62,26 +62,61 @@ def t04(t: Tables) -> DataFrame:
     return streams.sticky_model(t.spark, edits, streams.folder(t.spark, "sticky"))
 
 
-def file_edits(t: Tables) -> DataFrame:
-    """Two edits of each document: an AI writes it, a person appends a line."""
+LINES = "l as (select doc_id, pos from doc_lines_v where not (content = '' and pos = (select max(pos) from doc_lines_v d where d.doc_id = doc_lines_v.doc_id))), n as (select doc_id, cast(count(*) as int) as n from l group by doc_id)"
+
+
+def log_events(t: Tables) -> DataFrame:
+    """What happens to each document's file: an AI writes it, a person appends a line, a commit comes that takes every third file, another tool appends."""
     docs = streams.source(t.spark, f"{t.sf_dir}/documents.parquet").where("text is not null").select("doc_id", "text")
-    edit = lambda ts, content, who, tool: F.struct(F.lit(ts).alias("ts"), content.alias("content"), F.lit(who).alias("author_type"), F.lit(tool).alias("tool"))
-    both = F.array(edit(1, c("text"), "AI", "claude"), edit(2, F.concat("text", F.lit("\na person's line")), "Human", ""))
-    return docs.select("doc_id", F.explode(both).alias("e")).select("doc_id", "e.*")
+    first, second, third = c("text"), F.concat("text", F.lit("\na person's line")), F.concat("text", F.lit("\na person's line\nand a tool's"))
+    taken = c("doc_id") % 3 == 0
+    none = F.lit(None).cast("string")
+
+    def event(ts: int, kind: str, content: Column, who: str, tool: str, base: Column, baseline: Column = none) -> Column:
+        new_base = F.lit("c1") if kind == "commit" else none
+        return F.struct(F.lit(ts).cast("long").alias("ts"), F.lit(ts).cast("long").alias("id"), F.lit(kind).alias("kind"), base.alias("base_sha"), new_base.alias("new_base"), taken.alias("committed"), content.alias("content"), baseline.alias("baseline"), F.lit(who).alias("author_type"), F.lit(tool).alias("tool"))
+
+    c0, c1 = F.lit("c0"), F.lit("c1")
+    told = F.array(event(4, "edit", third, "AI", "codex", c1, second), event(1, "edit", first, "AI", "claude", c0), event(3, "commit", none, "", "", c0), event(2, "edit", second, "Human", "", c0))
+    return docs.select("doc_id", F.explode(told).alias("e")).select("doc_id", "e.*")
 
 
-@query("t05_working_log_state", "with l as (select doc_id, pos from doc_lines_v where not (content = '' and pos = (select max(pos) from doc_lines_v d where d.doc_id = doc_lines_v.doc_id))) select doc_id, cast(pos + 1 as int) as line_no, 'AI' as author_type, 'claude' as tool from l union all select doc_id, cast(count(*) + 1 as int), 'Human', '' from l group by doc_id")
+@query("t05_working_log_state", f"""
+with {LINES}, all_ as (
+  select doc_id, 'c0' as base_sha, cast(pos + 1 as int) as line_no, 'AI' as author_type, 'claude' as tool from l where doc_id % 3 = 0 union all select doc_id, 'c0', n + 1, 'Human', '' from n where doc_id % 3 = 0
+  union all select doc_id, 'c1', cast(pos + 1 as int), case when doc_id % 3 = 0 then 'Human' else 'AI' end, case when doc_id % 3 = 0 then '' else 'claude' end from l
+  union all select doc_id, 'c1', n + 1, 'Human', '' from n union all select doc_id, 'c1', n + 2, 'AI', 'codex' from n)
+select * from all_""")
 def t05(t: Tables) -> DataFrame:
-    log = streams.updated(t.spark, streams.working_log(file_edits(t), ["doc_id"]), streams.folder(t.spark, "working_log"))
-    return log.select("doc_id", "line_no", "author_type", "tool")
+    """Edits and a commit in one stream: the logs of files that the commit didn't take go on at the new base, the others stay and begin anew."""
+    log = keyed.landed(t.spark, keyed.working_logs(log_events(t), ["doc_id"]), streams.folder(t.spark, "working_log"))
+    return keyed.current(log, ["doc_id"]).select("doc_id", "base_sha", "line_no", "author_type", "tool")
+
+
+def branch_events(t: Tables) -> DataFrame:
+    """Each event edits a file of its user's branch; every tenth is also a commit, with that file."""
+    path = F.concat(F.lit("src/f"), F.get_json_object("props", "$.k").cast("int") % 3, F.lit(".py"))
+    rows = streams.source(t.spark, f"{t.sf_dir}/events.parquet").select(
+        F.concat(F.lit("repo"), c("user_id") % 4).alias("repo_path"), F.concat(F.lit("b"), c("user_id") % 2).alias("branch"),
+        (F.unix_micros(c("ts").cast("timestamp")) * 1000).alias("ts_ns"), c("event_id").alias("id"), path.alias("file_path"),
+    )
+    edit = F.struct(F.lit("edit").alias("kind"), F.lit(None).cast("string").alias("sha"), F.lit(None).cast("array<string>").alias("files"))
+    commit = F.struct(F.lit("commit").alias("kind"), F.concat(F.lit("c"), "id").alias("sha"), F.array("file_path").alias("files"))
+    return rows.withColumn("x", F.explode(F.when(c("id") % 10 == 0, F.array(edit, commit)).otherwise(F.array(edit)))).select("*", "x.*").drop("x")
 
 
 @query("t06_work_sessions", """
-with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 8 hour then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as g from e)
-select user_id, count(*) as edits, epoch_us(min(ts)) as start_us from s group by user_id, g""")
+with e as (select id, repo_path, branch, file_path, ts_ns from edits_v), c as (select *, concat('c', cast(id as varchar)) as sha, coalesce(lag(concat('c', cast(id as varchar))) over (partition by repo_path, branch order by ts_ns), '') as base,
+  coalesce(lag(ts_ns) over (partition by repo_path, branch order by ts_ns), -1) as since from e where id % 10 = 0),
+f as (select c.id, c.sha, c.base, c.repo_path, c.branch, c.ts_ns, c.file_path as taken, x.file_path, (select max(ts_ns) from e where e.repo_path = c.repo_path and e.branch = c.branch and e.file_path = x.file_path and e.ts_ns < c.ts_ns) as edited,
+  (select max(ts_ns) from c o where o.repo_path = c.repo_path and o.branch = c.branch and o.file_path = x.file_path and o.ts_ns < c.ts_ns) as gone from c join (select distinct file_path from e) x on true)
+select 'edit' as kind, e.id, e.file_path, coalesce(c.sha, '') as base_sha, cast(null as varchar) as new_base, cast(null as boolean) as committed, cast(null as bigint) as edits from e asof left join c on e.repo_path = c.repo_path and e.branch = c.branch and e.ts_ns >= c.ts_ns
+union all select 'session', id, null, base, sha, null, (select count(*) from e where e.repo_path = c.repo_path and e.branch = c.branch and e.ts_ns >= c.since and e.ts_ns < c.ts_ns) from c
+union all select 'step', id, file_path, base, sha, file_path = taken, null from f where edited is not null and (gone is null or edited >= gone)""")
 def t06(t: Tables) -> DataFrame:
-    by = events(t).withWatermark("ts", "1 day").groupBy("user_id", F.session_window("ts", "8 hours").alias("w")).agg(F.count("*").alias("edits"))
-    return streams.completed(t.spark, by.select("user_id", "edits", F.unix_micros("w.start").alias("start_us")), streams.folder(t.spark, "sessions"))
+    """A commit closes the branch's session and is the base of the next; open files step to it."""
+    got = keyed.landed(t.spark, keyed.work_sessions(branch_events(t)), streams.folder(t.spark, "sessions"))
+    return got.select("kind", "id", "file_path", "base_sha", "new_base", "committed", "edits")
 
 
 @query("t07_file_lifecycle", """
@@ -158,12 +193,20 @@ def t12(t: Tables) -> DataFrame:
     return of("day", "1 day").unionByName(of("sliding", "1 day", "6 hours"))
 
 
-@query("t13_live_view", "select doc_id, cast(count(*) + 1 as int) as line_no, 'Human' as author_type from doc_lines_v where not (content = '' and pos = (select max(pos) from doc_lines_v d where d.doc_id = doc_lines_v.doc_id)) group by doc_id")
+@query("t13_live_view", f"""
+with {LINES}
+select doc_id, cast(pos + 1 as int) as line_no, 'AI' as author_type, 'claude' as tool from l where doc_id % 3 <> 0
+union all select doc_id, n + 1, case when doc_id % 2 = 0 then 'AI' else 'Human' end, case when doc_id % 2 = 0 then 'copypaste' else '' end from n where doc_id % 3 <> 0 union all select doc_id, n + 2, 'AI', 'codex' from n""")
 def t13(t: Tables) -> DataFrame:
-    """Authors of changed lines only: here the appended one."""
-    log = streams.updated(t.spark, streams.working_log(file_edits(t), ["doc_id"]), streams.folder(t.spark, "live"))
-    changed = log.groupBy("doc_id").agg(F.max("line_no").alias("line_no"))
-    return log.join(changed, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", "author_type")
+    """What isn't committed yet: the lines that HEAD lacks, with the authors of the working log; a person's line that was pasted from an AI's is the paste's."""
+    log = keyed.landed(t.spark, keyed.working_logs(log_events(t), ["doc_id"]), streams.folder(t.spark, "live"))
+    head = F.when(c("doc_id") % 3 == 0, F.concat("text", F.lit("\na person's line"))).otherwise("")
+    docs = t.documents.where("text is not null")
+    texts = docs.select("doc_id", head.alias("old_text"), F.concat("text", F.lit("\na person's line\nand a tool's")).alias("new_text"))
+    pasted = F.lit("a person's line")
+    units = docs.where("doc_id % 2 = 0").select("doc_id", c("doc_id").alias("edit_id"), F.lit(1).alias("rank"), F.lit("copypaste").alias("tool"), text.line_sha(pasted).alias("content_sha"), text.line_sha_norm(pasted).alias("content_sha_norm"))
+    now = keyed.current(log, ["doc_id"]).where("base_sha = 'c1'")
+    return keyed.live_view(now, texts, units, ["doc_id"]).select("doc_id", "line_no", "author_type", "tool")
 
 
 @query("x01_eligibility_as_parameter", f"{EXACT.replace('where e.tool not in', 'where e.k % 2 = 0 and e.tool not in')} select u.sha, u.file_path, count(*) as n_units from u group by all")
