@@ -8,10 +8,12 @@ some megabytes; there is no size at which another method takes over.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,6 +139,8 @@ def attribute(prior: list[tuple], baseline: str | None, new: str | None, author:
 
 
 FOLD = "line_no int, author_type string, tool string, model string, gen_type string, session string, overrode string"
+#: Rows of a result go on in batches of so many.
+FOLDED_ROWS = 20_000
 
 
 def fold(edits: DataFrame, keys: list[str], seed: DataFrame | None = None) -> DataFrame:
@@ -144,28 +148,46 @@ def fold(edits: DataFrame, keys: list[str], seed: DataFrame | None = None) -> Da
 
     edits: keys, ts, id, content (the file after the edit), baseline (before the first; null is empty), author_type,
     tool, model, gen_type, session. seed: keys, authors (array of type, tool, model, gen_type, session by line).
-    A file's edits since one base commit are one row of the fold, so its size is bounded by that base's life.
+    A file's versions come one after the other from a sort that can spill; two of them and the authors by line are held.
     """
-    schema = ", ".join(f"{k} {t}" for k, t in edits.select(*keys).dtypes) + ", " + FOLD
-    names = [*keys, *[c.split()[0] for c in FOLD.split(", ")]]
-    step = F.struct("ts", "id", "content", *[F.coalesce(c, F.lit("")).alias(c) for c in AUTHOR], F.coalesce("baseline", F.lit("")).alias("baseline"))
-    files = edits.groupBy(*keys).agg(F.sort_array(F.collect_list(step)).alias("steps"))
-    files = files.withColumn("authors", F.lit(None).cast("array<struct<author_type: string>>")) if seed is None else files.join(seed, keys, "left")
+    kinds = dict(edits.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + FOLD
+    authors = "array<struct<author_type: string, tool: string, model: string, gen_type: string, session: string>>"
+    rows = edits.select(*keys, F.lit(1).alias("_side"), "ts", "id", "content", *[F.coalesce(c, F.lit("")).alias(c) for c in AUTHOR], F.coalesce("baseline", F.lit("")).alias("baseline"), F.lit(None).cast(authors).alias("_authors"))
+    if seed is not None:
+        first = seed.select(*keys, F.lit(0).alias("_side"), F.transform("authors", lambda x: F.struct(*[x[c].alias(c) for c in AUTHOR])).cast(authors).alias("_authors"))
+        rows = rows.unionByName(first, allowMissingColumns=True)
+    order = [*keys, "_side", "ts", "id", "content", *AUTHOR]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, prior, over, before, some, out, types = None, [], [], None, False, [], []
+
+        def told() -> list[tuple]:
+            return [(*key, i + 1, *a, o[0] if o else None) for i, (a, o) in enumerate(zip(prior, over, strict=True))] if some else []
+
+        for batch in batches:
+            types = types or [batch.schema.field(k).type for k in keys] + [pa.int32()] + [pa.string()] * (1 + len(AUTHOR))
+            columns = [batch.column(c) for c in (*keys, "_side", "content", "baseline", "_authors", *AUTHOR)]
+            for i in range(len(batch)):
+                values = [c[i].as_py() for c in columns]
+                if (own := tuple(values[: len(keys)])) != key:
+                    out += told()
+                    key, prior, over, before, some = own, [], [], None, False
+                    if len(out) >= FOLDED_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                        out = []
+                side, content, baseline, first, *author = values[len(keys) :]
+                if not side:
+                    prior = [tuple(x[c] or "" for c in AUTHOR) for x in first or ()]
+                    continue
+                prior, over, _ = attribute(prior, before if some else baseline, content, tuple(author))
+                before, some = content or "", True
+        out += told()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                prior = [] if r["authors"] is None else [tuple(x[k] or "" for k in AUTHOR) for x in r["authors"]]
-                content, over = r["steps"][0]["baseline"], []
-                for x in r["steps"]:
-                    prior, over, _ = attribute(prior, content, x["content"], tuple(x[k] for k in AUTHOR))
-                    content = x["content"] or ""
-                key = tuple(r[k] for k in keys)
-                out += [(*key, i + 1, *a, o[0] if o else None) for i, (a, o) in enumerate(zip(prior, over, strict=True))]
-            yield pd.DataFrame(out, columns=names)
-
-    return files.mapInPandas(run, schema)
+    names = [*keys, *[c.split()[0] for c in FOLD.split(", ")]]
+    return rows.repartition(*keys).sortWithinPartitions(*order).select(*keys, "_side", "content", "baseline", "_authors", *AUTHOR).mapInArrow(run, schema)
 
 
 def aligned(pairs: DataFrame, keys: list[str]) -> DataFrame:
