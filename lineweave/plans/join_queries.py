@@ -147,11 +147,14 @@ def j13(t: Tables) -> DataFrame:
     return match.by_precedence(added(t), match.pass_units(edits, hashes(t), FILE, rules.passes()), FILE).select("sha", "file_path", "line_no", "rule")
 
 
-@query("j14_removed_line_match", f"""{EXACT}, d as (select a.*, k as k_all from (select *, case when line_no % 2 = 0 then 'x' || content_sha else content_sha end as drifted from added_v) a join (select sha, repo_path, file_path, line_no, row_number() over (partition by sha, repo_path, file_path, content_sha, line_no % 2 order by line_no) as k from added_v) using (sha, repo_path, file_path, line_no)),
-sure as (select d.sha, d.repo_path, d.file_path, d.line_no, u.edit_id from d join u on d.sha = u.sha and d.repo_path = u.repo_path and d.file_path = u.file_path and d.drifted = u.content_sha and d.k_all = u.k),
-rest as (select *, row_number() over (partition by sha, repo_path, file_path, content_sha order by line_no) as k from d anti join sure using (sha, repo_path, file_path, line_no))
+@query("j14_removed_line_match", f"""{EXACT}, um as materialized (select sha, repo_path, file_path, content_sha, k, edit_id from u),
+d as materialized (select sha, repo_path, file_path, line_no, content_sha, case when line_no % 2 = 0 then 'x' || content_sha else content_sha end as drifted,
+  row_number() over (partition by sha, repo_path, file_path, content_sha, line_no % 2 order by line_no) as k_all from added_v),
+sure as materialized (select d.sha, d.repo_path, d.file_path, d.line_no, um.edit_id from d join um on d.sha = um.sha and d.repo_path = um.repo_path and d.file_path = um.file_path and d.drifted = um.content_sha and d.k_all = um.k),
+rest as materialized (select d.*, row_number() over (partition by d.sha, d.repo_path, d.file_path, d.content_sha order by d.line_no) as k
+  from d left join sure s on d.sha = s.sha and d.repo_path = s.repo_path and d.file_path = s.file_path and d.line_no = s.line_no where s.sha is null)
 select sha, file_path, cast(line_no as int) as line_no, edit_id from sure union all
-select r.sha, r.file_path, cast(r.line_no as int), u.edit_id from rest r join u on r.sha = u.sha and r.repo_path = u.repo_path and r.file_path = u.file_path and r.content_sha = u.content_sha and r.k = u.k""")
+select r.sha, r.file_path, cast(r.line_no as int), um.edit_id from rest r join um on r.sha = um.sha and r.repo_path = um.repo_path and r.file_path = um.file_path and r.content_sha = um.content_sha and r.k = um.k""")
 def j14(t: Tables) -> DataFrame:
     """Lines that went, half of them drifted: the exact budget first, then the normalised one, which it doesn't touch."""
     units = candidates(t, rules.ai_eligible(c("tool"), c("raw_meta")))
