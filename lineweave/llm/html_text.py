@@ -6,8 +6,9 @@ since the line before. The ratio of text to tags is smoothed along the page with
 ratios' spread parts content from the rest, and a container is content if lines with most of its text are. Elements
 whose name, class, id or role says menu, header, footer, sidebar, notice, advert, script, style or comments are never
 content, with these bounds: what is said of ``html``, ``body`` and ``main``, or of an element that holds the article, is
-about the page and not about its text; a form is left out unless it wraps the page; an element that the page never
-closes can't take the rest of the page with it.
+about the page and not about its text, nor does a mark count on an element with nearly all of the page's text, or where
+nothing else is left; a form is left out unless it wraps the page; an element that the page never closes can't take the
+rest of the page with it. Time is linear in a page's size, however its elements are nested.
 """
 
 from __future__ import annotations
@@ -46,53 +47,69 @@ INLINE_MARKS = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsense|share|sharing|so
 COMMENT_MARKS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|disqus|reply|replies)(?:$|[_\d-])", re.I)
 #: States of a page or of a wrapper, such as no-sidebar or comments-open.
 STATES = re.compile(r"^(?:no|has|with|without|hide|show|is|not)[_-]|[_-](?:open|closed|enabled|disabled)$", re.I)
+#: Parts of an article that are named with a mark's word.
+PARTS = re.compile(r"^(?:article|post|entry|story|content)[_-]+(?:header|banner)$", re.I)
 #: A form wraps the page if it holds an article, or half of all text with so many characters for each control.
 CHARS_A_CONTROL = 200
+#: A mark doesn't count on an element that holds this part of the page's text.
+MOST_TEXT = 0.8
 SPACE = re.compile(r"\s+")
 
 
 def marked(attrs: list, marks: re.Pattern) -> bool:
     for name, value in attrs:
-        if name in ("class", "id") and value and any(marks.search(x) and not STATES.search(x) for x in value.split()):
+        if name in ("class", "id") and value and any(marks.search(x) and not STATES.search(x) and not PARTS.search(x) for x in value.split()):
             return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
 
-class Skip:
-    """An element that is left out: its tag, whether by its class, id or role only, and what became known of it."""
+class Around:
+    """An element that may be left out, linked to the next one around it (``outer``), and what became known of it.
 
-    __slots__ = ("tag", "by_mark", "comments", "closed", "holds_article")
+    ``chars``, ``controls``, ``holds_article`` and ``holds_heading`` are of the element alone while the page is read, and are
+    passed outwards once at its end, so that nesting costs nothing: ``settle()``.
+    """
+
+    __slots__ = ("tag", "outer", "by_mark", "comments", "closed", "holds_article", "holds_heading", "chars", "controls", "out")
 
-    def __init__(self, tag: str, by_mark: bool, comments: bool):
-        self.tag, self.by_mark, self.comments = tag, by_mark, comments
-        self.closed = self.holds_article = False
+    def __init__(self, tag: str, outer: Around | None, by_mark: bool = False, comments: bool = False):
+        self.tag, self.outer, self.by_mark, self.comments = tag, outer, by_mark, comments
+        self.closed = self.holds_article = self.holds_heading = False
+        self.chars = self.controls = 0
+        self.out: bool | None = None
 
-    def stays_out(self, strict: bool) -> bool:
+    def stays_out(self, strict: bool, most: float) -> bool:
+        """Whether this element itself is left out; a mark doesn't count on what holds the article or ``most`` characters."""
         if self.tag in UNSEEN:
             return True
         if not self.closed and (self.tag in HELD_SHORT or not strict):
             return False
-        return not (self.by_mark and self.holds_article and not self.comments)
-
+        if not self.by_mark or self.comments:
+            return True
+        return not (self.holds_article or self.chars >= most)
 
-class Form:
-    """A form: its characters, controls, and whether it holds an article or a page's main heading."""
 
-    __slots__ = ("chars", "controls", "holds_article")
-
-    def __init__(self) -> None:
-        self.chars = self.controls = 0
-        self.holds_article = False
+def settle(nodes: list[Around]) -> None:
+    """Passes what inner elements hold to those around them; nodes as they were opened, so inner ones come later."""
+    for x in reversed(nodes):
+        if x.outer is not None:
+            x.outer.chars += x.chars
+            x.outer.controls += x.controls
+            x.outer.holds_article |= x.holds_article
+            x.outer.holds_heading |= x.holds_heading
 
 
 class Lines(HTMLParser):
-    """Lines of a page as [container, text, tags before and inside it, characters in links, skips around it, forms around it]."""
+    """Lines of a page as [container, text, tags before and inside it, characters in links, skip around it, form around it]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, tuple, tuple]] = [("", 0, (), ())]  # tag, container, skips, forms
+        self.open: list[tuple[str, int, Around | None, Around | None]] = [("", 0, None, None)]  # tag, container, innermost skip and form
+        self.count: dict[str, int] = {}  # of open elements by tag
+        self.skips: list[Around] = []
+        self.forms: list[Around] = []
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = self.aside_tags = self.linked = self.containers = self.links = 0
@@ -104,29 +121,37 @@ class Lines(HTMLParser):
             if text:
                 _, container, skips, forms = self.open[-1]
                 self.lines.append([container, text, self.aside_tags if skips else self.tags, self.linked, skips, forms])
-                for form in forms:
-                    form.chars += len(text)
+                for x in (skips, forms):
+                    if x is not None:
+                        x.chars += len(text)
                 self.linked = self.aside_tags = 0
                 if not skips:
                     self.tags = 0
             self.parts = []
 
+    def push(self, tag: str, container: int, skip: Around | None, form: Around | None) -> None:
+        self.open.append((tag, container, skip, form))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def pop(self) -> tuple[str, int, Around | None, Around | None]:
+        x = self.open.pop()
+        self.count[x[0]] -= 1
+        self.silent -= x[0].startswith("~")
+        return x
+
     def end_inline(self) -> None:
         while self.silent and self.open[-1][0].startswith("~"):
-            self.open.pop()
-            self.silent -= 1
+            self.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         self.aside_tags += 1
         if tag not in IN_HEAD and self.open[-1][0] == "head":
             self.end_line()
-            self.open[-1][2][-1].closed = True
-            self.open.pop()
+            self.pop()[2].closed = True
         _, container, skips, forms = self.open[-1]
-        if tag in CONTROLS:
-            for form in forms:
-                form.controls += 1
+        if tag in CONTROLS and forms is not None:
+            forms.controls += 1
         if tag in VOID:
             if tag in ("br", "wbr"):
                 self.parts.append(" " if tag == "br" else "")
@@ -137,35 +162,38 @@ class Lines(HTMLParser):
             if tag == "a":
                 self.links += 1
             if attrs and marked(attrs, MARKS if tag == "span" else INLINE_MARKS):
-                self.open.append(("~" + tag, container, skips, forms))
+                self.push("~" + tag, container, skips, forms)
                 self.silent += 1
             elif tag == "span":
-                self.open.append((tag, container, skips, forms))
+                self.push(tag, container, skips, forms)
             return
         self.end_inline()
         self.end_line()
         while self.open[-1][0] == "p" and tag != "p" or self.open[-1][0] == tag and tag in ("p", "li"):
-            self.open.pop()  # not closed in the page
+            self.pop()  # not closed in the page
         _, container, skips, forms = self.open[-1]
-        if tag in ("article", "main"):
-            for x in (*skips, *forms):
-                x.holds_article = True
-        elif tag == "h1":
-            for x in forms:
-                x.holds_article = True
+        for x in (skips, forms):
+            if x is not None:
+                x.holds_article |= tag in ("article", "main")
+                x.holds_heading |= tag == "h1"
+        own = None
         if tag in SKIPPED:
-            skips = (*skips, Skip(tag, False, False))
+            own = Around(tag, skips)
         elif tag == "article":
             if any(marked([x], COMMENT_MARKS) for x in attrs if x[0] == "class"):
-                skips = (*skips, Skip(tag, True, True))
+                own = Around(tag, skips, True, True)
         elif tag not in WHOLE_PAGE and attrs and marked(attrs, MARKS):
-            skips = (*skips, Skip(tag, True, marked(attrs, COMMENT_MARKS)))
+            own = Around(tag, skips, True, marked(attrs, COMMENT_MARKS))
+        if own is not None:
+            self.skips.append(own)
+            skips = own
         if tag == "form":
-            forms = (*forms, Form())
+            forms = Around(tag, forms)
+            self.forms.append(forms)
         if tag in CONTAINERS:
             self.containers += 1
             container = self.containers
-        self.open.append((tag, container, skips, forms))
+        self.push(tag, container, skips, forms)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -176,23 +204,27 @@ class Lines(HTMLParser):
         if block:
             self.end_inline()
             self.end_line()
-        for k in range(len(self.open) - 1, 0, -1):
-            name = self.open[k][0]
-            if name == tag or not block and name == "~" + tag:
-                if name == tag and self.open[k][2] is not self.open[k - 1][2]:
-                    self.open[k][2][-1].closed = True
-                if tag not in ("body", "html"):
-                    for inner in self.open[k + 1 :]:
-                        if inner[2] is not self.open[k][2] and inner[2]:
-                            inner[2][-1].closed = True  # ended with the element around it
-                self.silent -= sum(x[0].startswith("~") for x in self.open[k:])
-                del self.open[k:]
-                break
-            if not block and name in BLOCKS:
-                break
+        if not self.count.get(tag) and (block or not self.count.get("~" + tag)):
+            return  # nothing of this name is open
+        if not block:
+            # an inline element ends within its block only
+            k = len(self.open) - 1
+            while k and self.open[k][0] not in (tag, "~" + tag):
+                if self.open[k][0] in BLOCKS:
+                    return
+                k -= 1
+            while len(self.open) > k > 0:
+                self.pop()
+            return
+        while True:
+            name, _, skip, _ = self.pop()
+            if skip is not None and skip is not self.open[-1][2] and (name == tag or tag not in ("body", "html")):
+                skip.closed = True  # by its own end tag, or with the element around it
+            if name == tag:
+                return
 
     def handle_data(self, data: str) -> None:
-        if not self.silent and not (self.open[-1][2] and self.open[-1][2][-1].tag in UNSEEN):
+        if not self.silent and not (self.open[-1][2] is not None and self.open[-1][2].tag in UNSEEN):
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
@@ -214,20 +246,34 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     parser.feed(html)
     parser.close()
     parser.end_line()
-    seen = [x for x in parser.lines if not any(skip.tag in UNSEEN for skip in x[4])]
+    settle(parser.skips)
+    settle(parser.forms)
+    unseen = _left_out(parser.skips, lambda x: x.tag in UNSEEN)
+    seen = [x for x in parser.lines if x[4] not in unseen]
     half = sum(len(x[1]) for x in seen) / 2
 
-    def of_form(form: Form) -> bool:
-        return not form.holds_article and not (form.chars >= half and form.chars >= CHARS_A_CONTROL * form.controls)
+    def of_form(x: Around) -> bool:
+        return not (x.holds_article or x.holds_heading) and not (x.chars >= half and x.chars >= CHARS_A_CONTROL * x.controls)
 
-    seen = [x for x in seen if not any(map(of_form, x[5]))]
-    for strict in (True, False):
-        lines = [x for x in seen if not any(skip.stays_out(strict) for skip in x[4])]
-        if text := _content(lines, sigma, threshold):
+    forms = _left_out(parser.forms, of_form)
+    seen = [x for x in seen if x[5] not in forms]
+    most = MOST_TEXT * sum(len(x[1]) for x in seen)
+    for strict, least in ((True, most), (False, most), (False, 0)):  # at last no mark counts, and density alone tells
+        out = _left_out(parser.skips, lambda x: x.stays_out(strict, least))  # noqa: B023
+        if text := _content([x for x in seen if x[4] not in out], sigma, threshold):
             break
     return text
 
 
+def _left_out(nodes: list[Around], rule) -> set[Around]:
+    """The elements that a rule, or one around them, leaves out; nodes as they were opened."""
+    out: set[Around] = set()
+    for x in nodes:
+        if x.outer in out or rule(x):
+            out.add(x)
+    return out
+
+
 def _content(lines: list[list], sigma: float, threshold: float) -> str:
     if not lines:
         return ""

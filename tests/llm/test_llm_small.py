@@ -1,6 +1,7 @@
 """Corpus operators on odd rows: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import html
+import time
 import zlib
 
 import numpy as np
@@ -463,6 +464,11 @@ PAGES = {
     "crossed tags": f"<body><div><b>{BODY}</div></b></span></p></body>",
     "comments below": f'<body>{BODY}<ol class="comment-list"><li><article class="comment"><p>{"I liked it a lot, thank you. " * 9}</p></article></li></ol></body>',
     "a cookie notice": f'<body><div class="cookie-notice"><p>{"We use cookies on this site to serve you. " * 4}</p></div>{BODY}<footer><p>All rights</p></footer></body>',
+    "a story at the side": f'<body><nav><a>Home</a></nav><div class="side-story"><h1>{ARTICLE[0]}</h1><p>{ARTICLE[1]}</p><p>{ARTICLE[2]}</p></div></body>',
+    "results of a search": f'<body><div class="search-results"><h1>{ARTICLE[0]}</h1><p>{ARTICLE[1]}</p><p>{ARTICLE[2]}</p></div><footer>All rights</footer></body>',
+    "the header of an article": f'<body><div class="article-header"><h1>{ARTICLE[0]}</h1></div><p>{ARTICLE[1]}</p><p>{ARTICLE[2]}</p></body>',
+    "a marked heading in an article": f'<body><article><div class="post-header"><h1>{ARTICLE[0]}</h1></div><p>{ARTICLE[1]}</p><p>{ARTICLE[2]}</p></article><div class="sidebar"><p>{"Other stories that we have. " * 12}</p></div></body>',
+    "a long sidebar": f'<body><div class="text"><h1>{ARTICLE[0]}</h1><p>{ARTICLE[1]}</p><p>{ARTICLE[2]}</p></div><div class="sidebar"><p>{"Other stories that we have are here. " * 20}</p></div></body>',
     "scripts and styles": f"<body><style>p {{ color: red }}</style>{BODY}<script>if (a < b) document.write('<p>no</p>')</script></body>",
 }
 
@@ -489,6 +495,44 @@ def test_made_pages_give_back_their_article():
         assert html_text.main_text(page) == "\n".join(parts)
 
 
+def plain_content(lines, sigma=1.0, threshold=0.5):
+    """The lines of content by the rule, in loops: ratio of unlinked text to tags, Gaussian mean, threshold, containers by majority."""
+    ratios, smooth = [max(0, len(t) - linked) / max(1, tags) for _, t, tags, linked in lines], []
+    for k in range(len(lines)):
+        weights = {j: np.exp(-0.5 * ((j - k) / sigma) ** 2) for j in range(len(lines)) if abs(j - k) <= 3 * sigma}
+        smooth.append(sum(w * ratios[j] for j, w in weights.items()) / sum(weights.values()))
+    mean = sum(smooth) / len(smooth)
+    bound = min(threshold * (sum((x - mean) ** 2 for x in smooth) / len(smooth)) ** 0.5, max(smooth))
+    good = [x >= bound for x in smooth]
+    kept = []
+    for c, t, _, _ in lines:
+        own = [k for k, x in enumerate(lines) if x[0] == c]
+        size, dense, linked = (sum(f(k) for k in own) for f in (lambda k: len(lines[k][1]), lambda k: len(lines[k][1]) * good[k], lambda k: lines[k][3]))
+        if size and 2 * dense >= size and 2 * linked <= size:
+            kept.append(t)
+    return "\n".join(kept)
+
+
+def test_content_is_the_rule():
+    rnd = np.random.default_rng(8)
+    some = 0
+    for _ in range(300):
+        lines = [[int(rnd.integers(0, 4)), "x" * int(rnd.choice([1, 5, 40, 300])), int(rnd.integers(0, 9)), 0] for _ in range(int(rnd.integers(1, 25)))]
+        for x in lines:
+            x[3] = int(rnd.integers(0, len(x[1]) + 1)) if rnd.random() < 0.4 else 0
+        got = html_text._content([[*x, None, None] for x in lines], 1.0, 0.5)
+        assert got == plain_content(lines)
+        some += 0 < got.count("\n") + 1 < len(lines)
+    assert some > 100
+
+
+@pytest.mark.parametrize("page", ['<div class="menu">' * 100_000 + "text", "<div>" * 50_000 + "text" + "</p>" * 50_000, "<div>" * 50_000 + "</span></b>" * 25_000, '<form><div class="ad">' * 50_000 + "<article>text</article>", "<span class=share>" * 50_000 + "text"])
+def test_nesting_takes_linear_time(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
 def test_smoothing_keeps_a_constant():
     assert np.allclose(html_text.smoothed(np.full(9, 3.0), 1.0), 3.0)
 
