@@ -3,7 +3,8 @@
 A text is cut into pre-tokens (a word with the space before it, or a run of white space). The distinct new pre-tokens
 of a chunk of texts form one trie, which is walked level by level: a node's best log-probability and number of pieces
 are computed once for all words that share the prefix, and where a word ends its node's number is stored. A level is a
-few array operations over all of its nodes.
+few array operations over all of its nodes; where few words are left, as in a long run without spaces, they are walked
+byte by byte, what they share once.
 
 Pieces come from a public vocabulary file, and no tokenizer is trained: a piece's probability follows Zipf's law by its
 merge rank in that file. These are not probabilities that a unigram tokenizer has learned from text.
@@ -15,7 +16,7 @@ import base64
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ PRE_TOKEN = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+?(?= ?[^\x20\x09-\
 ZIPF_SHIFT = 2.7
 #: Pre-tokens that a worker remembers, then it starts anew; bytes of the texts whose new pre-tokens share a trie.
 KNOWN, CHUNK_BYTES = 400_000, 1 << 22
+#: With so few words left a level is a few bytes, and steps one by one are faster than array operations.
+NARROW = 16
 
 
 def piece_scores(path: str) -> dict[bytes, float]:
@@ -57,6 +60,11 @@ class Vocabulary:
         self.goes_on = np.zeros(len(steps) + 1, bool)
         self.goes_on[self.keys >> 8] = True
 
+    @cached_property
+    def plain(self) -> tuple[dict[int, int], list[float], list[bool]]:
+        """The automaton as plain values, for steps one by one."""
+        return dict(zip(self.keys.tolist(), self.states.tolist(), strict=True)), self.score.tolist(), self.goes_on.tolist()
+
     def step(self, states: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of these states have a way on with their byte, and where those lead."""
         key = states << 8 | data
@@ -70,6 +78,40 @@ def vocabulary_of(path: str) -> Vocabulary:
     return Vocabulary(piece_scores(path))
 
 
+def narrow_counts(words: list[bytes], depth: int, pieces: list[tuple[float, int, int]], n_pieces: int, vocabulary: Vocabulary) -> list[int]:
+    """trie_counts() below a node at ``depth``, byte by byte: for few words, such as one run of letters without spaces.
+
+    pieces: score and count where each begins, and state. Words are sorted; what they share is walked once.
+    """
+    step, scores, goes_on = vocabulary.plain
+    counts, left = [0] * len(words), [(0, len(words), depth, pieces, n_pieces)]
+    while left:
+        low, high, depth, pieces, n_pieces = left.pop()
+        while True:
+            while low < high and len(words[low]) == depth:
+                counts[low] = n_pieces
+                low += 1
+            if low == high:
+                break
+            byte = words[low][depth]
+            if words[high - 1][depth] != byte:
+                parting = next(k for k in range(low, high) if words[k][depth] != byte)
+                left.append((parting, high, depth, pieces, n_pieces))
+                high = parting
+            going, best, least = [], -np.inf, 0
+            for value, n, state in pieces:
+                after = step.get(state << 8 | byte)
+                if after is None:
+                    continue
+                own = value + scores[after]
+                if own > best or own == best and n + 1 < least:  # a state that ends no piece has no score: never larger
+                    best, least = own, n + 1
+                if goes_on[after]:
+                    going.append((value, n, after))
+            pieces, n_pieces, depth = [*going, (best, least, 0)], least, depth + 1
+    return counts
+
+
 def trie_counts(words: list[bytes], vocabulary: Vocabulary) -> dict[bytes, int]:
     """The number of pieces in the likeliest cut of each distinct word; of equally likely cuts the one with the fewest."""
     words = sorted(words)
@@ -87,6 +129,12 @@ def trie_counts(words: list[bytes], vocabulary: Vocabulary) -> dict[bytes, int]:
         live, node = live[~done], node[~done]
         if not len(live):
             break
+        if len(live) <= NARROW:
+            for own in np.unique(node):
+                among, here = live[node == own], slice(*np.searchsorted(owner, [own, own + 1]))
+                pieces = list(zip(score[here].tolist(), begun[here].tolist(), state[here].tolist(), strict=True))
+                counts[among] = narrow_counts([words[k] for k in among], depth, pieces, int(n_pieces[own]), vocabulary)
+            break
         byte = data[starts[live] + depth]
         fresh = np.append(True, (node[1:] != node[:-1]) | (byte[1:] != byte[:-1]))  # words are sorted: a node's stand together
         parent, n = node[fresh], int(fresh.sum())

@@ -335,6 +335,24 @@ def slow_count(word, scores):
     return best[len(word)][1]
 
 
+@pytest.mark.parametrize("narrow", [0, 3, 16])
+def test_narrow_tries_are_walked_alike(monkeypatch, narrow):
+    """Words that part early, late and at their ends, against the whole dynamic programming; a long run without spaces in seconds."""
+    monkeypatch.setattr(token_counts, "NARROW", narrow)
+    rnd = np.random.default_rng(9)
+    scores = {bytes(x): float(-s) for x, s in zip([rnd.choice(list(b"abc"), int(rnd.integers(1, 5))) for _ in range(40)], rnd.integers(1, 30, 40), strict=True)}
+    vocabulary = token_counts.Vocabulary(scores)
+    base = bytes(rnd.choice(list(b"abcd"), 60))
+    for n in (1, 2, 9, 40):
+        words = list({base[: int(k)] + bytes(rnd.choice(list(b"abcd"), int(m))) for k, m in zip(rnd.integers(0, 60, n), rnd.integers(1, 9, n), strict=True)})
+        want = dict(zip(words, (token_counts.narrow_counts([w], 0, [(0.0, 0, 0)], 0, vocabulary)[0] for w in words), strict=True))
+        assert token_counts.trie_counts(words, vocabulary) == want
+    if narrow:
+        began = time.perf_counter()
+        token_counts.trie_counts([bytes(rnd.choice(list(b"abcd"), 300_000))], vocabulary)
+        assert time.perf_counter() - began < 10
+
+
 def test_trie_counts():
     rnd = np.random.default_rng(8)
     raw = {bytes([b]): -5.0 - b % 3 for b in range(256)} | {p: -float(rnd.integers(2, 9)) for p in (b"ab", b"abc", b"bc", b"ca", b" a", b"cab")}
