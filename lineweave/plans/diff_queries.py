@@ -85,8 +85,11 @@ def fold_input(p: DataFrame) -> DataFrame:
     return one("old_text", 1, "AI", "claude").unionByName(one("new_text", 2, "Human", ""))
 
 
-@query("e04_attribute_fold", f"""with recursive {VERSIONS}, {REPLACED} select nl.doc_id, cast(nl.pos + 1 as int) as line_no, case when k.new_pos is null then 'Human' else 'AI' end as author_type, case when k.new_pos is null then '' else 'claude' end as tool, case when rp.new_pos is not null then 'AI' end as overrode
-from nl join pr using (doc_id) left join kept k on k.doc_id = nl.doc_id and k.new_pos = nl.pos left join rp on rp.doc_id = nl.doc_id and rp.new_pos = nl.pos""")
+SQL_OF_FOLD = f"""with recursive {VERSIONS}, {REPLACED} select nl.doc_id, cast(nl.pos + 1 as int) as line_no, case when k.new_pos is null then 'Human' else 'AI' end as author_type, case when k.new_pos is null then '' else 'claude' end as tool, case when rp.new_pos is not null then 'AI' end as overrode
+from nl join pr using (doc_id) left join kept k on k.doc_id = nl.doc_id and k.new_pos = nl.pos left join rp on rp.doc_id = nl.doc_id and rp.new_pos = nl.pos"""
+
+
+@query("e04_attribute_fold", SQL_OF_FOLD)
 def e04(t: Tables) -> DataFrame:
     return align.fold(fold_input(pairs(t)), KEY).select("doc_id", "line_no", "author_type", "tool", "overrode")
 

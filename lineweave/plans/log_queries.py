@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.plans.registry import Tables, query
-from lineweave.sources import logs
+from lineweave.sources import logs, tail
+from lineweave.streaming import streams
 
 c = F.col
 KEY = ["session_id"]
@@ -30,6 +31,10 @@ def with_noise(df: DataFrame) -> DataFrame:
 @query("s04_assistant_transcript", "select session_id, turn as pos, role, text, ts_ns, nullif(model, '') as model, case when role = 'assistant' then input_tokens end as input_tokens from turns_v")
 def s04(t: Tables) -> DataFrame:
     """Both shapes: role under ``type`` with an array of blocks, or under ``role`` with a plain text."""
+    return logs.transcript(with_noise(transcripts(t)), KEY).select("session_id", "pos", "role", "text", "ts_ns", "model", "input_tokens")
+
+
+def transcripts(t: Tables) -> DataFrame:
     stamp = F.date_format(F.timestamp_seconds(c("ts_ns") / 1_000_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     blocks = F.array(F.struct(F.lit("tool").alias("type"), F.lit("x").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("").alias("text")), F.struct(F.lit("text").alias("type"), c("text").alias("text")))
     said = F.col("role") == "assistant"
@@ -37,8 +42,19 @@ def s04(t: Tables) -> DataFrame:
     model = F.nullif("model", F.lit(""))
     a = json(type=c("role"), timestamp=stamp, message=F.struct(blocks.alias("content"), model.alias("model"), usage.alias("usage")))
     b = json(role=c("role"), timestamp=stamp, message=F.struct(c("text").alias("content"), model.alias("model"), usage.alias("usage")))
-    raw = with_noise(lines(t.turns_v, F.when(c("turn") % 2 == 0, a).otherwise(b)))
-    return logs.transcript(raw, KEY).select("session_id", "pos", "role", "text", "ts_ns", "model", "input_tokens")
+    return lines(t.turns_v, F.when(c("turn") % 2 == 0, a).otherwise(b))
+
+
+@query("s04_transcript_files", "select session_id, cast(row_number() over (partition by session_id order by turn) as int) as nth, role, text, ts_ns, nullif(model, '') as model from turns_v")
+def s04_files(t: Tables) -> DataFrame:
+    """Transcripts in files, one for each session, that are read in ranges of bytes; a line's place orders its file."""
+    at = streams.folder(t.spark, "transcripts")
+    raw = with_noise(transcripts(t)).repartition("session_id").sortWithinPartitions("session_id", "pos")
+    raw.select("session_id", "line").write.partitionBy("session_id").text(at)
+    read = tail.read_lines(t.spark, at, 1 << 12).withColumn("session_id", F.regexp_extract("file", "session_id=([^/]+)/", 1))
+    turns = logs.transcript(read, KEY)
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("pos")).cast("int")
+    return turns.select("session_id", nth.alias("nth"), "role", "text", "ts_ns", "model")
 
 
 SESSION = "select *, case when turn % 4 = 0 then concat('g', cast(turn as varchar(9))) else '' end as named, case when turn % 3 = 2 then turn + 1 else 0 end as used from turns_v"

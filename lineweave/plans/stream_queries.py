@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.functions import rules, text
-from lineweave.operators import lifecycle, windows
+from lineweave.functions import aggregates, rules, text
+from lineweave.operators import lifecycle
+from lineweave.plans.diff_queries import CAME, OWN, SQL_OF_FOLD, diffs, fold_input, pairs
 from lineweave.plans.join_queries import EXACT, FILE, added, candidates
 from lineweave.plans.registry import Tables, query
+from lineweave.sources import tail
 from lineweave.streaming import keyed, readers, streams
 
 c = F.col
@@ -29,13 +31,17 @@ def edit_stream(t: Tables) -> DataFrame:
     )
 
 
-@query("t01_incremental_log_tail", "select event_id as id from events")
+@query("t01_incremental_log_tail", "select event_id as id, event_type as kind from events where event_id % 5 < 3")
 def t01(t: Tables) -> DataFrame:
-    """Landed twice from one checkpoint: the second run finds nothing new."""
+    """Logs of the events, of which the third part comes later: each run goes on where the one before ended."""
     at = streams.folder(t.spark, "tail")
-    for _ in range(2):
-        streams.land(events(t).select("id"), f"{at}/rows", f"{at}/checkpoint")
-    return t.spark.read.parquet(f"{at}/rows")
+    line = F.to_json(F.struct(c("event_id").alias("id"), c("event_type").alias("kind")))
+    for part in range(3):
+        t.events.where(c("event_id") % 5 == part).select(line.alias("line")).write.mode("append").text(f"{at}/logs")
+        lines = tail.tailed(t.spark, f"{at}/logs", 1 << 16)
+        streams.land(lines, f"{at}/rows", f"{at}/checkpoint")
+    got = t.spark.read.parquet(f"{at}/rows").select(F.from_json("line", "id long, kind string").alias("j"))
+    return got.select("j.*")
 
 
 @query("t02_edit_fan_in", f"select event_id as id, {TOOL} as tool from events where {TOOL} in ('claude', 'codex')")
@@ -44,13 +50,19 @@ def t02(t: Tables) -> DataFrame:
     return streams.appended(t.spark, one("claude").unionByName(one("codex")), streams.folder(t.spark, "fan_in"))
 
 
-@query("t03_marker_correlation", f"with e as (select event_id as id, ts, {TOOL} as tool from events) select a.id, b.id as marker_id from e a join e b on a.tool = b.tool and a.tool in ('copilot', 'cursor') and a.id % 2 = 1 and b.id % 10 = 0 and b.ts between a.ts - interval 600 second and a.ts + interval 600 second")
+@query("t03_marker_correlation", f"""with e as (select event_id as id, ts, {TOOL} as tool from events)
+select a.id, count(b.id) as n_markers, case when count(b.id) > 0 then 'chat' else 'completion' end as gen_type
+from e a left join e b on a.tool = b.tool and a.id <> b.id and b.id % 5 = 0 and b.ts between a.ts - interval 600 second and a.ts + interval 600 second group by a.id""")
 def t03(t: Tables) -> DataFrame:
-    some = c("tool").isin("copilot", "cursor")
-    edits = events(t).where(some & (c("id") % 2 == 1)).select("id", "tool", "ts")
-    markers = events(t).where(some & (c("id") % 10 == 0)).select(c("id").alias("marker_id"), c("tool").alias("marker_tool"), c("ts").alias("marker_ts"))
-    got = streams.marked(edits, markers, 10 * streams.MINUTE, "30 days")
-    return streams.appended(t.spark, got.select("id", "marker_id"), streams.folder(t.spark, "markers"))
+    """Every event is a completion, every fifth one a marker too. A row that ends the day closes the windows of those without a marker."""
+    at = streams.folder(t.spark, "markers")
+    rows = t.events.select(c("event_id").alias("id"), F.expr(TOOL).alias("tool"), c("ts").cast("timestamp").alias("ts"))
+    rows.write.parquet(f"{at}/in")
+    rows.agg((F.max("ts") + F.expr("interval 90 days")).alias("ts")).select(F.lit(-1).cast("long").alias("id"), F.lit("").alias("tool"), "ts").write.mode("append").parquet(f"{at}/in")
+    edits = streams.source(t.spark, f"{at}/in")
+    markers = streams.source(t.spark, f"{at}/in").where("id < 0 or id % 5 = 0").select(c("id").alias("marker_id"), c("tool").alias("marker_tool"), c("ts").alias("marker_ts"))
+    found = streams.marked(edits, markers, 10 * streams.MINUTE, "30 days")
+    return streams.upgraded(t.spark, found, at)
 
 
 @query("t04_sticky_model", f"""
@@ -254,21 +266,32 @@ def x05(t: Tables) -> DataFrame:
     return t.edits_v.select("id", F.array_join(shell.write_targets(command), ",").alias("written"), F.array_join(shell.delete_targets(command), ",").alias("removed"))
 
 
-@query("x06_table_functions", "select doc_id, cast(pos + 1 as int) as line_no, content from doc_lines_v")
+@query("x06_table_functions", f"with {CAME} select doc_id as key, {OWN} as path, cast(n as int) as line_no, content from a union all select doc_id, 'new.txt', cast(pos + 1 as int), content from doc_lines_v")
 def x06(t: Tables) -> DataFrame:
-    """The SQL surface: a table function that turns a diff into its added lines."""
+    """The SQL surface: a table function over a table of diffs of several files gives their added lines."""
     readers.register(t.spark)
-    diffs = t.doc_lines_v.groupBy("doc_id").agg(F.concat(F.lit("@@ -0,0 +1,9 @@\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: F.concat(F.lit("+"), x["content"])), "\n")).alias("diff"))
-    diffs.createOrReplaceTempView("x06_diffs")
-    return t.spark.sql("select doc_id, a.line_no, a.content from x06_diffs, lateral added_lines(diff) a")
+    diffs(t).select(c("doc_id").cast("long").alias("key"), "diff").createOrReplaceTempView("x06_diffs")
+    return t.spark.sql("select key, path, line_no, content from added_lines(table(x06_diffs))")
 
 
 @query("x07_aggregate_functions", """
-with l as (select sha, path, author_type, line_no - row_number() over (partition by sha, path, author_type order by line_no) as g from attr_v where side = 'add')
-select sha, path, count(*) as n_ranges from (select distinct sha, path, author_type, g from l) x group by sha, path""")
+with l as (select sha, path, author_type, line_no, line_no - row_number() over (partition by sha, path, author_type order by line_no) as g from (select distinct sha, path, author_type, line_no from attr_v where side = 'add') x)
+select sha, path, author_type, cast(min(line_no) as int) as start_line, cast(max(line_no) as int) as end_line from l group by sha, path, author_type, g""")
 def x07(t: Tables) -> DataFrame:
-    ranges = windows.collapse_ranges(t.attr_v.where("side = 'add'"), ["sha", "path"], ["author_type"])
-    return ranges.groupBy("sha", "path").agg(F.count("*").alias("n_ranges"))
+    """Ranges by SQL, in parts of 64 lines that are merged."""
+    aggregates.register(t.spark)
+    t.attr_v.where("side = 'add'").createOrReplaceTempView("x07_lines")
+    return t.spark.sql("""
+        with parts as (select sha, path, author_type, collapse_ranges(cast(line_no as int)) as ranges from x07_lines group by sha, path, author_type, line_no div 64)
+        select sha, path, author_type, r.start as start_line, r.end as end_line from (select sha, path, author_type, merge_ranges(ranges) as ranges from parts group by sha, path, author_type) lateral view explode(ranges) x as r""")
+
+
+@query("x07_replay_aggregate", SQL_OF_FOLD)
+def x07_replay(t: Tables) -> DataFrame:
+    """The fold of E04 as an aggregate in SQL."""
+    aggregates.register(t.spark)
+    fold_input(pairs(t)).createOrReplaceTempView("x07_edits")
+    return t.spark.sql("select doc_id, l.line_no, l.author_type, l.tool, l.overrode from (select doc_id, replay(ts, id, content, author_type, tool) as lines from x07_edits group by doc_id) lateral view explode(lines) x as l")
 
 
 @query("x08_observation", "select count(*) as n, count(*) filter (tool = '') as blank from edits_v")

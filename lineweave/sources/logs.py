@@ -1,11 +1,11 @@
 """Tools' logs as tables: transcripts, session logs, chat deltas, usage events, agent steps, editor and sandbox logs.
 
-Each function takes a table of raw lines (keys, pos, line), in files or from a stream of files, and gives a table.
+Each function takes a table of raw lines (keys, pos, line), from files or a stream of them (``sources.tail``), and gives a table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave import schemas
@@ -13,12 +13,6 @@ from lineweave.functions.text import clean_path, is_blank, line_sha, line_sha_no
 from lineweave.operators import windows
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, pos, line of text files; a file is read whole, so that lines have their places."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    return rows.where("line <> ''")
-
-
 def parsed(lines: DataFrame, schema: str, raw: str = "line") -> DataFrame:
     """Lines that are JSON objects, as ``j``; others are left out."""
     rows = lines.where(F.ltrim(raw).startswith("{")).withColumn("j", F.from_json(raw, schema, {"mode": "PERMISSIVE"}))

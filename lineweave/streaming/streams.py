@@ -105,16 +105,30 @@ def keep_latest(keys: list[str], *order: str) -> Callable[[DataFrame | None, Dat
 
 
 def marked(edits: DataFrame, markers: DataFrame, width: int = MINUTE, late: str = "2 minutes") -> DataFrame:
-    """Completions with the chat markers of their tool within ``width``, before or after.
+    """Completions with the chat markers of their tool within ``width``, before or after; those without one come with nulls,
+    once the watermark has passed their window.
 
-    Both have tool and ts (timestamp); markers as marker_id, marker_tool, marker_ts. The join's state is bounded by the
-    watermarks and the band.
+    Both have id, tool and ts (timestamp), markers as marker_id, marker_tool, marker_ts; a row is no marker of itself. The
+    join's state is bounded by the watermarks and the band. A filter on the result goes below the watermark, so rows that
+    only move it on have ids below 0, which upgraded() leaves out.
     """
     seconds = width // SECOND
     e = edits.withWatermark("ts", late)
     m = markers.withWatermark("marker_ts", late)
-    band = F.expr(f"tool = marker_tool and marker_ts >= ts - interval {seconds} seconds and marker_ts <= ts + interval {seconds} seconds")
-    return e.join(m, band)
+    band = F.expr(f"tool = marker_tool and marker_id <> id and marker_ts >= ts - interval {seconds} seconds and marker_ts <= ts + interval {seconds} seconds")
+    return e.join(m, band, "left_outer")
+
+
+def upgraded(spark: SparkSession, found: DataFrame, at: str) -> DataFrame:
+    """id, n_markers, gen_type: completions as marked() tells of them, batch by batch; one that was stored becomes a chat when
+    a marker turns up later. Rows with an id below 0, which only move the watermark on, are left out."""
+
+    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        new = batch.where("id >= 0").select("id", F.col("marker_id").isNotNull().cast("long").alias("n_markers"))
+        both = new if old is None else new.unionByName(old.select("id", "n_markers"))
+        return both.groupBy("id").agg(F.sum("n_markers").alias("n_markers")).withColumn("gen_type", F.when(F.col("n_markers") > 0, "chat").otherwise("completion"))
+
+    return kept(spark, found, f"{at}/upgraded", merge)
 
 
 def models_carried(edits: DataFrame, width: int = 30 * MINUTE) -> DataFrame:
