@@ -3,73 +3,76 @@
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The shapes of redirects, deletions and here-documents in shell text.
-REDIRECT = re.compile(r"(?:^|[^0-9&])>>?\s*([^\s&|;<>'\"`]+)")
+# The shapes of redirects, deletions and here-documents in shell text, and what a backslash keeps.
+REDIRECT = re.compile("(?:[^0-9&]|^)>>?\\s*([^\\s&|;<>'\"`]+)")
 UNIX_DELETE = re.compile(r"(?:^|\s)(?:git\s+)?rm\s+([^&|;\n]+)")
-WINDOWS_DELETE = re.compile(r"(?:^|[\s&|;(])(?:del|erase|remove-item)\s+([^&|;\n]+)", re.I)
-HEREDOC = re.compile(r"<<-?\s*(['\"]?)([A-Za-z_]\w*)\1[^\n]*", re.A)
+WINDOWS_DELETE = re.compile(r"(?i)(?:^|[\s&|;(])(?:del|erase|remove-item)\s+([^&|;\n]+)")
+HEREDOC = re.compile(r"<<-?\s*['\"]?([A-Za-z_][A-Za-z0-9_]*)['\"]?")
 ABSOLUTE = re.compile(r"/|[A-Za-z]:[\\/]")
 ESCAPABLE = " \t\n\r'\"\\&|;$()`*?"
-WORD = re.compile(r"""(?:'[^']*'?|"(?:\\["\\]|[^"])*"?|\\.|[^\s'"\\]|\\)+""", re.S)
 
+_QUOTED = r"""'(?P<single>[^']*)'?|"(?P<double>(?:\\["\\]|[^"])*)"?|(?P<space>[ \t\n\r]+)"""
+PIECES = re.compile(rf"{_QUOTED}|\\(?P<kept>[{re.escape(ESCAPABLE)}])|(?P<plain>[^'\"\\ \t\n\r]+|\\)", re.S)
+PIECES_WITH_BACKSLASHES = re.compile(rf"{_QUOTED}|(?P<plain>[^'\" \t\n\r]+)", re.S)
 
-def without_heredocs(command: str) -> str:
-    """The command without the bodies of its here-documents."""
-    at = 0
-    while found := HEREDOC.search(command, at):
-        body = found.end()
-        close = re.compile(rf"^{re.escape(found[2])}\s*$", re.M).search(command, body)
-        start = re.sub(r"<<-?\s*(['\"]?)\w+\1", "", found[0], count=1)
-        command = f"{command[: found.start()]}{start} {command[close.end() :] if close else ''}"
-        at = found.start()
-    return command
+
+def visible(command: str) -> Iterator[str]:
+    """The lines of a command without its here-documents: their openers go, and so do the lines up to the closing word.
+
+    An opener on the last line ends the command.
+    """
+    lines = deque(command.split("\n"))
+    while lines:
+        line = lines.popleft()
+        names = HEREDOC.findall(line)
+        if names and not lines:
+            line = HEREDOC.split(line, 1)[0]
+        for name in names:
+            while lines and lines.popleft().rstrip() != name:
+                pass
+        yield HEREDOC.sub("", line)
 
 
 def words(text: str, escapes: bool = True) -> list[str]:
     """Shell words with quotes taken off; with ``escapes`` a backslash keeps the next special character."""
+    out, fresh = [], True
+    for m in (PIECES if escapes else PIECES_WITH_BACKSLASHES).finditer(text):
+        if m.lastgroup == "space":
+            fresh = True
+            continue
+        value = re.sub(r'\\(["\\])', r"\1", m["double"]) if m.lastgroup == "double" else m[m.lastgroup]
+        if fresh:
+            out.append(value)
+        else:
+            out[-1] += value
+        fresh = False
+    return out
+
 
-    def plain(token: str) -> str:
-        out, i, quote = [], 0, ""
-        while i < len(token):
-            c = token[i]
-            if quote:
-                if quote == '"' and c == "\\" and token[i + 1 : i + 2] in ('"', "\\"):
-                    i += 1
-                    out.append(token[i])
-                elif c == quote:
-                    quote = ""
-                else:
-                    out.append(c)
-            elif c in "'\"":
-                quote = c
-            elif escapes and c == "\\" and i + 1 < len(token) and token[i + 1] in ESCAPABLE:
-                i += 1
-                out.append(token[i])
-            else:
-                out.append(c)
-            i += 1
-        return "".join(out)
-
-    pattern = WORD if escapes else re.compile(r"""(?:'[^']*'?|"(?:\\["\\]|[^"])*"?|[^\s'"])+""", re.S)
-    return [plain(m[0]) for m in pattern.finditer(text)]
+def bare(target: str) -> str:
+    return target.strip().strip("'\"")
 
 
 def written(command: str) -> list[str]:
     """Relative targets of > and >>."""
-    found = (m[1].strip().strip("'\"") for m in REDIRECT.finditer(without_heredocs(command)))
-    return [t for t in found if t and not ABSOLUTE.match(t)]
+    targets = map(bare, REDIRECT.findall("\n".join(visible(command))))
+    return [t for t in targets if t and not ABSOLUTE.match(t)]
 
 
 def deleted(command: str) -> list[str]:
     """Arguments of rm, git rm, del, erase and Remove-Item, without flags."""
-    unix = [t.strip().strip("'\"") for m in UNIX_DELETE.finditer(command) for t in words(m[1])]
-    windows = [t.strip().strip("'\"") for m in WINDOWS_DELETE.finditer(command) for t in words(m[1], escapes=False)]
-    return [t for t in unix if t and t[0] != "-"] + [t for t in windows if t and t[0] not in "-/"]
+    out = []
+    for verb, escapes, flags in ((UNIX_DELETE, True, "-"), (WINDOWS_DELETE, False, "-/")):
+        targets = (bare(t) for arguments in verb.findall(command) for t in words(arguments, escapes))
+        out += [t for t in targets if t and t[0] not in flags]
+    return out
 
 
 def _column(rule, command: Column) -> Column:
