@@ -413,8 +413,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     # a node found in many lists has many smaller neighbours, mostly the same few for all of its group: hang these, not the node, on the smallest
     for _ in range(3):
-        e = e.withColumn("low", F.min("v").over(Window.partitionBy("u"))).select("low", F.explode(F.array("u", "v")).alias("u"))
-        e = e.where("u <> low").select("u", F.col("low").alias("v")).distinct()
+        e = e.withColumn("low", F.min("v").over(Window.partitionBy("u")))  # one edge of a node leads to the smallest and stays, the others hang their ends on it
+        e = e.select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v")).distinct()
     e = cut(e)
     before = sign(e)
     while before[0]:
