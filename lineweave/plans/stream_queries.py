@@ -161,7 +161,8 @@ def t07(t: Tables) -> DataFrame:
 @query("t08_session_usage_stream", f"select user_id, {TOOL} as tool, arg_max(value, ts) as used from events group by all")
 def t08(t: Tables) -> DataFrame:
     rows = events(t).select("user_id", "tool", "ts", c("value").alias("used"))
-    return streams.kept(t.spark, rows, streams.folder(t.spark, "usage"), streams.keep_latest(["user_id", "tool"], "ts")).drop("ts")
+    key = ["user_id", "tool"]
+    return streams.kept_by_key(t.spark, rows, streams.folder(t.spark, "usage"), key, streams.keep_latest(key, "ts")).drop("ts")
 
 
 @query("t09_streaming_dedup", f"select distinct user_id, {TOOL} as tool from events")

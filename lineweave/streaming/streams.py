@@ -88,7 +88,7 @@ def completed(spark: SparkSession, stream: DataFrame, at: str) -> DataFrame:
 def kept(spark: SparkSession, stream: DataFrame, at: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
     """A table that each batch is merged into: ``merge(table or None, batch)``.
 
-    Each batch writes the table anew as a version of its own, so files at once should be few against the table.
+    Each batch writes the table anew as a version of its own; kept_by_key() writes what the batch touches.
     """
 
     def act(df: DataFrame, batch: int) -> None:
@@ -99,6 +99,57 @@ def kept(spark: SparkSession, stream: DataFrame, at: str, merge: Callable[[DataF
     return spark.read.parquet(f"{at}/v{done[-1]}") if done else merge(None, spark.createDataFrame([], stream.schema))
 
 
+#: Buckets of a table that is merged by key: a batch of few keys should touch few of them, and one be a fair piece of a task.
+BUCKETS = 64
+
+
+def newest(spark: SparkSession, at: str, batch: int | None = None) -> dict[int, int]:
+    """Which version of each bucket holds its rows, before a batch or now: the manifest of the last version."""
+    done = [n for n in versions(spark, f"{at}/manifest") if batch is None or n < batch]
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{at}/manifest/v{done[-1]}").collect()} if done else {}  # a row for each bucket
+
+
+def of_buckets(spark: SparkSession, at: str, held: dict[int, int], schema: str) -> DataFrame:
+    """The rows of these buckets, each from its version."""
+    paths = [f"{at}/data/v{v}/bucket={b}" for b, v in sorted(held.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def kept_by_key(spark: SparkSession, stream: DataFrame, at: str, keys: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = BUCKETS) -> DataFrame:
+    """kept() for a merge that goes key by key: the table lies in buckets by the hash of its keys, and a batch reads and writes
+    those of its own keys only.
+
+    A bucket is a folder of the version that wrote it last; a manifest names the version of each, and is written when the data
+    is. A batch that runs again finds the manifest from before it and writes the same. Versions that neither the last nor
+    the manifest before it names are removed.
+    """
+    jvm = spark._jvm.org.apache.hadoop.fs
+
+    def act(df: DataFrame, batch: int) -> None:
+        session = df.sparkSession
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        new = df.persist()
+        touched = sorted(r["b"] for r in new.select(bucket.alias("b")).distinct().collect())  # at most ``buckets``
+        held = newest(session, at, batch)
+        old = {b: v for b, v in held.items() if b in set(touched)}
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merge(None, new).schema)
+        merged = merge(of_buckets(session, at, old, kinds) if old else None, new).withColumn("bucket", bucket)
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/data/v{batch}")
+        new.unpersist()
+        base = jvm.Path(f"{at}/data/v{batch}")
+        fs = base.getFileSystem(session._jsc.hadoopConfiguration())
+        full = [b for b in touched if fs.exists(jvm.Path(f"{at}/data/v{batch}/bucket={b}"))]  # a merge may empty one
+        now = {b: v for b, v in held.items() if b not in set(touched)} | dict.fromkeys(full, batch)
+        keep_version(session.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1), f"{at}/manifest", batch)
+        used = set(now.values()) | set(held.values()) | {batch}
+        for n in [n for n in versions(session, f"{at}/data") if n < batch and n not in used]:
+            fs.delete(jvm.Path(f"{at}/data/v{n}"), True)
+
+    each_batch(stream, act, f"{at}/checkpoint")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merge(None, spark.createDataFrame([], stream.schema)).schema)
+    return of_buckets(spark, at, newest(spark, at), schema)
+
+
 def keep_latest(keys: list[str], *order: str) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
     """A merge that keeps the last row of each key."""
     return lambda old, new: tables.keep_latest(new if old is None else old.unionByName(new), keys, *order)
@@ -128,7 +179,7 @@ def upgraded(spark: SparkSession, found: DataFrame, at: str) -> DataFrame:
         both = new if old is None else new.unionByName(old.select("id", "n_markers"))
         return both.groupBy("id").agg(F.sum("n_markers").alias("n_markers")).withColumn("gen_type", F.when(F.col("n_markers") > 0, "chat").otherwise("completion"))
 
-    return kept(spark, found, f"{at}/upgraded", merge)
+    return kept_by_key(spark, found, f"{at}/upgraded", ["id"], merge)
 
 
 def models_carried(edits: DataFrame, width: int = 30 * MINUTE) -> DataFrame:
@@ -186,14 +237,9 @@ def with_late(spark: SparkSession, events: DataFrame, at: str, keys: list[str],
     live = F.coalesce(F.col("arrived") <= F.col("ts") + F.expr(f"interval {bound}"), F.lit(True))
     schema = events.withColumn("live", live).schema
 
-    def act(df: DataFrame, batch: int) -> None:
-        df.withColumn("live", live).write.mode("overwrite").parquet(f"{at}/rows/batch={batch}")
-        old, new = before(df.sparkSession, f"{at}/state", batch), df.where(live).select(*columns)
-        keep_version(tables.keep_latest(new if old is None else old.unionByName(new), keys, "ts", "id"), f"{at}/state", batch)
-
-    each_batch(events, act, f"{at}/checkpoint")
-    done = versions(spark, f"{at}/state")
-    state = spark.read.parquet(f"{at}/state/v{done[-1]}") if done else spark.createDataFrame([], events.select(*columns).schema)
+    each_batch(events, lambda df, n: df.withColumn("live", live).write.mode("overwrite").parquet(f"{at}/rows/batch={n}"), f"{at}/checkpoint")
+    state = kept_by_key(spark, events.where(live).select(*columns), f"{at}/state", keys, keep_latest(keys, "ts", "id"))
+    done = versions(spark, f"{at}/state/manifest") or spark._jvm.org.apache.hadoop.fs.Path(f"{at}/rows").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/rows"))
     return spark.read.schema(schema).parquet(f"{at}/rows") if done else spark.createDataFrame([], schema), state
 
 

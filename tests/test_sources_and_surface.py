@@ -114,3 +114,33 @@ def test_a_stored_completion_becomes_a_chat_by_a_late_marker(spark, tmp_path):
 
     assert run([(1, "a", 1000), (2, "a", 5000), (100, "a", 1030), (-1, "", 1100)]) == {1: (1, "chat")}
     assert run([(101, "a", 1031), (102, "b", 5001), (-1, "", 900_000)]) == {1: (2, "chat"), 2: (0, "completion")}
+
+
+def test_a_merged_table_writes_the_buckets_of_its_batch(spark, tmp_path):
+    """Bytes written follow the batch; a batch that runs again gives the same table; an emptied bucket goes."""
+    at = str(tmp_path)
+    schema = "k long, ts long, v string"
+    latest = streams.keep_latest(["k"], "ts")
+    merge = lambda old, new: latest(old, new).where("v is not null")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        got = streams.kept_by_key(spark, streams.source(spark, f"{at}/in", 1), f"{at}/t", ["k"], merge, buckets=16)
+        return sorted((r["k"], r["v"]) for r in got.collect())
+
+    first = [(k, 1, "a" * 50) for k in range(400)]
+    assert run(first) == [(k, "a" * 50) for k in range(400)]
+    assert run([(7, 2, "b"), (7, 0, "late")]) == sorted([(k, "a" * 50) for k in range(400) if k != 7] + [(7, "b")])
+    files = lambda v: [x for x in (tmp_path / "t" / "data" / f"v{v}").iterdir() if x.name.startswith("bucket=")]
+    assert len(files(0)) == 16 and len(files(1)) == 1
+    manifest = streams.newest(spark, f"{at}/t")
+    assert sorted(manifest.values()) == [0] * 15 + [1] and streams.newest(spark, f"{at}/t", 1) == dict.fromkeys(range(16), 0)
+    # a batch that wrote its data and failed before its manifest runs again from the one before
+    import shutil
+
+    shutil.rmtree(tmp_path / "t" / "manifest" / "v1")
+    (tmp_path / "t" / "checkpoint" / "commits" / "1").unlink()
+    (tmp_path / "t" / "checkpoint" / "commits" / ".1.crc").unlink(missing_ok=True)
+    assert run([(8, 2, "c")]) == sorted([(k, "a" * 50) for k in range(400) if k not in (7, 8)] + [(7, "b"), (8, "c")])
+    assert run([(k, 3, None) for k in range(400)]) == []
+    assert run([(1, 4, "again")]) == [(1, "again")]
