@@ -27,6 +27,8 @@ MOST_PER_LANG = 1000
 FEATURES = 1 << 15
 LEXICON_LEAST = 3
 EPOCHS = 30
+#: Chains to learn from are lines, longer ones in pieces of so many words: a pass takes as many steps as the longest chain has words.
+PIECE_WORDS = 48
 #: Words that a worker remembers; then it starts anew. Words scored at once.
 KNOWN_WORDS, AT_ONCE = 200_000, 400_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -134,7 +136,7 @@ class Model:
 def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, decay: float = 1e-4) -> Model:
     """A model of these texts, every word of which counts as of its text's language; maximum likelihood by Adam."""
     names = sorted(set(langs))
-    lines = [(line, names.index(y)) for text, y in zip(texts, langs, strict=True) for line in lines_of(text)]
+    lines = [(line[k : k + PIECE_WORDS], names.index(y)) for text, y in zip(texts, langs, strict=True) for line in lines_of(text) for k in range(0, len(line), PIECE_WORDS)]
     if not lines:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros((0, 0)), np.zeros(0, np.uint64))
     counts = Counter(w for line, _ in lines for w in line)
