@@ -30,7 +30,7 @@ EPOCHS = 30
 #: Chains to learn from are lines, longer ones in pieces of so many words: a pass takes as many steps as the longest chain has words.
 PIECE_WORDS = 48
 #: Words that a worker remembers; then it starts anew. Words scored at once.
-KNOWN_WORDS, AT_ONCE = 200_000, 400_000
+KNOWN_WORDS, AT_ONCE = 200_000, 100_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -42,6 +42,8 @@ WIDE_STEPS = ((1, 3), (4, 9), (6, 13))  # no two positions are together in two t
 POSTS_A_TASK = 1 << 23
 #: Texts are near copies if their distinct shingles have this Jaccard similarity.
 ALIKE = 0.8
+#: Shingles of texts that go on together.
+HASHES_AT_ONCE = 1 << 18
 #: A key with more than this part of all rows, and 1024 rows at least, is spread over several groups of a join.
 HOT_PART = 1 / 4096
 #: keep_one() broadcasts the keys to drop up to this many (16 bytes each), beyond that it joins by a shuffle.
@@ -282,8 +284,9 @@ def _wide_keys(column: Column) -> Column:
 
     @F.arrow_udf("array<long>")
     def keys_of(column: pa.Array) -> pa.Array:
-        data = _bytes_of(column).astype(np.int64)[:, triples]
-        keys = (np.arange(len(triples)) << 24) | (data[:, :, 0] << 16) | (data[:, :, 1] << 8) | data[:, :, 2]
+        data, keys = _bytes_of(column), np.arange(len(triples))[None, :]
+        for place in range(3):
+            keys = keys << 8 | data[:, triples[:, place]]
         return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * len(triples)), pa.array(keys.ravel()))
 
     return keys_of(column)
@@ -383,13 +386,25 @@ def verified_components(fps: DataFrame, texts: DataFrame, shingle_words: int, le
     """
     candidates, listed = wide_links(fps, block_rows)
 
-    @F.arrow_udf("array<long>")
-    def hashes(column: pa.Array) -> pa.Array:
-        return pa.array([shingle_hashes(x.as_py(), shingle_words).view(np.int64) for x in column], pa.list_(pa.int64()))
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets_of(fps: list[bytes], own: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+        for batch in batches:
+            fps, own, size = [], [], 0
+            for fp, text in zip(batch.column("fp"), batch.column("text"), strict=True):
+                fps.append(fp.as_py())
+                own.append(shingle_hashes(text.as_py(), shingle_words).view(np.int64))
+                size += len(own[-1])
+                if size >= HASHES_AT_ONCE:
+                    yield sets_of(fps, own)
+                    fps, own, size = [], [], 0
+            if fps:
+                yield sets_of(fps, own)
 
     candidates = cut(candidates)
     ends = candidates.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = cut(texts.join(ends, "fp").select("fp", hashes("text").alias("shingles")))
+    sets = cut(texts.join(ends, "fp").select("fp", "text").mapInArrow(hashes, "fp binary, shingles array<long>"))
     good = cut(alike_pairs(candidates, sets, least))
     roots = components(good)
     hidden = _links_between(listed, roots, block_rows).join(candidates, ["a", "b"], "left_anti")
