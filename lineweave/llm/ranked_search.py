@@ -30,8 +30,8 @@ K = 10
 BLOCK_POSTINGS, BLOCK_DOCS = 1 << 19, 1 << 14
 #: Intervals that are split at once, so that their lists are looked up together.
 AT_ONCE = 64
-#: Items are searched in groups of at most so many distinct terms (unless one item alone has more); a group's terms go to all tasks.
-GROUP_TERMS = 200_000
+#: Items are searched in groups of at most so many distinct terms (unless one item alone has more) and so many items, which go to all tasks.
+GROUP_TERMS, GROUP_ITEMS = 200_000, 20_000
 LAST_ID = np.iinfo(np.int64).max
 
 #: ASCII letters in lower case, digits and bytes of other letters as they are, every other byte a space.
@@ -57,7 +57,7 @@ def groups_of(benchmark: DataFrame, group_terms: int) -> Iterator[list[tuple[int
     group, terms = [], set()
     for r in pick(benchmark, "item_id", "text").select("item_id", distinct("text").alias("terms")).toLocalIterator():
         own = [bytes(t) for t in r["terms"]]
-        if group and len(terms | set(own)) > group_terms:
+        if group and (len(group) == GROUP_ITEMS or len(terms) + len(set(own) - terms) > group_terms):
             yield group
             group, terms = [], set()
         group.append((r["item_id"], own))
