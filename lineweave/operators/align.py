@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineweave.session import dealt
+
 #: Log readers compare raw lines by counts instead, where old lines times new lines exceed this. Fixed value.
 MOST_CELLS = 9_000_000
 AUTHOR = ("author_type", "tool", "model", "gen_type", "session")
@@ -187,7 +189,7 @@ def fold(edits: DataFrame, keys: list[str], seed: DataFrame | None = None) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     names = [*keys, *[c.split()[0] for c in FOLD.split(", ")]]
-    return rows.repartition(*keys).sortWithinPartitions(*order).select(*keys, "_side", "content", "baseline", "_authors", *AUTHOR).mapInArrow(run, schema)
+    return dealt(rows, *keys).sortWithinPartitions(*order).select(*keys, "_side", "content", "baseline", "_authors", *AUTHOR).mapInArrow(run, schema)
 
 
 def aligned(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -217,3 +217,23 @@ def test_file_events_in_order_over_restarts(spark, tmp_path):
     assert rows(got.withColumn("id", F.greatest("id", F.lit(-1)))) == sorted(map(tuple, table), key=str)
     none = lifecycle.applied(None, spark.createDataFrame([], edit), spark.createDataFrame([], event))
     assert rows(none) == []
+
+
+def test_fold_of_sides_that_lie_by_key_already(spark):
+    """Adaptive execution merges the partitions of each side of the union in its own way; a file's rows stay together."""
+    from lineweave.operators import align
+
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    who = F.array(F.struct(F.lit("AI").alias("author_type"), *[F.lit("t").alias(x) for x in ("tool", "model", "gen_type", "session")]))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        ids = spark.range(400).select((F.col("id") * 7 % 400).alias("id"))
+        files = ids.withColumn("text", F.expr("array_join(transform(sequence(1, 20), i -> sha2(concat(id, '-', i), 512)), '')")).groupBy("id").agg(F.max("text").alias("content"))
+        edits = files.select(F.col("id").alias("k"), F.lit(1).alias("ts"), F.lit(1).alias("id"), "content", F.col("content").alias("baseline"), F.lit("Human").alias("author_type"), *[F.lit("").alias(x) for x in ("tool", "model", "gen_type", "session")])
+        seed = ids.groupBy(F.col("id").alias("k")).agg(F.max(who).alias("authors"))
+        assert {r[0]: r[1] for r in align.fold(edits, ["k"], seed).groupBy("author_type").count().collect()} == {"AI": 400}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
