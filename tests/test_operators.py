@@ -237,3 +237,25 @@ def test_fold_of_sides_that_lie_by_key_already(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hashes_as_bytes_keep_apart(spark):
+    given = ["", "a", "=" * 33, "0" * 64, "A" * 64, "a" * 64, "x" * 32, "z" * 64, None]
+    df = spark.createDataFrame([(x,) for x in given], "x string").withColumn("d", text.digest(F.col("x")))
+    got = df.select("x", "d", text.undigest(F.col("d")).alias("y")).collect()
+    assert all(r["x"] == r["y"] for r in got) and len({r["d"] if r["d"] is None else bytes(r["d"]) for r in got}) == len(given)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_matching_shuffles_once(spark):
+    from lineweave.operators import match
+
+    lines = spark.createDataFrame([("c", 1, "a", "n"), ("c", 2, "b", "n"), ("c", 3, "", "n"), ("c", 4, "a", "")], "sha string, line_no int, content_sha string, content_sha_norm string")
+    units = spark.createDataFrame([("c", 7, 1, "b", "n"), ("c", 8, 2, "", "n")], "sha string, edit_id int, rank int, content_sha string, content_sha_norm string")
+    separate = match.consume_once(lines, units, ["sha"], "separate")
+    assert rows(separate.select("line_no", "edit_id")) == [(1, 7), (2, 7), (3, 8)]
+    assert exchanges(separate) == 1
+    assert exchanges(match.exact(lines, units, ["sha", "content_sha"])) == 1
