@@ -259,3 +259,39 @@ def test_matching_shuffles_once(spark):
     assert rows(separate.select("line_no", "edit_id")) == [(1, 7), (2, 7), (3, 8)]
     assert exchanges(separate) == 1
     assert exchanges(match.exact(lines, units, ["sha", "content_sha"])) == 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_type_keeps_a_running_maximum(spark):
+    m = joins.MINUTE
+    made = [(1, "cursor", 0, "cli", "low"), (2, "cursor", m, "unknown", "low"), (3, "cursor", 2 * m, "completion", "high"), (4, "cursor", 9 * m, "chat", "low"), (5, "cursor", 10 * m, "cli", "low"), (6, "cursor", 11 * m + 1, "unknown", "low"), (7, "codex", 9 * m, "cli", "low"), (8, "cursor", 30 * m, "unknown", "low")]
+    got = joins.nearest_gen_type(spark.createDataFrame(made, "id int, tool string, ts_ns long, gen_type string, confidence string"))
+    assert rows(got.select("id", "near_gen")) == [(1, "cli"), (2, "completion"), (3, "completion"), (4, "chat"), (5, "chat"), (6, "unknown"), (7, "cli"), (8, "unknown")]
+    assert "RangeFrame, -" not in plan(got) and "RangeFrame, unboundedpreceding" in plan(got)
+
+
+def test_files_and_texts_come_one_by_one(spark):
+    from lineweave.operators import align
+
+    made = [("a", n, x, w) for n, (x, w) in enumerate([("p", "Human"), ("q", "AI"), ("r", "AI"), ("p", "AI"), ("q", "AI"), ("r", "AI")])] + [("b", 1, "p", "Human")]
+    judged = windows.blocks_of_copies(spark.createDataFrame(made, "k string, line_no int, content string, author_type string"), ["k"])
+    assert rows(judged.select("k", "line_no", "author_type")) == [("a", n, "AI") for n in range(3)] + [("a", n, "Human") for n in range(3, 6)] + [("b", 1, "Human")]
+    pairs = spark.createDataFrame([(1, "a\nb", "b\nc"), (2, None, "x"), (3, "x", "")], "k int, old_text string, new_text string")
+    told = align.aligned(pairs, ["k"])
+    assert rows(told) == [(1, 0, 1, False), (1, 1, None, False), (2, 0, None, False)]
+    assert "Pandas" not in plan(judged) and "Pandas" not in plan(told)
+
+
+def test_hashes_of_an_edit_move_once_and_short(spark):
+    from lineweave.operators import aggregate
+
+    lines = spark.createDataFrame([(1, 1, "a" * 64, "n"), (1, 2, "a" * 64, ""), (1, 3, None, "n")], "edit_id int, ord int, content_sha string, content_sha_norm string")
+    counts = aggregate.hash_counts(lines)
+    assert rows(counts) == [(1, "exact", "a" * 64, 2), (1, "norm", "n", 2)]
+    assert plan(counts).index("Generate") < plan(counts).index("Exchange")
+    left, _ = diff.net_unchanged(lines, lines.where("ord = 1"))
+    assert rows(left.select("ord", "content_sha")) == [(2, "a" * 64), (3, None)]
+    assert "unhex" in plan(left)
