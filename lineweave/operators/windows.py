@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions.text import is_blank
+from lineweave.session import dealt
 
 
 def same(columns: list[str], window) -> Column:
@@ -105,30 +108,50 @@ def ranked(rows: DataFrame, keys: list[str], value: str, *ties: str, name: str =
 def blocks_of_copies(lines: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """The rule for repeated blocks: where a run of ``least`` lines repeats an earlier one that holds a person's line, the
     earlier becomes AI and the later a person's. lines: keys, line_no, content, author_type. The rule walks a file in
-    order, so a file is one group."""
-    import pandas as pd
-
-    schema = ", ".join(f"{c} {t}" for c, t in lines.select(*keys, "line_no", "content", "author_type").dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no", kind="stable").reset_index(drop=True)
-        text, who = pdf["content"].tolist(), pdf["author_type"].tolist()
-        seen: dict[tuple, int] = {}
-        at = 0
-        while at + least <= len(text):
-            window = tuple(text[at : at + least])
-            first = seen.get(window)
-            if first is None or first + least > at:
-                seen.setdefault(window, at)
-                at += 1
-                continue
-            n = least
-            while at + n < len(text) and first + n < at and text[first + n] == text[at + n]:
-                n += 1
-            if "Human" in who[first : first + n] and "AI" in who[first : first + n] + who[at : at + n]:
-                who[first : first + n] = ["AI"] * n
-                who[at : at + n] = ["Human"] * n
-            at += n
-        return pdf.assign(author_type=who)[[*keys, "line_no", "content", "author_type"]]
-
-    return lines.select(*keys, "line_no", "content", "author_type").groupBy(*keys).applyInPandas(run, schema)
+    order, so a file is one group; files come one after the other from a sort, and one is held."""
+    names = [*keys, "line_no", "content", "author_type"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in lines.select(*names).dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, key, file, out = [], None, [], []
+        for batch in batches:
+            types = types or [batch.schema.field(c).type for c in names]
+            for row in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                if (own := row[: len(keys)]) != key:
+                    out += _judged(file, least)
+                    key, file = own, []
+                    if len(out) >= JUDGED_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                        out = []
+                file.append(row)
+        out += _judged(file, least)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return dealt(lines.select(*names), *keys).sortWithinPartitions(*keys, "line_no").mapInArrow(run, schema)
+
+
+#: Rows of a result go on in batches of so many.
+JUDGED_ROWS = 20_000
+
+
+def _judged(rows: list[tuple], least: int) -> list[tuple]:
+    """The lines of one file, in order, with the authors that blocks_of_copies() gives them. Rows end with content and author."""
+    text, who = [r[-2] for r in rows], [r[-1] for r in rows]
+    seen: dict[tuple, int] = {}
+    at = 0
+    while at + least <= len(text):
+        window = tuple(text[at : at + least])
+        first = seen.get(window)
+        if first is None or first + least > at:
+            seen.setdefault(window, at)
+            at += 1
+            continue
+        n = least
+        while at + n < len(text) and first + n < at and text[first + n] == text[at + n]:
+            n += 1
+        if "Human" in who[first : first + n] and "AI" in who[first : first + n] + who[at : at + n]:
+            who[first : first + n] = ["AI"] * n
+            who[at : at + n] = ["Human"] * n
+        at += n
+    return [(*r[:-1], a) for r, a in zip(rows, who, strict=True)]
