@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions.rules import GEN_TYPES, author_type, confidence_rank
-from lineweave.functions.text import share
+from lineweave.functions.text import digest, share, undigest
 from lineweave.operators.joins import SECOND, bucket_of
 
 HOUR = 3600 * SECOND
@@ -151,8 +151,11 @@ def cumulative_usage(rows: DataFrame, keys: list[str], order: str, values: list[
 
 def hash_counts(lines: DataFrame, edit: str = "edit_id") -> DataFrame:
     """Units by edit and hash, exact and normalised: edit, kind, hash, n."""
-    rows = lines.select(edit, F.explode(F.array(F.struct(F.lit("exact").alias("kind"), F.col("content_sha").alias("hash")), F.struct(F.lit("norm").alias("kind"), F.col("content_sha_norm").alias("hash")))).alias("h"))
-    return rows.select(edit, "h.*").where(F.coalesce(F.col("hash"), F.lit("")) != "").groupBy(edit, "kind", "hash").agg(F.count("*").alias("n"))
+    # a line goes to its edit's task once, with both hashes as bytes, and becomes two rows there
+    rows = lines.select(edit, digest(F.col("content_sha")).alias("exact"), digest(F.col("content_sha_norm")).alias("norm")).repartition(edit)
+    both = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("hash")) for kind in ("exact", "norm")]))
+    counts = rows.select(edit, both.alias("h")).select(edit, "h.*").where(F.coalesce(F.octet_length("hash"), F.lit(0)) > 0).groupBy(edit, "kind", "hash").agg(F.count("*").alias("n"))
+    return counts.withColumn("hash", undigest(F.col("hash")))
 
 
 def dominant_gen_type(lines: DataFrame) -> DataFrame:
