@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineweave.functions.text import is_blank, line_sha, line_sha_norm, similar, split_lines, strip_space
+from lineweave.functions.text import digest, is_blank, line_sha, line_sha_norm, similar, split_lines, strip_space, undigest
 
 
 def explode_lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -44,7 +44,8 @@ def net_unchanged(lines: DataFrame, removed: DataFrame, edit: str = "edit_id", s
 
     def rest(a: DataFrame, b: DataFrame) -> DataFrame:
         hashed = F.coalesce(F.col(sha), F.lit("")) != ""
-        return beyond(a.where(hashed), b.where(hashed), [edit], sha, order).unionByName(a.where(~hashed))
+        short = lambda df: df.where(hashed).withColumn(sha, digest(F.col(sha)))
+        return beyond(short(a), short(b), [edit], sha, order).withColumn(sha, undigest(F.col(sha))).select(*a.columns).unionByName(a.where(~hashed))
 
     return rest(lines, removed), rest(removed, lines)
 
