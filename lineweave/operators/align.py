@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,14 +206,22 @@ def _by_new_line(pairs: DataFrame, keys: list[str], columns: str, of) -> DataFra
     """keys, new_pos and what ``of(old_text, new_text)`` says of each new line."""
     schema = ", ".join(f"{k} {t}" for k, t in pairs.select(*keys).dtypes) + f", new_pos int, {columns}"
     names = [*keys, "new_pos", *[c.split()[0] for c in columns.split(", ")]]
+    kinds = [pa.int32(), *[pa.int32() if c.endswith(" int") else pa.bool_() for c in columns.split(", ")]]
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(*(r[k] for k in keys), j, *x) for r in pdf.to_dict("records") for j, x in enumerate(of(r["old_text"], r["new_text"]))]
-            out = pd.DataFrame(rows, columns=names).astype({"new_pos": "int32"})
-            yield out.astype({"old_pos": "Int32"}) if "old_pos" in names else out
-
-    return pairs.select(*keys, "old_text", "new_text").mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types, out = [*[batch.schema.field(k).type for k in keys], *kinds], []
+            columns_ = [batch.column(c) for c in (*keys, "old_text", "new_text")]
+            for i in range(len(batch)):  # a text at a time, and its lines go on before there are many
+                *key, old, new = (c[i].as_py() for c in columns_)
+                out += ((*key, j, *x) for j, x in enumerate(of(old, new)))
+                if out and (len(out) >= FOLDED_ROWS or i == len(batch) - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return pairs.select(*keys, "old_text", "new_text").mapInArrow(run, schema)
 
 
 def added_or_moved(pairs: DataFrame, keys: list[str], most_cells: int = MOST_CELLS) -> DataFrame:
