@@ -20,7 +20,7 @@ on the shingles themselves before components are formed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -197,7 +197,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS
     hot = cut(posts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("key", F.ceil(F.col("n") / block_rows).alias("blocks")))
     dealt = in_blocks(posts, hot, hot.count(), block_rows)
 
-    def find(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(keys: np.ndarray, _: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = links_in_lists(keys, fps.view(np.uint64), max_bits)
         return a.view(np.int64), b.view(np.int64)
 
@@ -205,29 +205,30 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS
 
 
 def _found(dealt: DataFrame, find, kind: str, read) -> DataFrame:
-    """a, b (of type ``kind``): find(keys, fingerprints) over the groups (key, i, j), which may span batches."""
+    """a, b (of type ``kind``): find(groups, keys, fingerprints) over the groups (key, i, j), which may span batches."""
 
     types = {"long": pa.int64(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k, rest_f = None, None
+        rest = None
 
-        def out(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, types[kind]) for x in find(k, f)], ["a", "b"])
+        def out(k: np.ndarray, own: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, types[kind]) for x in find(k, own, f)], ["a", "b"])
 
         for batch in batches:
             keys, i, j = (batch.column(x).to_numpy() for x in (0, 2, 3))
             mixed, f = (keys * 1_000_003 + i) * 1_000_003 + j, read(batch.column(1))  # rows are in order of key, i, j; equal runs stay runs
-            k, f = (mixed, f) if rest_k is None else (np.concatenate([rest_k, mixed]), np.concatenate([rest_f, f]))
+            held = (mixed, keys, f) if rest is None else tuple(np.concatenate(x) for x in zip(rest, (mixed, keys, f), strict=True))
+            k = held[0]
             if not len(k):
                 continue
             last = np.flatnonzero(k != k[-1])
             end = last[-1] + 1 if len(last) else 0
             if end:
-                yield out(k[:end], f[:end])
-            rest_k, rest_f = k[end:], f[end:]
-        if rest_k is not None and len(rest_k):
-            yield out(rest_k, rest_f)
+                yield out(*(x[:end] for x in held))
+            rest = tuple(x[end:] for x in held)
+        if rest is not None and len(rest[0]):
+            yield out(*rest)
 
     grouped = dealt.select("key", "fp", "i", "j").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
     pairs = grouped.mapInArrow(run, f"a {kind}, b {kind}")
@@ -245,6 +246,7 @@ def wide_fingerprint(text: str | None, shingle_words: int) -> bytes:
     return np.packbits((2 * ones_by_bit(h ^ (h >> np.uint64(31))) > len(base)).astype(np.uint8), bitorder="little").tobytes()
 
 
+@cache
 def wide_triples() -> np.ndarray:
     n = 8 * WIDE_WORDS
     return np.array([[(i + step) % n for step in (0, *steps)] for steps in WIDE_STEPS for i in range(n)])
@@ -264,6 +266,16 @@ def _close_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return kept
 
 
+def first_here(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+    """Whether the list of ``key`` is the first of those that both rows of a pair of wide fingerprints stand in.
+
+    Of a link that several lists show one tells. Closure holds: a forest that leaves a link to an earlier list leaves it to one
+    where both ends stand, whose own forest joins them.
+    """
+    same, earlier = a == b, wide_triples()[: key >> 24]
+    return ~(same[:, earlier[:, 0]] & same[:, earlier[:, 1]] & same[:, earlier[:, 2]]).any(axis=1)
+
+
 def wide_forest(fps: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among these wide fingerprints, breadth first, as row numbers."""
     left, edges = np.arange(len(fps)), []
@@ -323,17 +335,20 @@ def wide_links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame,
     hot = more.where("blocks > 1")
     dealt = in_blocks(listed, hot, hot.count(), block_rows)
 
-    def find(keys: np.ndarray, fps: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    def find(groups: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         edges = set()
-        for s, e in _each_list(keys):
-            edges.update((fps[s + i].tobytes(), fps[s + j].tobytes()) for i, j in wide_forest(fps[s:e]))
+        for s, e in _each_list(groups):
+            if found := wide_forest(fps[s:e]):
+                i, j = s + np.array(found).T
+                told = first_here(fps[i], fps[j], int(keys[s]))
+                edges.update((fps[x].tobytes(), fps[y].tobytes()) for x, y in zip(i[told], j[told], strict=True))
         return [a for a, _ in edges], [b for _, b in edges]
 
     return two.unionByName(_found(dealt, find, "binary", _bytes_of)).distinct(), listed
 
 
 def _links_between(listed: DataFrame, roots: DataFrame, block_rows: int) -> DataFrame:
-    """a, b: all pairs that a list shows to be close and whose roots differ; listed: key, fp, roots: node, root.
+    """a, b: all pairs that a list shows to be close and whose roots differ, once each; listed: key, fp, roots: node, root.
 
     Only lists that still hold two roots are read, so a large group of copies, which has one by now, costs nothing.
     """
@@ -346,13 +361,14 @@ def _links_between(listed: DataFrame, roots: DataFrame, block_rows: int) -> Data
     def both(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * width)
 
-    def find(keys: np.ndarray, rows: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    def find(groups: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         edges = set()
-        for s, e in _each_list(keys):
+        for s, e in _each_list(groups):
             fps, own = np.ascontiguousarray(rows[s:e, :width]), np.unique(np.ascontiguousarray(rows[s:e, width:]).view(f"V{width}").ravel(), return_inverse=True)[1]
             for i in range(len(fps) - 1):
                 other = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
                 near = other[_close_bytes(fps[i][None, :], fps[other])] if len(other) else other
+                near = near[first_here(fps[i][None, :], fps[near], int(keys[s]))] if len(near) else near
                 edges.update((fps[i].tobytes(), fps[j].tobytes()) for j in near)
         return [a for a, _ in edges], [b for _, b in edges]
 

@@ -593,3 +593,39 @@ def test_a_query_with_an_unusable_twin_is_answered(spark):
 def test_cells_take_a_byte(spark):
     df = spark.createDataFrame([(k, [k / 50 - 1.0] * 4) for k in range(100)], "vec_id long, embedding array<double>")
     assert {(r["cell_bytes"], r["vector_bytes"]) for r in top_k.blocks(df, 64, 64).collect()} <= {(1, 1), (1, 2)}
+
+
+def test_a_wide_link_is_told_by_one_list(spark, monkeypatch):
+    """A group of near copies stands together in many lists; each link leaves them once, and the closure is that of all links."""
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 256, 64, dtype=np.uint8)
+    group = []
+    for _ in range(40):
+        bits = np.unpackbits(base)
+        bits[rnd.choice(512, 25, replace=False)] ^= 1
+        group.append(np.packbits(bits))
+    fps = np.stack([*group, *rnd.integers(0, 256, (20, 64), dtype=np.uint8)])
+    given, found = spark.sparkContext.accumulator(0), simhash._found
+
+    def counted(dealt, find, kind, read):
+        def seen(*args):
+            a, b = find(*args)
+            given.add(len(a))
+            return a, b
+
+        return found(dealt, seen, kind, read)
+
+    monkeypatch.setattr(simhash, "_found", counted)
+    frame = spark.createDataFrame([(bytes(x),) for x in fps], "fp binary").repartition(4)
+    links = [(bytes(r["a"]), bytes(r["b"])) for r in simhash.wide_links(frame)[0].collect()]
+    assert len(links) == len(set(links)) and 0 < given.value <= len(links)
+    root = {bytes(x): bytes(x) for x in fps}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[top(a)] = top(b)
+    assert len({top(bytes(x)) for x in group}) == 1 and len({top(bytes(x)) for x in fps}) == 21
