@@ -295,3 +295,20 @@ def test_hashes_of_an_edit_move_once_and_short(spark):
     left, _ = diff.net_unchanged(lines, lines.where("ord = 1"))
     assert rows(left.select("ord", "content_sha")) == [(2, "a" * 64), (3, None)]
     assert "unhex" in plan(left)
+
+
+def test_write_windows_are_counted_before_they_are_joined(spark):
+    """Spans over slot borders and ties at both ends; a command with too many files makes no rows at all."""
+    second = 1_000_000_000
+    points = [("r" if k % 3 else "s", 7 * k * second) for k in range(400)]
+    spans = [(k, "r" if k % 2 else "s", (11 * k - k % 13 * 7) * second, 11 * k * second) for k in range(250)] + [(1, "s", 0, 91 * second)]
+    got = joins.counted_within(spark.createDataFrame(spans, "c long, repo string, lo long, hi long"), spark.createDataFrame(points, "repo string, at long"), ["repo"], "c", 100 * second)
+    want = {}
+    for c, repo, lo, hi in spans:
+        want[c] = want.get(c, 0) + sum(r == repo and lo <= at <= hi for r, at in points)
+    assert {r["c"]: r["n"] for r in got.collect()} == want and max(want.values()) > 3
+    commands = spark.createDataFrame([(1, "r", 0, 0), (2, "r", 0, 1000 * second)], "command_id long, repo_path string, start_ns long, end_ns long")
+    files = spark.createDataFrame([("r", f"f{k}", -k % 15 * second) for k in range(31)] + [("r", "g", 1000 * second)], "repo_path string, file_path string, mtime_ns long")
+    late = files.where("mtime_ns <= 0").unionByName(files.selectExpr("repo_path", "file_path", "-mtime_ns as mtime_ns"))
+    assert [(r["command_id"], r["file_path"]) for r in joins.write_window(commands, late.where("mtime_ns <= 0 or file_path = 'g'")).collect()] == []
+    assert [(r["command_id"], r["file_path"]) for r in joins.write_window(commands, files.where("mtime_ns > 500000000000")).collect()] == [(2, "g")]
