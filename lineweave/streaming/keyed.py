@@ -77,37 +77,37 @@ class _Sessions(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [tuple(x) for pdf in rows for x in pdf[["ts_ns", "kind", "id", "file_path", "sha", "files"]].itertuples(index=False, name=None)]
+        # Of equal times a commit comes first: what is written at that moment is on top of it.
+        held.sort(key=lambda x: (x[0], x[1] != "commit", x[2]))
         base, since, edits = self.session.get() if self.session.exists() else ("", None, 0)
-        touched: dict[str, int] = {}  # of this batch, not in the state yet
+        # The open files are read from the store once and what changed of them is written once, however many commits there are.
+        stored = {file: n for (file,), (n,) in self.files.iterator()}
+        now, touched = dict(stored), set()
         out: list[tuple] = []
-
-        def put_away() -> None:
-            for file, n in touched.items():
-                known = self.files.getValue((file,)) if self.files.containsKey((file,)) else None
-                self.files.updateValue((file,), (n + (known[0] if known else 0),))
-            touched.clear()
-
-        # Of equal times a commit comes first: what is written at that moment is on top of it.
-        for ts, kind, id_, file, sha, files in sorted(held, key=lambda x: (x[0], x[1] != "commit", x[2])):
+        names, kinds = [x.split()[0] for x in STEP.split(", ")], {"id": "Int64", "ts_ns": "Int64", "edits": "Int64", "committed": "boolean"}
+        for ts, kind, id_, file, sha, files in held:
             if kind == "commit":
-                put_away()
                 taken = set(files if files is not None else ())
-                for (open_file,), _ in list(self.files.iterator()):
-                    out.append((*key, "step", id_, ts, open_file, base, sha, open_file in taken, None))
-                    if open_file in taken:
-                        self.files.removeKey((open_file,))
+                out += [(*key, "step", id_, ts, x, base, sha, x in taken, None) for x in now]
+                for x in taken:
+                    now.pop(x, None)
                 out.append((*key, "session", id_, since, None, base, sha, None, edits))
                 base, since, edits = sha, ts, 0
             else:
-                touched[file] = touched.get(file, 0) + 1
+                now[file] = now.get(file, 0) + 1
+                touched.add(file)
                 edits += 1
                 since = ts if since is None else since
                 out.append((*key, "edit", id_, ts, file, base, None, None, None))
-        put_away()
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=names).astype(kinds)
+                out = []
+        for file in stored.keys() - now.keys():
+            self.files.removeKey((file,))
+        for file in touched & now.keys():
+            self.files.updateValue((file,), (now[file],))
         self.session.update((base, since, edits))
-        kinds = {"id": "Int64", "ts_ns": "Int64", "edits": "Int64", "committed": "boolean"}
-        for at in range(0, len(out), 10_000):
-            yield pd.DataFrame(out[at : at + 10_000], columns=[x.split()[0] for x in STEP.split(", ")]).astype(kinds)
+        yield pd.DataFrame(out, columns=names).astype(kinds)
 
     def close(self) -> None:
         pass
