@@ -125,7 +125,8 @@ def s20(t: Tables) -> DataFrame:
     """Blame output with a commit's details on its first line only."""
     from pyspark.sql import Window
 
-    b = t.blame_v.withColumns({"id": F.substring(F.sha2("sha", 256), 1, 40), "first": F.row_number().over(Window.partitionBy("path", "sha").orderBy("final_line")) == 1, "n": F.row_number().over(Window.partitionBy("path").orderBy("sha", "final_line"))})
+    b = t.blame_v.withColumns({"id": F.substring(F.sha2("sha", 256), 1, 40), "first": F.row_number().over(Window.partitionBy("path", "sha").orderBy("final_line")) == 1})
+    b = b.repartitionByRange("path", "sha", "final_line").sortWithinPartitions("path", "sha", "final_line").withColumn("n", F.monotonically_increasing_id())
     head = F.concat_ws(" ", "id", "origin_line", "final_line")
     rows = F.when(c("first"), F.array(head, F.concat(F.lit("author A "), "sha"), F.lit("author-time 1700000000"), F.lit("\tx"))).otherwise(F.array(head, F.lit("\tx")))
     lines = b.select("path", "n", F.posexplode(rows).alias("k", "line")).select("path", (c("n") * 10 + c("k")).alias("pos"), "line")

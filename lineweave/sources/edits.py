@@ -9,6 +9,9 @@ from lineweave import schemas
 from lineweave.functions import rules
 from lineweave.functions.text import clean_path
 
+#: Places of a blame output that are carried along together.
+SLOT = 1 << 16
+
 
 def read_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """JSON lines of edit events; lines that don't parse land in _corrupt."""
@@ -108,16 +111,23 @@ def rewrite_pairs(lines: DataFrame, raw: str = "line") -> DataFrame:
 def blame_lines(lines: DataFrame, keys: list[str], order: str = "pos", raw: str = "line") -> DataFrame:
     """keys, final_line, sha, origin_line, author, author_time, content of porcelain blame output.
 
-    A commit's details come once, with its first line; they are carried to the others by sha.
+    A commit's details come once, with its first line; they are carried to the others by sha. A file's lines are carried along in
+    stretches of SLOT places, each of which begins with the last head before it, so a large file is many tasks' work.
     """
     head = r"^([0-9a-f]{40,64}) (\d+) (\d+)"
     text = F.col(raw)
-    is_head = text.rlike(head)
-    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    carry = lambda value: F.last(value, True).over(so_far)
-    get = lambda k: F.when(is_head, F.regexp_extract(text, head, k))
+    get = lambda k: F.regexp_extract(text, head, k)
+    is_head = F.when(text.rlike(head), F.struct(get(1).alias("sha"), get(2).cast("int").alias("origin_line"), get(3).cast("int").alias("final_line")))
     field = lambda name: F.when(text.startswith(f"{name} "), F.substring(text, len(name) + 2, 1 << 20))
-    rows = lines.withColumns({"sha": carry(get(1)), "origin_line": carry(get(2)).cast("int"), "final_line": carry(get(3)).cast("int"), "_author": field("author"), "_time": field("author-time")})
+    rows = lines.select(*keys, F.floor(F.col(order) / SLOT).alias("_slot"), F.col(order).alias("_at"), text.alias(raw)).withColumn("_head", is_head)
+    ends = rows.groupBy(*keys, "_slot").agg(F.max_by("_head", F.when(F.col("_head").isNotNull(), F.col("_at"))).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_slot", F.last("_last", True).over(earlier).alias("_before"))
+    so_far = Window.partitionBy(*keys, "_slot").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    of = F.coalesce(F.last("_head", True).over(so_far), F.col("_before"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in (*keys, "_slot")]
+    rows = rows.alias("r").join(ends.alias("e"), same, "left").select("r.*", "e._before").withColumn("_of", of)
+    rows = rows.withColumns({"sha": F.col("_of.sha"), "origin_line": F.col("_of.origin_line"), "final_line": F.col("_of.final_line"), "_author": field("author"), "_time": field("author-time")})
     by_sha = Window.partitionBy(*keys, "sha")
     rows = rows.withColumns({"author": F.max("_author").over(by_sha), "author_time": F.max("_time").over(by_sha).cast("long")})
     return rows.where(text.startswith("\t")).select(*keys, "final_line", "sha", "origin_line", "author", "author_time", F.substring(text, 2, 1 << 20).alias("content"))
