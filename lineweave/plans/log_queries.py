@@ -40,18 +40,18 @@ def transcripts(t: Tables) -> DataFrame:
     said = F.col("role") == "assistant"
     usage = F.when(said, F.struct("input_tokens", "output_tokens"))
     model = F.nullif("model", F.lit(""))
-    a = json(type=c("role"), timestamp=stamp, message=F.struct(blocks.alias("content"), model.alias("model"), usage.alias("usage")))
-    b = json(role=c("role"), timestamp=stamp, message=F.struct(c("text").alias("content"), model.alias("model"), usage.alias("usage")))
+    a = json(type=c("role"), sessionId=c("session_id"), timestamp=stamp, message=F.struct(blocks.alias("content"), model.alias("model"), usage.alias("usage")))
+    b = json(role=c("role"), sessionId=c("session_id"), timestamp=stamp, message=F.struct(c("text").alias("content"), model.alias("model"), usage.alias("usage")))
     return lines(t.turns_v, F.when(c("turn") % 2 == 0, a).otherwise(b))
 
 
 @query("s04_transcript_files", "select session_id, cast(row_number() over (partition by session_id order by turn) as int) as nth, role, text, ts_ns, nullif(model, '') as model from turns_v")
 def s04_files(t: Tables) -> DataFrame:
-    """Transcripts in files, one for each session, that are read in ranges of bytes; a line's place orders its file."""
+    """Transcripts in rolled files of many sessions, that are read in ranges of bytes; a line names its session, its place orders the file."""
     at = streams.folder(t.spark, "transcripts")
     raw = with_noise(transcripts(t)).repartition("session_id").sortWithinPartitions("session_id", "pos")
-    raw.select("session_id", "line").write.partitionBy("session_id").text(at)
-    read = tail.read_lines(t.spark, at, 1 << 12).withColumn("session_id", F.regexp_extract("file", "session_id=([^/]+)/", 1))
+    raw.select("line").write.text(at)
+    read = tail.read_lines(t.spark, at, 1 << 22).withColumn("session_id", F.get_json_object("line", "$.sessionId"))
     turns = logs.transcript(read, KEY)
     nth = F.row_number().over(Window.partitionBy("session_id").orderBy("pos")).cast("int")
     return turns.select("session_id", nth.alias("nth"), "role", "text", "ts_ns", "model")

@@ -23,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SPLIT_BYTES = 32 << 20
 #: Lines go on in batches of about so many bytes; the end of a file is searched for its last line end in blocks of so many.
 BATCH_BYTES, BLOCK = 4 << 20, 1 << 16
+#: Ranges of small files go to a task together; opening a file counts as reading so many bytes.
+OPEN_BYTES = 1 << 16
 LINES = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("line", pa.string())])
 
 
@@ -60,10 +62,29 @@ class Range(InputPartition):
         super().__init__((file, begin, end))
 
 
+class Ranges(InputPartition):
+    """(file, begin, end) of ranges that one task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        super().__init__(ranges)
+
+
 def ranges(file: str, begin: int, end: int, split: int) -> list[Range]:
     return [Range(file, at, min(end, at + split)) for at in range(begin, end, split)]
 
 
+def packed(each: list[Range], split: int) -> list[Ranges]:
+    """Ranges in their order, as many to a task as make ``split`` bytes."""
+    out, size = [], split
+    for file, begin, end in (r.value for r in each):
+        size += end - begin + OPEN_BYTES
+        if size > split or not out:
+            out.append([])
+            size = end - begin + OPEN_BYTES
+        out[-1].append((file, begin, end))
+    return [Ranges(x) for x in out or [[]]]
+
+
 def lines_in(fs: pafs.FileSystem, file: str, begin: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
     """pos and line of the lines that begin in [begin, end) of a file that is read up to ``size``."""
     with fs.open_input_file(file) as f:
@@ -92,16 +113,17 @@ def lines_in(fs: pafs.FileSystem, file: str, begin: int, end: int, size: int) ->
                 return
 
 
-def _batches(path: str, where: Range, size: int) -> Iterator[pa.RecordBatch]:
+def _batches(path: str, where: Ranges) -> Iterator[pa.RecordBatch]:
+    """A range's last line reads on to the end that its file has now; a stream's ends at a line end."""
     fs, _ = opened(path)
-    file, begin, end = where.value
     held, bytes_ = [], 0
-    for pos, line in lines_in(fs, file, begin, end, size):
-        held.append((file, pos, line.decode("utf-8", "replace")))
-        bytes_ += len(line) + 32
-        if bytes_ >= BATCH_BYTES:
-            yield _batch(held)
-            held, bytes_ = [], 0
+    for file, begin, end in where.value:
+        for pos, line in lines_in(fs, file, begin, end, fs.get_file_info(file).size):
+            held.append((file, pos, line.decode("utf-8", "replace")))
+            bytes_ += len(line) + 32
+            if bytes_ >= BATCH_BYTES:
+                yield _batch(held)
+                held, bytes_ = [], 0
     if held:
         yield _batch(held)
 
@@ -114,13 +136,11 @@ class _Batch(DataSourceReader):
     def __init__(self, path: str, split: int):
         self.path, self.split = path, split
 
-    def partitions(self) -> list[Range]:
-        return [r for file, size in sorted(files_of(self.path).items()) for r in ranges(file, 0, size, self.split)] or [Range("", 0, 0)]
+    def partitions(self) -> list[Ranges]:
+        return packed([r for file, size in sorted(files_of(self.path).items()) for r in ranges(file, 0, size, self.split)], self.split)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.value[0]:
-            fs, _ = opened(self.path)
-            yield from _batches(self.path, partition, fs.get_file_info(partition.value[0]).size)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        yield from _batches(self.path, partition)
 
 
 class _Tail(DataSourceStreamReader):
@@ -134,19 +154,15 @@ class _Tail(DataSourceStreamReader):
         fs, _ = opened(self.path)
         return {file: whole_lines(fs, file, size) for file, size in sorted(files_of(self.path).items())}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         out = []
         for file, upto in end.items():
             since = start.get(file, 0)
             out += ranges(file, since if since <= upto else 0, upto, self.split)
-        return out or [Range("", 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        file, _, _ = partition.value
-        if file:
-            fs, _ = opened(self.path)
-            # The batch ends at a line end, and so does what its last line may read of the file.
-            yield from _batches(self.path, partition, fs.get_file_info(file).size)
+        return packed(out, self.split)
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        yield from _batches(self.path, partition)
 
     def commit(self, end: dict) -> None:
         pass

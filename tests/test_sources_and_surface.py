@@ -5,7 +5,7 @@ import random
 import pytest
 
 from lineweave.functions import aggregates
-from lineweave.sources import tail
+from lineweave.sources import edits, tail
 from lineweave.streaming import readers, streams
 
 
@@ -162,3 +162,46 @@ def test_markers_are_counted_without_pairs(spark, tmp_path):
 
     assert run(rows[:120]) == plain(rows[:120])
     assert run(rows[120:]) == plain(rows) != plain(rows[:120])
+
+
+def test_ranges_of_many_groups_at_once(spark):
+    """As the aggregates say, over groups of any size with repeats, nulls and negative lines, none and no rows."""
+    rnd = random.Random(5)
+    rows = [(g, rnd.choice([None, rnd.randrange(-20, 60)])) for g in range(60) for _ in range(rnd.randrange(25))] + [(99, None), (98, 2**31 - 1), (97, -(2**31)), (97, 5)]
+    aggregates.register(spark)
+    spark.createDataFrame(rows, "g int, line_no int").createOrReplaceTempView("grouped_lines")
+    want = {r["g"]: [tuple(x) for x in r["r"]] for r in spark.sql("select g, collapse_ranges(line_no) as r from grouped_lines group by g").collect()}
+    parts = "select g, line_ranges(collect_list(line_no)) as r from grouped_lines group by g, line_no div 7"
+    for sql in ("select g, line_ranges(collect_list(line_no)) as r from grouped_lines group by g", f"select g, union_ranges(flatten(collect_list(r))) as r from ({parts}) group by g"):
+        assert {r["g"]: [tuple(x) for x in r["r"]] for r in spark.sql(sql).collect()} == want
+    assert spark.sql("select line_ranges(array()) as r").first()["r"] == [] and spark.sql("select line_ranges(cast(null as array<int>)) as r").first()["r"] == []
+
+
+def test_small_files_are_read_together(spark, tmp_path):
+    """Hundreds of small logs are a few tasks, and a large one still many."""
+    at = tmp_path / "logs"
+    at.mkdir()
+    for k in range(300):
+        (at / f"f{k}.log").write_text(f"first of {k}\nlast of {k}")
+    (at / "large.log").write_text("x" * 99 + "\n" + "y\n" * 40_000)
+    got = tail.read_lines(spark, str(at), 1 << 14)
+    assert got.rdd.getNumPartitions() > 4
+    few = tail.read_lines(spark, str(at), 1 << 24)
+    assert few.rdd.getNumPartitions() < 5
+    for df in (got, few):
+        lines = {(r["file"].rsplit("/", 1)[1], r["pos"], r["line"]) for r in df.collect()}
+        assert len(lines) == 600 + 40_001 and ("f7.log", 0, "first of 7") in lines and ("f7.log", 11, "last of 7") in lines
+
+
+def test_blame_is_carried_over_stretches(spark, monkeypatch):
+    """Stretches shorter than an entry, some without a head, give what one stretch gives."""
+    rows = []
+    for path in ("a", "b", None):
+        for k in range(40):
+            sha = f"{k % 7 + 1:040d}"
+            rows += [(path, f"{sha} {k + 1} {k + 3}")] + ([(path, f"author A{k % 7}"), (path, "author-time 17"), (path, "summary x"), (path, "filename y")] if k < 7 else []) + [(path, f"\tline {k}")]
+    df = spark.createDataFrame([(p, n, x) for n, (p, x) in enumerate(rows)], "path string, pos long, line string").repartition(4)
+    want = {(p, k + 3, f"{k % 7 + 1:040d}", k + 1, f"A{k % 7}", 17, f"line {k}") for p in ("a", "b", None) for k in range(40)}
+    for slot in (1, 4, 1 << 16):
+        monkeypatch.setattr(edits, "SLOT", slot)
+        assert {tuple(r) for r in edits.blame_lines(df, ["path"]).collect()} == want
