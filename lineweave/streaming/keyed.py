@@ -1,6 +1,6 @@
 """Streams with keyed state that commits close: work sessions of a branch, working logs of a file.
 
-State lies in Spark's RocksDB store, keyed by (repository, branch) for sessions and by (repository, branch, file) for logs, and
+State lies in Spark's RocksDB store, keyed by (repository, branch) for sessions and by a group of files and the file for logs, and
 goes after ``idle`` without use. Within a batch events are taken by time, across batches as they arrive, as the surveyed tool does:
 the base of an edit is what is HEAD when it comes.
 """
@@ -11,6 +11,7 @@ import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import timedelta
+from itertools import groupby
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -26,8 +27,10 @@ from lineweave.streaming import streams
 BRANCH = ["repo_path", "branch"]
 FILE = [*BRANCH, "file_path"]
 IDLE = timedelta(days=60)
-#: A file's events of a batch are sorted in memory up to so many rows and characters; beyond that they wait in the state store.
-HELD_ROWS, HELD_CHARS = 256, 1 << 24
+#: Files go to the processor together, in so many groups: a call and its frames cost more than a file's few events.
+GROUPS = 1 << 13
+#: A group's events of a batch are sorted in memory up to so many rows and characters; beyond that they wait in the state store.
+HELD_ROWS, HELD_CHARS = 1 << 13, 1 << 24
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -133,16 +136,17 @@ _PENDING = "base_sha string, new_base string, committed boolean, kind string, co
 
 
 class _Logs(StatefulProcessor):
-    def __init__(self, keys: list[str], idle: timedelta):
-        self.keys, self.idle = keys, _millis(idle)
+    def __init__(self, idle: timedelta):
+        self.idle = _millis(idle)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.logs = handle.getMapState("logs", "base string", "version int, content string, who array<string>, tool array<string>", self.idle)
-        self.pending = handle.getMapState("pending", "ts long, id long, n long", _PENDING, self.idle)
+        self.logs = handle.getMapState("logs", "file string, base string", "version int, content string, who array<string>, tool array<string>", self.idle)
+        self.pending = handle.getMapState("pending", "place long, ts long, id long, n long", _PENDING, self.idle)
 
-    def _events(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        """The batch's events of a file in order. A hot file's go to the state store and come back one by one."""
+    def _events(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple[str, tuple]]:
+        """The batch's events of a group, file by file in order. A hot group's go to the state store and come back one by one."""
         names, held, chars, order, n = [x.split()[0] for x in _PENDING.split(", ")], [], 0, [], 0
+        places: dict[str, int] = {}
 
         def put_away() -> None:
             for at, value in held:
@@ -150,35 +154,49 @@ class _Logs(StatefulProcessor):
                 order.append(at)
             held.clear()
 
+        text = lambda x: x if isinstance(x, str) else None
         for pdf in rows:
-            text = lambda x: x if isinstance(x, str) else None
-            for r in pdf.to_dict("records"):
-                value = tuple(bool(r[c]) if c == "committed" else text(r[c]) for c in names)
-                held.append(((int(r["ts"]), int(r["id"]), n), value))
+            for file, ts, id_, *values in pdf[["file", "ts", "id", *names]].itertuples(index=False, name=None):
+                value = tuple(x is not None and x == x and bool(x) if c == "committed" else text(x) for c, x in zip(names, values, strict=True))
+                held.append(((places.setdefault(file, len(places)), int(ts), int(id_), n), value))
                 n += 1
-                chars += len(r["content"] or "") if isinstance(r["content"], str) else 0
+                chars += len(value[names.index("content")] or "")
             if order or len(held) > HELD_ROWS or chars > HELD_CHARS:
                 put_away()
+        files = list(places)
         if not order:
-            yield from (value for _, value in sorted(held, key=lambda x: x[0]))
+            yield from ((files[at[0]], value) for at, value in sorted(held, key=lambda x: x[0]))
             return
         put_away()
         for at in sorted(order):
-            yield self.pending.getValue(at)
+            yield files[at[0]], self.pending.getValue(at)
             self.pending.removeKey(at)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        names = ["_file", *[x.split()[0] for x in LOG.split(", ")]]
+        for file, events in groupby(self._events(rows), key=lambda x: x[0]):
+            out += self._file(file, (value for _, value in events))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=names).astype({"line_no": "Int32"})
+                out = []
+        yield pd.DataFrame(out, columns=names).astype({"line_no": "Int32"})
+
+    def _file(self, file: str, events: Iterator[tuple]) -> list[tuple]:
         logs: dict[str, tuple] = {}  # base: version, content, authors; what this batch touched
         over: dict[str, list] = {}
         gone: dict[str, int] = {}
+        stored: dict[str, bool] = {}  # whether the store has a base's log, of those asked for
 
         def get(base: str) -> tuple | None:
-            if base not in logs and base not in gone and self.logs.containsKey((base,)):
-                version, content, who, tool = self.logs.getValue((base,))
-                logs[base] = (version, content, [(a, b, "", "", "") for a, b in zip(who, tool, strict=True)])
+            if base not in stored:
+                stored[base] = self.logs.containsKey((file, base))
+                if stored[base]:
+                    version, content, who, tool = self.logs.getValue((file, base))
+                    logs[base] = (version, content, [(a, b, "", "", "") for a, b in zip(who, tool, strict=True)])
             return logs.get(base)
 
-        for base, new_base, committed, kind, content, baseline, who, tool in self._events(rows):
+        for base, new_base, committed, kind, content, baseline, who, tool in events:
             base = base or ""
             if kind == "commit":
                 old = get(base)
@@ -194,18 +212,19 @@ class _Logs(StatefulProcessor):
                 authors, replaced, _ = attribute(prior, before, content, (who, tool or "", "", "", ""))
                 logs[base], over[base] = (version, content or "", authors), replaced
                 gone.pop(base, None)
-        out = [(*key, base, version + 1, True, None, None, None, None) for base, version in gone.items()]
+        out = [(file, base, version + 1, True, None, None, None, None) for base, version in gone.items()]
         for base in gone:
-            self.logs.removeKey((base,))
+            if stored.get(base):
+                self.logs.removeKey((file, base))
         for base, (version, content, authors) in logs.items():
             if base in over:  # changed, or come to this base
                 version += 1
-                self.logs.updateValue((base,), (version, content, [a[0] for a in authors], [a[1] for a in authors]))
+                self.logs.updateValue((file, base), (version, content, [a[0] for a in authors], [a[1] for a in authors]))
                 lost = over[base] or [None] * len(authors)
-                out += [(*key, base, version, False, k + 1, a[0], a[1], o[0] if o else None) for k, (a, o) in enumerate(zip(authors, lost, strict=True))]
+                out += [(file, base, version, False, k + 1, a[0], a[1], o[0] if o else None) for k, (a, o) in enumerate(zip(authors, lost, strict=True))]
                 if not authors:
-                    out.append((*key, base, version, False, None, None, None, None))
-        yield pd.DataFrame(out, columns=[*self.keys, *[x.split()[0] for x in LOG.split(", ")]]).astype({"line_no": "Int32"})
+                    out.append((file, base, version, False, None, None, None, None))
+        return out
 
     def close(self) -> None:
         pass
@@ -217,11 +236,15 @@ def working_logs(events: DataFrame, keys: list[str], idle: timedelta = IDLE) ->
     events (a stream): keys, ts, id, kind. An ``edit`` has content, author_type, tool, base_sha, and baseline for the first edit on
     a base; a ``commit`` has base_sha, new_base and whether it ``committed`` the file. The log of a file that a commit didn't take
     moves to the new base, unless that has one, and the old one is told ``gone``; a committed one stays, for a later look
-    at the commit. An empty file has one row without a line. Logs unused for ``idle`` leave the state.
+    at the commit. An empty file has one row without a line. Logs unused for ``idle`` leave the state. Keys are texts and whole
+    numbers; a file is known by them as JSON.
     """
     types = dict(events.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + LOG
-    return _keyed(events.select(*keys, *EVENT), keys, _Logs(keys, idle), schema)
+    group = F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).cast("int").alias("group")
+    rows = events.select(group, F.to_json(F.struct(*keys)).alias("file"), *EVENT)
+    logs = _keyed(rows, ["group"], _Logs(idle), f"_file string, {LOG}")
+    file = F.from_json("_file", ", ".join(f"`{k}` {types[k]}" for k in keys))
+    return logs.select(file.alias("_file"), *[x.split()[0] for x in LOG.split(", ")]).select("_file.*", "*").drop("_file")
 
 
 def current(logs: DataFrame, keys: list[str]) -> DataFrame:
