@@ -44,6 +44,8 @@ POSTS_A_TASK = 1 << 23
 ALIKE = 0.8
 #: Shingles of texts that go on together.
 HASHES_AT_ONCE = 1 << 18
+#: Shingles of a block of a group whose members are compared, some 32 MB; two blocks are held at once.
+HASHES_IN_BLOCK = 1 << 22
 #: A key with more than this part of all rows, and 1024 rows at least, is spread over several groups of a join.
 HOT_PART = 1 / 4096
 #: keep_one() broadcasts the keys to drop up to this many (16 bytes each), beyond that it joins by a shuffle.
@@ -178,16 +180,16 @@ def hot_rows(n: int) -> int:
 
 
 def in_blocks(posts: DataFrame, hot: DataFrame, lists: int, block_rows: int) -> DataFrame:
-    """key, fp, i, j of posts (key, fp): lists in ``hot`` (key, blocks) are cut into blocks, each pair of them a group; others are one group."""
+    """posts (key, fp and what else) with i, j: lists in ``hot`` (key, blocks) are cut into blocks, each pair of them a group; others are one group."""
     if not lists:
-        return posts.select("key", "fp", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        return posts.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
     side = F.broadcast(hot) if lists <= BROADCAST_LISTS else hot
     own, other = F.col("own"), F.col("other")
     return (
         posts.join(side, "key", "left")
         .withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks"))).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)).cast("int") - 1)))
-        .select("key", "fp", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))
+        .select(*posts.columns, F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))
     )
 
 
@@ -311,8 +313,8 @@ def _each_list(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def wide_links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Distinct fp (wide fingerprints) -> a, b: links between different ones, closed under what the lists show; and key, fp: the
-    lists of more than two.
+    """Distinct fp (wide fingerprints) -> a, b: links between different ones, closed under what the lists show; and node, root: the
+    components of these links.
 
     Almost all lists hold one fingerprint and end with their count, which is summed before the shuffle. Lists of two give
     their pair at once; only fingerprints in longer lists are posted again, and these lists are read as in links().
@@ -344,35 +346,8 @@ def wide_links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame,
                 edges.update((fps[x].tobytes(), fps[y].tobytes()) for x, y in zip(i[told], j[told], strict=True))
         return [a for a, _ in edges], [b for _, b in edges]
 
-    return two.unionByName(_found(dealt, find, "binary", _bytes_of)).distinct(), listed
-
-
-def _links_between(listed: DataFrame, roots: DataFrame, block_rows: int) -> DataFrame:
-    """a, b: all pairs that a list shows to be close and whose roots differ, once each; listed: key, fp, roots: node, root.
-
-    Only lists that still hold two roots are read, so a large group of copies, which has one by now, costs nothing.
-    """
-    rooted = listed.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", F.concat("fp", F.coalesce("root", "fp")).alias("fp"), F.coalesce("root", "fp").alias("root"))
-    mixed = cut(rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", F.ceil(F.col("n") / block_rows).alias("blocks")))
-    count, hot = mixed.count(), mixed.where("blocks > 1")
-    left = rooted.select("key", "fp").join(F.broadcast(mixed.select("key")) if count <= BROADCAST_LISTS else mixed.select("key"), "key", "left_semi")
-    width = 8 * WIDE_WORDS
-
-    def both(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * width)
-
-    def find(groups: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-        edges = set()
-        for s, e in _each_list(groups):
-            fps, own = np.ascontiguousarray(rows[s:e, :width]), np.unique(np.ascontiguousarray(rows[s:e, width:]).view(f"V{width}").ravel(), return_inverse=True)[1]
-            for i in range(len(fps) - 1):
-                other = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
-                near = other[_close_bytes(fps[i][None, :], fps[other])] if len(other) else other
-                near = near[first_here(fps[i][None, :], fps[near], int(keys[s]))] if len(near) else near
-                edges.update((fps[i].tobytes(), fps[j].tobytes()) for j in near)
-        return [a for a, _ in edges], [b for _, b in edges]
-
-    return _found(in_blocks(left, hot, hot.count(), block_rows), find, "binary", both)
+    found = cut(two.unionByName(_found(dealt, find, "binary", _bytes_of)).distinct())
+    return found, components(found)
 
 
 def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
@@ -384,48 +359,110 @@ def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, grams)), np.uint64))
 
 
-def alike_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs a, b whose sets (fp, shingles: hashes) have a Jaccard similarity of ``least`` or more."""
-    met = pairs
-    for side in ("a", "b"):
-        met = met.join(sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"of_{side}")), side)
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return met.where(common >= least * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+def listed_and_close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two wide fingerprints in rows stand in a list together and pass its check: a triple of positions is equal in both."""
+    same = np.packbits(a == b, axis=-1, bitorder="little").view("<u8")[..., 0]
+    turned = lambda step: same >> np.uint64(step) | same << np.uint64(64 - step)
+    met = np.zeros(len(same), bool)
+    for one, two in WIDE_STEPS:
+        met |= same & turned(one) & turned(two) != 0
+    met[met] = _close_bytes(np.broadcast_to(a, b.shape)[met], b[met])
+    return met
+
+
+def alike_forest(fps: np.ndarray, hashes: np.ndarray, ends: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest, as row numbers, of the pairs that a list holds, whose wide fingerprints are close and whose shingles
+    are alike to ``least``. The shingles of row k, sorted, end in ``hashes`` before ends[k].
+
+    A pair whose rows are joined by now isn't compared, one that fails takes no part in joining others.
+    """
+    starts, left, edges = np.append(0, ends[:-1]), np.arange(len(fps)), []
+    sizes = ends - starts
+    while len(left):
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            at = frontier.pop()
+            near = np.flatnonzero(listed_and_close(fps[at][None, :], fps[left]))
+            own = hashes[starts[at] : ends[at]]
+            if not len(near) or not len(own):
+                continue
+            rows = left[near]
+            theirs = np.concatenate([hashes[starts[x] : ends[x]] for x in rows])
+            hits = np.append(0, np.cumsum(own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs))
+            stops = np.cumsum(sizes[rows])
+            common = hits[stops] - hits[stops - sizes[rows]]
+            good = common >= least * (sizes[at] + sizes[rows] - common)
+            edges += [(at, x) for x in rows[good]]
+            frontier += rows[good].tolist()
+            left = np.delete(left, near[good])
+    return edges
 
 
 def verified_components(fps: DataFrame, texts: DataFrame, shingle_words: int, least: float, block_rows: int) -> DataFrame:
     """node, root: components of links whose shingles were compared and are alike to ``least``.
 
-    fps: distinct fp; texts: fp and the text of one row for each. The links of the lists' forests are compared first. One that fails
-    may have hidden others of its list, so lists that still hold several components are read again, and all their close
-    pairs are compared that join two components.
+    fps: distinct fp; texts: fp and the text of one row for each. What the lists show to be close is joined first; then the shingles of
+    each such group come together, once for each block of it, and are compared there. Neither links that hold nor pairs that fail
+    become rows beyond a spanning forest, so rows follow the members of a group and not its pairs.
     """
-    candidates, listed = wide_links(fps, block_rows)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets_of(fps: list[bytes], own: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["fp", "shingles"])
+        def sets_of(rows: list[tuple[bytes, bytes, np.ndarray]]) -> pa.RecordBatch:
+            keys, fps, own = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(fps, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["key", "fp", "shingles"])
 
         for batch in batches:
-            fps, own, size = [], [], 0
-            for fp, text in zip(batch.column("fp"), batch.column("text"), strict=True):
-                fps.append(fp.as_py())
-                own.append(shingle_hashes(text.as_py(), shingle_words).view(np.int64))
-                size += len(own[-1])
+            rows, size = [], 0
+            for key, fp, text in zip(*(batch.column(x) for x in ("root", "fp", "text")), strict=True):
+                rows.append((key.as_py(), fp.as_py(), shingle_hashes(text.as_py(), shingle_words).view(np.int64)))
+                size += len(rows[-1][2])
                 if size >= HASHES_AT_ONCE:
-                    yield sets_of(fps, own)
-                    fps, own, size = [], [], 0
-            if fps:
-                yield sets_of(fps, own)
-
-    candidates = cut(candidates)
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = cut(texts.join(ends, "fp").select("fp", "text").mapInArrow(hashes, "fp binary, shingles array<long>"))
-    good = cut(alike_pairs(candidates, sets, least))
-    roots = components(good)
-    hidden = _links_between(listed, roots, block_rows).join(candidates, ["a", "b"], "left_anti")
-    more = cut(alike_pairs(hidden, sets, least))
-    return roots if more.isEmpty() else components(good.unionByName(more))
+                    yield sets_of(rows)
+                    rows, size = [], 0
+            if rows:
+                yield sets_of(rows)
+
+    def links_of(held: list[pa.RecordBatch]) -> list[tuple[bytes, bytes]]:
+        group = pa.Table.from_batches(held).combine_chunks()
+        sets = group.column("shingles").combine_chunks()
+        rows = _bytes_of(group.column("fp"))
+        ends = np.cumsum(np.diff(sets.offsets.to_numpy()), dtype=np.int64)
+        found = alike_forest(rows, sets.flatten().to_numpy().view(np.uint64), ends, least)
+        return [(rows[x].tobytes(), rows[y].tobytes()) for x, y in found]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The groups (key, i, j), which may span batches."""
+
+        def out(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[x] for e in edges], pa.binary()) for x in (0, 1)], ["a", "b"])
+
+        held, at, edges = [], None, []
+        for batch in batches:
+            group = list(zip(*(batch.column(x).to_pylist() for x in ("key", "i", "j")), strict=True))
+            start = 0
+            for end in range(1, len(group) + 1):
+                if end < len(group) and group[end] == group[start]:
+                    continue
+                if held and group[start] != at:
+                    edges += links_of(held)
+                    held = []
+                at = group[start]
+                held.append(batch.slice(start, end - start))
+                start = end
+            if edges:
+                yield out(edges)
+                edges = []
+        if held:
+            yield out(links_of(held))
+
+    member = wide_links(fps, block_rows)[1].withColumnRenamed("node", "fp")
+    sets = cut(texts.join(member, "fp").select("root", "fp", "text").mapInArrow(hashes, "key binary, fp binary, shingles array<long>"))
+    n, size = F.count("*"), F.sum(F.size("shingles"))
+    spread = F.least(F.lit(8), F.ceil(n / 512))  # a group of some size is several tasks' work
+    hot = cut(sets.groupBy("key").agg(F.greatest(F.ceil(n / block_rows), F.ceil(size / HASHES_IN_BLOCK), spread).alias("blocks")).where("blocks > 1"))
+    dealt = in_blocks(sets, hot, hot.count(), block_rows)
+    pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(compared, "a binary, b binary")
+    return components(cut(pairs))
 
 
 def components(edges: DataFrame) -> DataFrame:

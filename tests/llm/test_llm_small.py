@@ -1,6 +1,8 @@
 """Corpus operators on odd rows: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import html
+import random
+import re
 import time
 import zlib
 
@@ -629,3 +631,36 @@ def test_a_wide_link_is_told_by_one_list(spark, monkeypatch):
     for a, b in links:
         root[top(a)] = top(b)
     assert len({top(bytes(x)) for x in group}) == 1 and len({top(bytes(x)) for x in fps}) == 21
+
+
+def test_a_dense_group_of_texts_not_quite_alike_makes_no_pairs(spark):
+    """Texts close by their fingerprints, of which few are alike: beside lists of two, at most 96 a text, no join makes a row for each pair."""
+    rnd = random.Random(21)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(160):
+        text = list(base)
+        for at in rnd.sample(range(150), 4):
+            text[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, store = [], spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    executions = store.executionsList()
+    for k in range(min(before, executions.size() - 1), executions.size()):
+        at = executions.apply(k).executionId()
+        nodes, values = store.planGraph(at).allNodes(), store.executionMetrics(at)
+        for node in (nodes.apply(x) for x in range(nodes.size())):
+            for m in (node.metrics().apply(x) for x in range(node.metrics().size())):
+                if re.search(r"Join \[a#\d+L?\]", node.desc()) and m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined():
+                    seen.append(int(values.get(m.accumulatorId()).get().replace(",", "")))
+    assert 0 < sum(seen) <= 10 * len(rows)
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(146)} for k, t in rows}
+    roots = {k: k for k in sets}
+    for a in sets:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((roots[a], roots[b]))
+                roots = {k: low if r == high else r for k, r in roots.items()}
+    assert kept == set(roots.values())
