@@ -371,15 +371,16 @@ def listed_and_close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def alike_forest(fps: np.ndarray, hashes: np.ndarray, ends: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest, as row numbers, of the pairs that a list holds, whose wide fingerprints are close and whose shingles
-    are alike to ``least``. The shingles of row k, sorted, end in ``hashes`` before ends[k].
+    """Components of the pairs that a list holds, whose wide fingerprints are close and whose shingles are alike to ``least``: as row
+    numbers, the first row of each and every other one. The shingles of row k, sorted, end in ``hashes`` before ends[k].
 
     A pair whose rows are joined by now isn't compared, one that fails takes no part in joining others.
     """
     starts, left, edges = np.append(0, ends[:-1]), np.arange(len(fps)), []
     sizes = ends - starts
     while len(left):
-        frontier, left = [left[0]], left[1:]
+        first, left = left[0], left[1:]
+        frontier = [first]
         while frontier and len(left):
             at = frontier.pop()
             near = np.flatnonzero(listed_and_close(fps[at][None, :], fps[left]))
@@ -392,7 +393,7 @@ def alike_forest(fps: np.ndarray, hashes: np.ndarray, ends: np.ndarray, least: f
             stops = np.cumsum(sizes[rows])
             common = hits[stops] - hits[stops - sizes[rows]]
             good = common >= least * (sizes[at] + sizes[rows] - common)
-            edges += [(at, x) for x in rows[good]]
+            edges += [(first, x) for x in rows[good]]
             frontier += rows[good].tolist()
             left = np.delete(left, near[good])
     return edges
@@ -457,12 +458,16 @@ def verified_components(fps: DataFrame, texts: DataFrame, shingle_words: int, le
 
     member = wide_links(fps, block_rows)[1].withColumnRenamed("node", "fp")
     sets = cut(texts.join(member, "fp").select("root", "fp", "text").mapInArrow(hashes, "key binary, fp binary, shingles array<long>"))
-    n, size = F.count("*"), F.sum(F.size("shingles"))
-    spread = F.least(F.lit(8), F.ceil(n / 512))  # a group of some size is several tasks' work
-    hot = cut(sets.groupBy("key").agg(F.greatest(F.ceil(n / block_rows), F.ceil(size / HASHES_IN_BLOCK), spread).alias("blocks")).where("blocks > 1"))
-    dealt = in_blocks(sets, hot, hot.count(), block_rows)
+    most = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.size("shingles")) / HASHES_IN_BLOCK))
+    hot = cut(sets.groupBy("key").agg(most.alias("blocks")).where("blocks > 1"))
+    large = hot.count()
+    dealt = in_blocks(sets, hot, large, block_rows)
     pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(compared, "a binary, b binary")
-    return components(cut(pairs))
+    pairs = cut(pairs)
+    if large:
+        return components(pairs)
+    # each group was compared whole, so its components are known
+    return pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
