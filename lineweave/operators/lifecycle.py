@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.operators import tables
+from lineweave.session import dealt
 
 END = "array<struct<to: string, deleted: long, keeps: boolean, copies: string>>"
+ROUTE = ["repo_path", "file_path", "_at", "_event", "_live", "_gone"]
 ROUTES = f"repo_path string, file_path string, _at long, _event long, _live {END}, _gone {END}"
+WALK = "repo_path string, _at long, _event long, action string, src string, dst string, copies boolean"
+#: Outcomes of rows that go on together.
+ENDS_AT_ONCE = 1 << 14
 
 
 def file_events(events: DataFrame) -> DataFrame:
@@ -22,55 +29,68 @@ def file_events(events: DataFrame) -> DataFrame:
     return got.where("not src <=> dst").dropDuplicates(["repo_path", "_at", "_event"])
 
 
-def routes(steps: pd.DataFrame) -> pd.DataFrame:
-    """What becomes of the rows of a path from an event on. steps: one repository's events, and before an event a step
-    ``live`` or ``gone`` for a path that gets such rows.
+def copying(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Events with ``copies``: whether the source had live rows then. batches: repositories one after the other, each one's events in
+    order, and before an event a step ``live`` or ``gone`` for a path that gets such rows. What is held are paths, not events."""
+    repo, live, gone = None, set(), set()
+    for steps in batches:
+        flags = []
+        for s in zip(steps.repo_path, steps.action, steps.src, steps.dst, strict=True):
+            if s[0] != repo:
+                repo, live, gone = s[0], set(), set()
+            action, src, dst = s[1:]
+            is_live, is_gone = src in live, src in gone
+            flags.append(is_live)
+            if action in ("live", "gone"):
+                (live if action == "live" else gone).add(src)
+            elif action == "delete" and is_live or action == "restore" and is_gone:
+                a, b = (live, gone) if action == "delete" else (gone, live)
+                a.discard(src)
+                b.add(src)
+            elif action == "move" and (is_live or is_gone):
+                live.discard(src)
+                gone.discard(src)
+                live.add(dst)
+            elif action == "copy" and is_live:
+                live.add(dst)
+                gone.discard(dst)
+        yield steps.assign(copies=flags)[~steps.action.isin(["live", "gone"])][["repo_path", "_at", "_event", "action", "src", "dst", "copies"]]
+
+
+def routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What becomes of the rows of a path from an event on. batches: repositories one after the other, each one's events backwards.
 
-    The first walk finds which copies had anything to copy. The second goes backwards and keeps, for a live and for a
-    deleted row of each path, where all later events leave it: no row, one, or one for each copy.
+    What is held is, for a live and for a deleted row of each path, where all later events leave it: no row, one, or one for each copy.
     """
-    steps = steps.assign(_after=~steps.action.isin(["live", "gone"])).sort_values(["_at", "_event", "_after"])
-    here = {"live": set(), "gone": set()}
-    walk = []
-    for s in steps.itertuples(index=False):
-        s = (s.action, s.src, s.dst, s.at, s.event)
-        action, src, dst = s[:3]
-        if action in here:
-            here[action].add(src)
-            continue
-        is_live, is_gone = src in here["live"], src in here["gone"]
-        if action == "delete" and is_live or action == "restore" and is_gone:
-            a, b = ("live", "gone") if action == "delete" else ("gone", "live")
-            here[a].discard(src)
-            here[b].add(src)
-        elif action == "move" and (is_live or is_gone):
-            here["live"].discard(src)
-            here["gone"].discard(src)
-            here["live"].add(dst)
-        elif action == "copy" and is_live:
-            here["live"].add(dst)
-            here["gone"].discard(dst)
-        walk.append((*s, is_live))
-    live, gone, out = {}, {}, []
+    repo, live, gone = None, {}, {}
     of_live = lambda path: live.get(path, [(path, None, False, "")])
     of_gone = lambda path: gone.get(path, [(path, None, True, "")])
-    for action, src, dst, at, event, copies in reversed(walk):
-        if action == "delete":
-            live[src] = [(to, at if keeps else deleted, False, by) for to, deleted, keeps, by in of_gone(src)]
-        elif action == "restore":
-            gone[src] = of_live(src)
-        elif action == "move":
-            live[src] = gone[src] = of_live(dst)
-        elif copies:
-            live[src] = of_live(src) + [(to, deleted, keeps, f"{event} {by}") for to, deleted, keeps, by in of_live(dst)]
-            live[dst], gone[dst] = [], []
-        for path in (src, dst) if action == "copy" else (src,):
-            out.append((path, at, event, of_live(path), of_gone(path)))
-    got = pd.DataFrame(out, columns=["file_path", "_at", "_event", "_live", "_gone"])
-    for name in ("_live", "_gone"):
-        got[name] = [[dict(zip(("to", "deleted", "keeps", "copies"), x, strict=True)) for x in ends] for ends in got[name]]
-    got.insert(0, "repo_path", steps.repo_path.iloc[0])
-    return got
+    named = lambda ends: [dict(zip(("to", "deleted", "keeps", "copies"), x, strict=True)) for x in ends]
+    for walk in batches:
+        out, ends = [], 0
+        for s in zip(walk.repo_path, walk.action, walk.src, walk.dst, walk["_at"].tolist(), walk["_event"].tolist(), walk.copies, strict=True):
+            if s[0] != repo:
+                repo = s[0]
+                live.clear()
+                gone.clear()
+            action, src, dst, at, event, copies = s[1:]
+            if action == "delete":
+                live[src] = [(to, at if keeps else deleted, False, by) for to, deleted, keeps, by in of_gone(src)]
+            elif action == "restore":
+                gone[src] = of_live(src)
+            elif action == "move":
+                live[src] = gone[src] = of_live(dst)
+            elif copies:
+                live[src] = of_live(src) + [(to, deleted, keeps, f"{event} {by}") for to, deleted, keeps, by in of_live(dst)]
+                live[dst], gone[dst] = [], []
+            for path in (src, dst) if action == "copy" else (src,):
+                out.append((repo, path, at, event, named(of_live(path)), named(of_gone(path))))
+                ends += len(out[-1][4]) + len(out[-1][5])
+            if ends >= ENDS_AT_ONCE:
+                yield pd.DataFrame(out, columns=ROUTE)
+                out, ends = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=ROUTE)
 
 
 def applied(old: DataFrame | None, new: DataFrame, events: DataFrame) -> DataFrame:
@@ -81,8 +101,8 @@ def applied(old: DataFrame | None, new: DataFrame, events: DataFrame) -> DataFra
     rows of its target by clones of the live ones of its source, if there are any. Rows and events with a null or empty
     repository or path stay as they are. A clone's id is the negative of a hash of its source's id and the copies.
 
-    Only events and one step for each stretch between two events of a path go through a group, that of the repository:
-    its history is sequential. Rows meet the outcome by a join.
+    Only events and one step for each stretch between two events of a path go through one task, that of the repository: its history
+    is sequential. They come from sorts that can spill, forwards and then backwards; rows meet the outcome by a join.
     """
     steps = file_events(events)
     touches = F.when(F.col("action") == "copy", F.array("src", "dst")).otherwise(F.array("src"))
@@ -99,8 +119,9 @@ def applied(old: DataFrame | None, new: DataFrame, events: DataFrame) -> DataFra
     placed = placed.withColumns({"_at": F.col("_next._at"), "_event": F.col("_next._event")}).drop("_next")
     is_live = F.col("deleted_at").isNull()
     marks = placed.where("_at is not null").select("repo_path", "_at", "_event", F.when(is_live, "live").otherwise("gone").alias("action"), F.col("file_path").alias("src")).distinct()
-    walk = steps.unionByName(marks, allowMissingColumns=True).withColumns({"at": F.col("_at"), "event": F.col("_event")})
-    ways = walk.groupBy("repo_path").applyInPandas(routes, ROUTES)
+    marked = steps.unionByName(marks, allowMissingColumns=True).withColumn("_after", ~F.col("action").isin("live", "gone"))
+    walk = dealt(marked, "repo_path").sortWithinPartitions("repo_path", "_at", "_event", "_after").mapInPandas(copying, WALK)
+    ways = walk.sortWithinPartitions("repo_path", F.desc("_at"), F.desc("_event")).mapInPandas(routes, ROUTES)
     moved = placed.where("_at is not null").join(ways, ["repo_path", "file_path", "_at", "_event"])
     ends = moved.withColumn("_end", F.explode(F.when(is_live, F.col("_live")).otherwise(F.col("_gone"))))
     clone = F.when(F.col("_end.copies") == "", F.col("id")).otherwise(-F.abs(F.xxhash64("id", "_end.copies")))

@@ -219,6 +219,38 @@ def test_file_events_in_order_over_restarts(spark, tmp_path):
     assert rows(none) == []
 
 
+def test_file_events_of_a_repository_come_in_batches(spark):
+    """A repository's events are never together in one frame: each frame of either walk is as long as Spark's batches."""
+    from lineweave.operators import lifecycle
+
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, frames, longest = spark.conf.get(size), spark.sparkContext.accumulator(0), 50
+
+    def told(walk):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    frames.add(int(len(b) > longest))
+                    yield b
+
+            yield from walk(seen())
+
+        return run
+
+    events = spark.range(3000).selectExpr("id", "case id % 3 when 0 then 'delete' when 1 then 'create' else 'copy' end kind", "if(id % 7 = 0, 's', 'r') repo_path", "concat('f', id % 5) path", "'' old_path", "'' new_path", "concat('f', id % 5) src_path", "concat('g', id) dst_path", "id * 10 at_ns")
+    edits = spark.range(300).selectExpr("id", "if(id % 2 = 0, 's', 'r') repo_path", "concat('f', id % 5) file_path", "id * 95 ts_ns", "cast(null as long) deleted_at")
+    want = rows(lifecycle.applied(None, edits, events))
+    own = lifecycle.copying, lifecycle.routes
+    try:
+        spark.conf.set(size, str(longest))
+        lifecycle.copying, lifecycle.routes = map(told, own)
+        assert rows(lifecycle.applied(None, edits, events)) == want and len(want) > 300
+    finally:
+        spark.conf.set(size, before)
+        lifecycle.copying, lifecycle.routes = own
+    assert frames.value == 0
+
+
 def test_fold_of_sides_that_lie_by_key_already(spark):
     """Adaptive execution merges the partitions of each side of the union in its own way; a file's rows stay together."""
     from lineweave.operators import align
