@@ -39,6 +39,8 @@ BROADCAST_LISTS = 100_000
 #: The wide fingerprint: 64-bit words, differing bits at most, equal bytes at least; a triple is a start and two steps.
 WIDE_WORDS, WIDE_BITS, WIDE_BYTES = 8, 100, 6
 WIDE_STEPS = ((1, 3), (4, 9), (6, 13))  # no two positions are together in two triples
+#: So many lists are read first; of the others only those that hold rows which these leave apart.
+WIDE_FIRST = 32
 POSTS_A_TASK = 1 << 23
 #: Texts are near copies if their distinct shingles have this Jaccard similarity.
 ALIKE = 0.8
@@ -292,13 +294,13 @@ def wide_forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _wide_keys(column: Column) -> Column:
-    """The keys of all lists in which a wide fingerprint stands."""
-    triples = wide_triples()
+def _wide_keys(column: Column, lists: range) -> Column:
+    """The keys of those of these lists in which a wide fingerprint stands."""
+    triples = wide_triples()[lists.start : lists.stop]
 
     @F.arrow_udf("array<long>")
     def keys_of(column: pa.Array) -> pa.Array:
-        data, keys = _bytes_of(column), np.arange(len(triples))[None, :]
+        data, keys = _bytes_of(column), np.array(lists)[None, :]
         for place in range(3):
             keys = keys << 8 | data[:, triples[:, place]]
         return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * len(triples)), pa.array(keys.ravel()))
@@ -318,24 +320,40 @@ def wide_links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame,
 
     Almost all lists hold one fingerprint and end with their count, which is summed before the shuffle. Lists of two give
     their pair at once; only fingerprints in longer lists are posted again, and these lists are read as in links().
+
+    The first lists show most links of a large group. What they join has one label, and a later list whose rows all have one
+    label joins nothing more: it ends with its count too. So closure holds, and a group isn't posted again for each of its lists.
     """
-    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, -(-fps.count() * len(wide_triples()) // POSTS_A_TASK))
+    triples = len(wide_triples())
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, -(-fps.count() * triples // POSTS_A_TASK))
     named = cut(fps.select("fp").repartition(tasks, "fp").select("fp", F.monotonically_increasing_id().alias("id")))
-    posts = named.select("fp", "id", F.explode(_wide_keys(F.col("fp"))).alias("key"))
-    lists = cut(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"))
+    early = _listed_links(named.withColumn("label", F.col("id")), range(WIDE_FIRST), block_rows)
+    first = hung(early)
+    low = first.groupBy("u").agg(F.min("v").alias("v"))
+    low = low.join(low.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left").select("u", F.coalesce("w", "v").alias("fp"))
+    labels = low.join(named, "fp").select(F.col("u").alias("fp"), F.col("id").alias("label"))
+    labelled = cut(named.join(labels, "fp", "left").select("fp", "id", F.coalesce("label", "id").alias("label")))
+    later = _listed_links(labelled, range(WIDE_FIRST, triples), block_rows)
+    return early.unionByName(later).distinct(), components(first.select(F.col("v").alias("a"), F.col("u").alias("b")).unionByName(later))
+
+
+def _listed_links(named: DataFrame, lists: range, block_rows: int) -> DataFrame:
+    """fp, id, label -> a, b: links in these lists, without lists whose rows all have one label."""
+    posts = named.select("fp", "id", "label", F.explode(_wide_keys(F.col("fp"), lists)).alias("key"))
+    bounds = [F.min("id").alias("a"), F.max("id").alias("b"), F.min("label").alias("low"), F.max("label").alias("high")]
+    held = cut(posts.groupBy("key").agg(F.count("*").alias("n"), *bounds).where("low < high").select("key", "n", "a", "b"))
     side = lambda name: named.select(F.col("id").alias(name), F.col("fp").alias(f"fp_{name}"))
-    pairs = lists.where("n = 2").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    pairs = held.where("n = 2").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
 
     @F.arrow_udf("boolean")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(_close_bytes(_bytes_of(a), _bytes_of(b)))
 
     two = pairs.where(alike("fp_a", "fp_b")).select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b"))
-    more = lists.where("n > 2").select("key", F.ceil(F.col("n") / block_rows).alias("blocks"))
-    count = more.count()
+    more = held.where("n > 2").select("key", F.ceil(F.col("n") / block_rows).alias("blocks"))
+    count, large = more.agg(F.count("*"), F.count_if(F.col("blocks") > 1)).first()
     listed = posts.select("key", "fp").join(F.broadcast(more.select("key")) if count <= BROADCAST_LISTS else more.select("key"), "key", "left_semi")
-    hot = more.where("blocks > 1")
-    dealt = in_blocks(listed, hot, hot.count(), block_rows)
+    dealt = in_blocks(listed, more.where("blocks > 1"), large, block_rows)
 
     def find(groups: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         edges = set()
@@ -346,8 +364,7 @@ def wide_links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame,
                 edges.update((fps[x].tobytes(), fps[y].tobytes()) for x, y in zip(i[told], j[told], strict=True))
         return [a for a, _ in edges], [b for _, b in edges]
 
-    found = cut(two.unionByName(_found(dealt, find, "binary", _bytes_of)).distinct())
-    return found, components(found)
+    return cut(two.unionByName(_found(dealt, find, "binary", _bytes_of)).distinct())
 
 
 def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
@@ -470,6 +487,19 @@ def verified_components(fps: DataFrame, texts: DataFrame, shingle_words: int, le
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def hung(edges: DataFrame) -> DataFrame:
+    """a, b -> u, v (the smaller): edges between the same components, most of them to a smallest node.
+
+    A node found in many lists has many smaller neighbours, mostly the same few for all of its group: these, not the node, are hung
+    on the smallest.
+    """
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    for _ in range(3):
+        e = e.withColumn("low", F.min("v").over(Window.partitionBy("u")))  # one edge of a node leads to the smallest and stays, the others hang their ends on it
+        e = e.select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v")).distinct()
+    return cut(e)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """a, b -> node, root (the smallest node of its component), by alternating large and small stars until nothing changes."""
 
@@ -483,12 +513,7 @@ def components(edges: DataFrame) -> DataFrame:
     def sign(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    # a node found in many lists has many smaller neighbours, mostly the same few for all of its group: hang these, not the node, on the smallest
-    for _ in range(3):
-        e = e.withColumn("low", F.min("v").over(Window.partitionBy("u")))  # one edge of a node leads to the smallest and stays, the others hang their ends on it
-        e = e.select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v")).distinct()
-    e = cut(e)
+    e = hung(edges)
     before = sign(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -633,6 +633,38 @@ def test_a_wide_link_is_told_by_one_list(spark, monkeypatch):
     assert len({top(bytes(x)) for x in group}) == 1 and len({top(bytes(x)) for x in fps}) == 21
 
 
+def test_lists_of_a_joined_group_are_not_posted_again(spark, monkeypatch):
+    """Lists whose rows the first lists have joined already end with their count; the components are those of all listed links."""
+    rnd = np.random.default_rng(7)
+    base, fps = rnd.integers(0, 256, 64, dtype=np.uint8), []
+    for bits, n in ((25, 300), (60, 60)):  # a group, and rows of which few are close
+        for _ in range(n):
+            row = np.unpackbits(base)
+            row[rnd.choice(512, bits, replace=False)] ^= 1
+            fps.append(np.packbits(row))
+    fps = np.stack([*fps, *rnd.integers(0, 256, (100, 64), dtype=np.uint8)])
+    posted, found = [], simhash._found
+
+    def counted(dealt, find, kind, read):
+        posted.append(dealt.count())
+        return found(dealt, find, kind, read)
+
+    monkeypatch.setattr(simhash, "_found", counted)
+    frame = spark.createDataFrame([(bytes(x),) for x in fps], "fp binary").repartition(4)
+    got = {}
+    for r in simhash.wide_links(frame)[1].collect():
+        got.setdefault(bytes(r["root"]), set()).add(bytes(r["node"]))
+    root = list(range(len(fps)))
+    for i in range(len(fps)):  # plainly, by all pairs
+        for j in np.flatnonzero(simhash.listed_and_close(fps[i][None, :], fps)):
+            low, high = sorted((root[i], root[j]))
+            root = [low if x == high else x for x in root]
+    want = [{bytes(fps[i]) for i in range(len(fps)) if root[i] == r} for r in set(root)]
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want if len(x) > 1)
+    listed = sum(int(n[n > 2].sum()) for t in simhash.wide_triples() for n in [np.unique(fps[:, t], axis=0, return_counts=True)[1]])
+    assert len(posted) == 2 and sum(posted) < 0.7 * listed
+
+
 def test_a_dense_group_of_texts_not_quite_alike_makes_no_pairs(spark):
     """Texts close by their fingerprints, of which few are alike: beside lists of two, at most 96 a text, no join makes a row for each pair."""
     rnd = random.Random(21)
