@@ -344,3 +344,15 @@ def test_write_windows_are_counted_before_they_are_joined(spark):
     late = files.where("mtime_ns <= 0").unionByName(files.selectExpr("repo_path", "file_path", "-mtime_ns as mtime_ns"))
     assert [(r["command_id"], r["file_path"]) for r in joins.write_window(commands, late.where("mtime_ns <= 0 or file_path = 'g'")).collect()] == []
     assert [(r["command_id"], r["file_path"]) for r in joins.write_window(commands, files.where("mtime_ns > 500000000000")).collect()] == [(2, "g")]
+
+
+def test_every_edit_of_one_file_is_spread(spark):
+    """A file with nearly all edits and replays: no partition makes more than a third of the result, which is the plain join's."""
+    edits = spark.range(0, 2000, 1, 1).select("id", F.lit("r").alias("repo_path"), F.when(F.col("id") % 50 != 0, "f").alias("file_path"))
+    files = spark.range(0, 90, 1, 1).select(F.concat(F.lit("c"), "id").alias("sha"), F.lit("r").alias("repo_path"), F.lit("f").alias("file_path"), F.when(F.col("id") % 3 == 0, "squash_merge").alias("replay_kind"))
+    got = joins.every_edit(edits, files)
+    assert got.columns == ["repo_path", "file_path", "id", "sha"]
+    rows = sorted((r["sha"], r["id"]) for r in got.collect())
+    assert rows == sorted((f"c{c}", i) for c in range(0, 90, 3) for i in range(2000) if i % 50)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= sum(sizes) / 3
