@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from lineweave.session import dealt
 
-#: Log readers compare raw lines by counts instead, where old lines times new lines exceed this. Fixed value.
-MOST_CELLS = 9_000_000
 AUTHOR = ("author_type", "tool", "model", "gen_type", "session")
 HUMAN = ("Human", "", "", "", "")
 
@@ -224,16 +222,17 @@ def _by_new_line(pairs: DataFrame, keys: list[str], columns: str, of) -> DataFra
     return pairs.select(*keys, "old_text", "new_text").mapInArrow(run, schema)
 
 
-def added_or_moved(pairs: DataFrame, keys: list[str], most_cells: int = MOST_CELLS) -> DataFrame:
+def added_or_moved(pairs: DataFrame, keys: list[str], most_cells: int | None = None) -> DataFrame:
     """keys, line_no, content, exact of the new lines that no old line at the same place in the order continues.
 
-    Raw lines are compared. Beyond ``most_cells`` counts of equal lines decide, as the log readers do, and exact is false.
+    Raw lines are compared, in order at every size. Only a caller who wants the surveyed readers' own rule gives ``most_cells``, old lines
+    times new lines beyond which counts of equal lines decide and exact is false.
     """
     from lineweave.operators.diff import explode_lines
 
     def told(old_text: str | None, new_text: str | None) -> list[tuple]:
         old, new = lines_of(old_text), lines_of(new_text)
-        exact = len(old) * len(new) <= most_cells
+        exact = most_cells is None or len(old) * len(new) <= most_cells
         return [(m < 0, exact) for m in (align if exact else by_counts)(old, new)]
 
     found = _by_new_line(pairs, keys, "added boolean, exact boolean", told).where("added").select(*keys, "new_pos", "exact")

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from lineweave.operators import align
 from lineweave.plans import catalogue
 from tests.conftest import SF
 
@@ -38,3 +39,12 @@ def same_as_sql(spark, folder, name):
 def test_odd_texts(spark, odd, name):
     """Empty texts have no line, and an ended last line begins no other."""
     same_as_sql(spark, odd, name)
+
+
+def test_raw_lines_of_a_large_file_keep_their_order(spark):
+    """3,200 lines on both sides are over 9,000,000 cells; one that moved is told as in a small file."""
+    old = [f"line {k}" for k in range(3200)]
+    new = old[1:] + old[:1]
+    pairs = spark.createDataFrame([(1, "\n".join(old), "\n".join(new), 10)], "k int, old_text string, new_text string, start_line int")
+    assert [tuple(r) for r in align.added_or_moved(pairs, ["k"]).collect()] == [(1, 3200, "line 0", True)]
+    assert [tuple(r) for r in align.narrowed(pairs, ["k"]).collect()] == [(1, 3209, "line 0")]
