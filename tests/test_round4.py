@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lineweave.operators import align, joins
+from lineweave.operators import align, joins, match
 from lineweave.plans import catalogue
 from tests.conftest import SF
 
@@ -62,3 +62,21 @@ def test_windows_of_one_file_meet_the_edits_of_their_time_only(spark):
     assert got.where("sha = 'long'").count() == 3999 and got.where("sha <> 'long'").groupBy("sha").count().where("count = 10").count() == 399
     pairs = re.findall(r"Join Inner, .*", got._jdf.queryExecution().optimizedPlan().toString())
     assert any("_bucket" in p for p in pairs)  # time is part of the join's key
+
+
+def test_units_that_no_line_can_take_are_left_out(spark, monkeypatch):
+    """Of an edit's lines only those that the file may hold are moved on, whether edits know their lines by id or by text; a large file gets all."""
+    edits = spark.createDataFrame([(1, "f", 5, "d1"), (2, "f", 6, "d1"), (3, "g", 7, "d1")], "id long, file string, ts_ns long, doc string").withColumn("confidence", F.lit("high"))
+    hashed = lambda df: df.withColumns({"content_sha": F.sha2("content", 256), "content_sha_norm": F.sha2("content", 256)})
+    texts = hashed(spark.createDataFrame([("d1", f"x{k}") for k in range(50)], "doc string, content string"))
+    lines = hashed(spark.createDataFrame([("f", 1, "x7"), ("f", 2, "x9"), ("f", 3, "y")], "file string, line_no int, content string"))
+    by_id = edits.select(F.col("id").alias("edit_id"), "doc").join(texts, "doc").drop("doc")
+    want = [("f", 1, 2), ("f", 2, 2)]
+    for edit_lines in (texts, by_id):
+        units = match.units_of(edits, edit_lines, ["file"], lines=lines)
+        assert sorted(units.columns) == sorted(match.units_of(edits, by_id, ["file"]).columns)
+        assert 4 <= units.count() < 20 and units.where("file = 'g'").count() == 0
+        assert sorted(tuple(r) for r in match.consume_once(lines, units, ["file"]).collect()) == want
+    monkeypatch.setattr(match, "MOST_MARKS", 2)
+    units = match.units_of(edits, texts, ["file"], lines=lines)
+    assert units.count() == 100 and sorted(tuple(r) for r in match.consume_once(lines, units, ["file"]).collect()) == want
