@@ -80,3 +80,11 @@ def test_units_that_no_line_can_take_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(match, "MOST_MARKS", 2)
     units = match.units_of(edits, texts, ["file"], lines=lines)
     assert units.count() == 100 and sorted(tuple(r) for r in match.consume_once(lines, units, ["file"]).collect()) == want
+
+
+def test_no_text_is_shuffled_for_hashes(spark):
+    """Deletions meet their log by digests, added lines of merges are parted by hashes: no exchange has a column of text lines."""
+    for name in ("commit_attribution_of_deleted_lines", "j13_matcher_precedence"):
+        plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        taken = [x for x in plan.split("\n") if "hashpartitioning" in x and re.search(r"\bcontent#", x)]
+        assert not taken, taken
