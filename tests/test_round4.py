@@ -7,8 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lineweave.functions.text import is_blank
 from lineweave.operators import align, joins, match
 from lineweave.plans import catalogue
+from lineweave.plans.registry import Tables
 from tests.conftest import SF
 
 TEXTS = ["", "\n", "\n\n", "a\n", "a\n\n", "\na", "a\r\nb\r\n", "\r", " \n", "a person's line\n", "x\n\na person's line", None, "same\nsame\n", "a\n \nb"]
@@ -84,7 +86,14 @@ def test_units_that_no_line_can_take_are_left_out(spark, monkeypatch):
 
 def test_no_text_is_shuffled_for_hashes(spark):
     """Deletions meet their log by digests, added lines of merges are parted by hashes: no exchange has a column of text lines."""
-    for name in ("commit_attribution_of_deleted_lines", "j13_matcher_precedence"):
+    for name in ("commit_attribution_of_deleted_lines", "commit_attribution", "j13_matcher_precedence"):
         plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         taken = [x for x in plan.split("\n") if "hashpartitioning" in x and re.search(r"\bcontent#", x)]
         assert not taken, taken
+
+
+def test_blank_lines_are_told_as_by_their_text(spark, odd):
+    t = Tables(spark, odd)
+    ours = t.added_hashes_v.groupBy("blank").count().collect()
+    theirs = t.added_v.groupBy(is_blank(F.col("content")).alias("blank")).count().collect()
+    assert {tuple(r) for r in ours} == {tuple(r) for r in theirs} and len(ours) == 2
