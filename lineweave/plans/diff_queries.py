@@ -170,7 +170,9 @@ def e10(t: Tables) -> DataFrame:
 @query("e11_narrow_to_changed", f"""with recursive {RAW_VERSIONS}, fresh as (select nl.* from nl join pr using (doc_id) anti join al on al.doc_id = nl.doc_id and al.new_pos = nl.pos)
 select doc_id, cast(pos + 10 as int) as line_no, s as content from fresh union all select doc_id, cast(pos + 10 as int), s from nl join pr using (doc_id) where doc_id not in (select doc_id from fresh)""")
 def e11(t: Tables) -> DataFrame:
-    return align.narrowed(pairs(t).withColumn("start_line", F.lit(10)), KEY)
+    """Every line of both versions ends, so an empty last one is a line too, as in the SQL."""
+    ended = {x: F.concat(x, F.lit("\n")) for x in ("old_text", "new_text")}
+    return align.narrowed(pairs(t).withColumns(ended).withColumn("start_line", F.lit(10)), KEY)
 
 
 @query("e12_narrow_whole_file_write", f"""with recursive {RAW_VERSIONS} select nl.doc_id, cast(nl.pos + 1 as int) as line_no, sha256(regexp_replace(nl.s, '\\r+$', '')) as content_sha from nl

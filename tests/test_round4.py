@@ -29,14 +29,14 @@ def odd(spark, tmp_path_factory):
     return str(at)
 
 
-def same_as_sql(spark, folder, name):
+def same_as_sql(spark, folder, name, only=lambda row: True):
     con = duckdb.connect()
     for t in os.listdir(folder):
         con.execute(f"create view {t.split('.')[0]} as select * from '{folder}/{t}{'/*.parquet' if os.path.isdir(f'{folder}/{t}') else ''}'")
     found = con.execute(catalogue.oracle_sql()[name])
     names = [d[0] for d in found.description]
-    want = sorted(map(str, found.fetchall()))
-    assert want and sorted(str(tuple(r)) for r in catalogue.queries()[name](spark, folder).select(*names).collect()) == want
+    want = sorted(str(r) for r in found.fetchall() if only(r))
+    assert want and sorted(str(tuple(r)) for r in catalogue.queries()[name](spark, folder).select(*names).collect() if only(r)) == want
 
 
 @pytest.mark.parametrize("name", ["t05_working_log_state", "t13_live_view", "x03_seed_hook"])
@@ -45,6 +45,11 @@ def test_odd_texts(spark, odd, name):
     same_as_sql(spark, odd, name)
 
 
+def test_an_empty_last_line_is_narrowed_like_others(spark, odd):
+    """Carriage returns at line ends are left out of this, as the operator drops them from what it gives and the SQL doesn't."""
+    same_as_sql(spark, odd, "e11_narrow_to_changed", lambda row: "\r" not in (TEXTS[row[0] // 3] or ""))
+
+
 def test_raw_lines_of_a_large_file_keep_their_order(spark):
     """3,200 lines on both sides are over 9,000,000 cells; one that moved is told as in a small file."""
     old = [f"line {k}" for k in range(3200)]
